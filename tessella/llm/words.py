@@ -19,6 +19,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
+#: Everything in ASCII but letters and digits.
+BREAK = np.ones(256, bool)
+BREAK[48:58] = BREAK[65:91] = BREAK[97:123] = BREAK[0x80:] = False
 CONTINUATION = np.zeros(256, bool)
 CONTINUATION[0x80:0xC0] = True
 SAME = np.arange(256, dtype=np.uint8)
