@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, quality_classifier, quality_rules
+from . import decontamination, jaccard_join, pii, quality_classifier, quality_rules
 from .common import table
 
 
+def op1_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.summary(pii.sanitise(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return out.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.score", "m.start", "m.end")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_jaccard_join, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sanitisation, op5_jaccard_join, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
