@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, language_model, packing, pii, quality_classifier, quality_rules
+from . import decontamination, html_extraction, jaccard_join, language_model, packing, pii, quality_classifier, quality_rules, token_store
 from .common import table
 
 
@@ -21,6 +21,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.shared_folder(spark)
+    token_store.write(table(spark, sf_dir, "documents"), path)
+    return token_store.read(spark, path)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.score", "m.start", "m.end")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sanitisation, op2_html_extraction, op5_jaccard_join, op6_packing, op7_language_model, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sanitisation, op2_html_extraction, op3_token_store, op5_jaccard_join, op6_packing, op7_language_model, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
