@@ -26,3 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
 def tasks(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settled(df: DataFrame, rows_a_task: int = 50_000) -> tuple[DataFrame, int]:
+    """cut(df) with as many partitions as its rows ask for, and the number of rows."""
+    df = cut(df)
+    rows = df.count()
+    return df.coalesce(1 + rows // rows_a_task), rows

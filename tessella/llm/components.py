@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import settled
+
+#: Edges up to which the table of minima is broadcast (16 bytes each).
+BROADCAST_EDGES = 200_000
 
 
 def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("sum"), F.bit_xor(F.xxhash64("a", "b")).alias("hash")).first()
-    return row["n"], row["sum"], row["hash"]
+    row = edges.agg(F.sum("b").alias("sum"), F.bit_xor(F.xxhash64("a", "b")).alias("hash")).first()
+    return row["sum"], row["hash"]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -20,18 +23,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     join on it a step, so a hub never gathers in one place; the number of rounds grows with
     the logarithm of the components' size. Every round is written to the checkpoint folder.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    state = _state(now)
+    now, rows = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    state = (rows, *_state(now))
     for _ in range(rounds):
-        if not state[0]:
+        if not rows:
             break
+        sized = F.broadcast if rows <= BROADCAST_EDGES else lambda df: df
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(sized(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = cut(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _state(now)
+        small = large.join(sized(least), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now, rows = settled(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        before, state = state, (rows, *_state(now))
         if state == before:
             break
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")

@@ -9,15 +9,14 @@ the same band or the next, each document sends its segments to both, and segment
 agree propose pairs, which are verified on the whole sets.
 
 Nothing emits all pairs of a group. Equal sets are one class from the start. In a bucket of
-equal segments each class is proposed to the bucket's first and to its neighbour in the order of the next
-segment; only the best proposal of each class is verified at first, then those that still
-join different components, and last, exactly, every pair of a bucket that is still in different
-components and that folded sketches cannot rule out, tile by tile. Pairs within
-a component need no look, as a link between them changes nothing.
+equal segments each class is proposed to the bucket's first and to its neighbour in the order of
+the next segment; proposals that short folded sketches rule out go, the rest is verified, and
+then, exactly, every pair of a bucket that is still in different components and that folded
+sketches cannot rule out, tile by tile. Pairs within a component need no look, as a link between them changes nothing.
 
 Defined results: a text of fewer than n words is one shingle; a text without words, or null,
-has none and links with nothing; rows with one id are one vertex; a null id gets a
-null component; other columns are ignored; an empty table gives an empty result.
+has none and links with nothing; repeated rows are one vertex (an id names one text); a null id
+links with nothing and gets a null component; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import cut, tasks
+from .common import cut, settled, tasks
 from .components import components
 
 #: Ids up to which a list of ids is broadcast to filter a table (16 bytes or so each).
@@ -212,7 +211,29 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<long>, sketch binary")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (with their other columns) whose folded sketches are not too far apart; sends no whole sets."""
+    ends = sets.select("id", F.size("set").cast("long").alias("n"), "sketch")
+    for c in ("a", "b"):
+        pairs = pairs.join(ends.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = []
+            for x, y in zip(batch["sketch_a"], batch["sketch_b"], strict=True):
+                x, y = np.frombuffer(x.as_py(), w.U64), np.frombuffer(y.as_py(), w.U64)
+                size = min(len(x), len(y))
+                fold = [np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y)]
+                apart.append(int(np.bitwise_count(fold[0] ^ fold[1]).sum()))
+            bound = (np.asarray(batch["n_a"]) + np.asarray(batch["n_b"])) * (q - p) // (q + p)
+            yield batch.select(["a", "b", "times"]).filter(pa.array(np.array(apart, np.int64) <= bound))
+
+    return pairs.mapInArrow(run, "a long, b long, times long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = _only(sets.select("id", "set"), ids)
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("left")), sets.select(F.col("id").alias("b"), F.col("set").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", both)
@@ -220,11 +241,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """pairs whose ends have different roots; ``roots`` has (id, root) for all but the roots themselves."""
+    """pairs whose ends have different roots, with those; ``roots`` has (id, root) for all but the roots themselves."""
     for c in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
     differ = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    return pairs.where(differ).drop("root_a", "root_b")
+    return pairs.where(differ)
 
 
 def _unresolved(shared: DataFrame, classes: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -264,7 +285,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     signed = cut(_signed(texts, n))
     known = signed.where("id is not null and n > 0")
     reps = known.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(known.join(reps.where("copies > 1"), ["n", "one", "two"]).where("id != rep").select("id", "rep").distinct())
+    classes, _ = settled(known.join(reps.where("copies > 1"), ["n", "one", "two"]).where("id != rep").select("id", "rep").distinct())
     largest = signed.agg(F.max("n")).first()[0] or 0
     keyed = _segments(texts.where("id is not null"), n, Bands(p, q, largest))
     keyed = keyed.repartition(tasks(docs), "key").sortWithinPartitions("key", "near", "id")
@@ -275,17 +296,19 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     for c in ("a", "b"):
         proposed = proposed.join(classes.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
     pairs = proposed.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("times").alias("times"))
-    pairs = cut(pairs)
     ids = shared.select("id").join(classes, "id", "left").select(F.coalesce("rep", "id").alias("id")).distinct()
     sets = cut(_whole_sets(_only(texts, ids), n))
-
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(_verified(best, sets, p, q))
-    roots = cut(components(links))
-    links = cut(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(_verified(_rooted(pairs, roots), sets, p, q)))
-    roots = cut(components(links))
-    more = cut(_unresolved(shared, classes, roots, sets, p, q))
-    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(_verified(more, sets, p, q)).union(classes)
-    roots = cut(components(links))
+    pairs, _ = settled(_possible(pairs, sets, p, q))
+    roots, _ = settled(components(_verified(pairs, sets, p, q)))
+    more, left = settled(_unresolved(shared, classes, roots, sets, p, q))
+    if left:
+        between = _rooted(_verified(more, sets, p, q), roots).select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        joined = components(between).select(F.col("id").alias("root"), F.col("root").alias("next"))
+        # what had no root of its own may be a root that got one
+        roots = roots.join(joined, "root", "left").select("id", F.coalesce("next", "root").alias("root")).union(joined.select("root", "next"))
+        roots, _ = settled(roots)
+    members = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
+    roots = roots.union(members)
+    roots = roots.groupBy("id").agg(F.min("root").alias("root"))
     out = signed.select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.least("id", F.coalesce("root", "id")).alias("component_id"))
