@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, language_model, packing, pii, quality_classifier, quality_rules, token_store
+from . import decontamination, html_extraction, jaccard_join, language_model, packing, pii, quality_classifier, quality_rules, quotation, token_store
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link(table(spark, sf_dir, "conversations"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.score", "m.start", "m.end")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sanitisation, op2_html_extraction, op3_token_store, op5_jaccard_join, op6_packing, op7_language_model, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sanitisation, op2_html_extraction, op3_token_store, op4_quotation_linking, op5_jaccard_join, op6_packing, op7_language_model, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quotation_linking": quotation.SQL}
