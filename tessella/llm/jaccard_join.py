@@ -195,8 +195,11 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose id is among ids: by broadcast when those are few enough, else by a shuffled join."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return docs.join(_small_ids(ids), "id", "left_semi")
+
+
+def _small_ids(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -312,3 +315,18 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     roots = roots.groupBy("id").agg(F.min("root").alias("root"))
     out = signed.select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.least("id", F.coalesce("root", "id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, p: int = 4, q: int = 5) -> DataFrame:
+    """One row of docs, all its columns, for each component: that with the smallest id.
+
+    Rows that share an id are one document, of which the row with the smallest text stays; rows without an id all stay.
+    """
+    kept = linked(docs, id_col, text_col, n, p, q).select(F.col(id_col).alias("id"), "component_id").where("id = component_id")
+    ids = kept.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    ids, _ = settled(ids)
+    row = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    small = _small_ids(ids)
+    single = row.join(small.where("rows = 1"), "id", "left_semi").select("row")
+    several = row.join(small.where("rows > 1"), "id", "left_semi").groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row")
+    return single.union(several).union(row.where("id is null").select("row")).select("row.*")

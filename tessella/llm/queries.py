@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, jaccard_join, language_model, packing, pii, quality_classifier, quality_rules, quotation, token_store
-from .common import table
+from .common import shared_folder, table
 
 
 def op1_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_store.shared_folder(spark)
+    path = shared_folder(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), path)
     return token_store.read(spark, path)
 

@@ -12,8 +12,6 @@ are stored each; an empty table gives an empty store; extra columns are ignored.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +30,6 @@ from .token_ids import encoder
 SHARD_IDS = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder, or a local one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/token-store-{uuid.uuid4().hex}"
-
-
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", file: str = "word_bpe_49k.json", end: int = 2) -> None:
     """Encodes and writes all rows; each text's ids are followed by ``end``."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
