@@ -3,10 +3,11 @@
 A document is the set of its distinct n-word shingles. XOR-hashing the set into a bit sketch
 toggles one bit a shingle, so the Hamming distance of two sketches is at most the size of the
 sets' symmetric difference. Sets with Jaccard similarity of p/q or more and sizes a and b differ in
-at most ``D = (a + b)(q - p) // (q + p)`` shingles; a sketch of ``D + 1`` segments of 64 bits
-therefore agrees in one segment at least (pigeonhole). Sizes are banded so that partners lie in
-the same band or the next, each document sends its segments to both, and segments that
-agree propose pairs, which are verified on the whole sets.
+at most ``D = (a + b)(q - p) // (q + p)`` shingles, so of ``S > D`` segments of their sketches ``S - D`` agree
+at least (pigeonhole). Sizes are banded so that partners lie in the same band or the next, each document
+sends its segments to both, and segments that agree propose pairs, which are verified on the whole
+sets. Segments are sparse and wide, so by chance only empty ones agree; with ``S - D`` above one, a
+document need not send its empty segments unless it has ``S - D`` of them.
 
 Nothing emits all pairs of a group. Equal sets are one class from the start. In a bucket of
 equal segments each class is proposed to the bucket's first and to its neighbour in the order of
@@ -89,12 +90,19 @@ def _signatures(keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarra
     return sizes, one, two
 
 
-def parity_sketch(keys: np.ndarray, doc: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit segments of every document's sketch in one array, and where each document's begin."""
+def parity_sketch(keys: np.ndarray, doc: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed segments of every document's sketch in one array, which of them have a shingle, and where each document's begin.
+
+    Keys are sorted by document and key. A shingle's segment is the range that its key is in; XOR of the hashes
+    of a segment's shingles stands for its bits (two segments with different bits hash differently).
+    """
     begin = np.concatenate(([0], np.cumsum(segments)))
-    segment = ((keys >> w.U64(32)) % segments[doc].astype(w.U64)).astype(np.int64)
-    bits = np.bincount((begin[doc] + segment) * 64 + (keys & w.U64(63)).astype(np.int64), minlength=int(begin[-1]) * 64)
-    return np.packbits((bits & 1).astype(bool), bitorder="little").view(w.U64), begin
+    place = begin[doc] + (((keys >> w.U64(32)) * segments[doc].astype(w.U64)) >> w.U64(32)).astype(np.int64)
+    out, used = np.zeros(int(begin[-1]), w.U64), np.zeros(int(begin[-1]), bool)
+    if len(place):
+        heads = np.flatnonzero(np.append(True, np.diff(place) > 0))
+        out[place[heads]], used[place[heads]] = np.bitwise_xor.reduceat(w.mix(keys ^ w.MIX2), heads), True
+    return out, used, begin
 
 
 def _folded(keys: np.ndarray, doc: np.ndarray, docs: int) -> list[bytes]:
@@ -113,17 +121,19 @@ def _bucket_rows(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, sizes: np.n
     own = bands.of(np.maximum(sizes, 1))
     for step in (0, 1):
         band = np.minimum(own + step, len(bands.differ) - 1)
-        segments = np.where((sizes > 0) & (bands.differ[band] > 0), bands.differ[band] + 1, 0)
+        differ = bands.differ[band]
+        segments = np.where((sizes > 0) & (differ > 0), differ + 2 + differ // 16, 0)
         mine = segments[doc] > 0
         if not mine.any():
             continue
-        sketch, begin = parity_sketch(keys[mine], doc[mine], np.maximum(segments, 1))
-        owner = np.repeat(np.arange(len(sizes)), np.maximum(segments, 1))
+        sketch, used, begin = parity_sketch(keys[mine], doc[mine], segments)
+        owner = np.repeat(np.arange(len(sizes)), segments)
         number = np.arange(len(owner)) - begin[owner]
+        empty = segments - np.bincount(owner, used, len(sizes)).astype(np.int64)
+        sent = np.flatnonzero(used | (empty >= segments - differ)[owner])
         key = w.mix(sketch ^ w.mix(band[owner].astype(w.U64) * w.U64(1 << 32) + number.astype(w.U64)))
-        after = begin[owner] + (number + 1) % np.maximum(segments, 1)[owner]
+        after = begin[owner] + (number + 1) % segments[owner]
         near = (w.mix(sketch[after]) >> w.U64(33)).astype(np.int32)
-        sent = segments[owner] > 0
         out.append((key.view(np.int64)[sent], near[sent], ids[owner[sent]]))
     return out
 
