@@ -9,15 +9,21 @@ A-Z lower-cased already, unless a text may spell a special token.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
+from . import words as w
+
 #: Distinct words that a worker remembers, from task to task (about 200 bytes each).
 REMEMBERED = 1_000_000
+#: What may follow a word's letters and is a token run of its own (an apostrophe may join them, a "<" begin a special token).
+TAIL = "".join(c for c in string.punctuation if c not in "'<")
 
 
 @lru_cache(maxsize=2)
@@ -35,19 +41,14 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _words(text: str | None, lower: bool) -> list[bytes]:
-    data = (text or "").encode()
-    return (data.lower() if lower and b"<" not in data else data).split()
-
-
 class _Numbers(dict):
     """Numbers words in the order in which they are first looked up; ``fresh`` has those not encoded yet."""
 
     def __init__(self):
         super().__init__()
-        self.fresh: list[bytes] = []
+        self.fresh: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
         self.fresh.append(word)
         return number
@@ -65,19 +66,54 @@ class Encoder:
     def __init__(self, file: str):
         self.tokenizer = _tokenizer(file if "/" in file else vocabulary_path(file))
         self.lowers = self.tokenizer.normalizer is not None and '"Lowercase"' in self.tokenizer.to_str()[:2000]
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.lowers:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.number = _Numbers()
-        self.ids, self.used = np.empty(1 << 16, np.uint16), 0
+        self.ids, self.used = np.empty(1 << 16, np.uint16), 1  # the first place is for the end
         self.begin, self.many = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _learn(self) -> None:
-        fresh, self.number.fresh = self.number.fresh, []
-        got = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         lists = [x.ids for x in got]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_ids`` of words that are lower-case letters only, in long lines: a word ends where a token is a word end."""
+        flat, _ = self._ids([" ".join(words[k : k + 256]) for k in range(0, len(words), 256)])
+        stops = np.flatnonzero(self.ends[flat])
+        return (flat, np.diff(stops, prepend=-1)) if len(stops) == len(words) else self._ids(words)
+
+    def _learn(self) -> None:
+        fresh, self.number.fresh = self.number.fresh, []
+        if self.ends is None:
+            flat, sizes = self._ids(fresh)
+        else:  # letters, then what follows them, if anything
+            cores = [x.rstrip(TAIL) for x in fresh]
+            plain = np.fromiter((c.isalpha() and c.islower() for c in cores), bool, len(cores))
+            heads = {c: None for c, ok in zip(cores, plain.tolist(), strict=True) if ok}
+            tails = {x[len(c) :]: None for x, c, ok in zip(fresh, cores, plain.tolist(), strict=True) if ok}
+            other = [x for x, ok in zip(fresh, plain.tolist(), strict=True) if not ok]
+            parts = [self._plain_ids(list(heads)), self._ids(list(tails)), self._ids(other)]
+            ids, sizes = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+            begin = np.cumsum(sizes) - sizes
+            head_at, tail_at = {x: i for i, x in enumerate(heads)}, {x: len(heads) + i for i, x in enumerate(tails)}
+            first, second = np.empty(len(fresh), np.int64), np.full(len(fresh), -1)
+            first[~plain] = len(heads) + len(tails) + np.arange(len(other))
+            first[plain] = np.fromiter((head_at[c] for c, ok in zip(cores, plain.tolist(), strict=True) if ok), np.int64)
+            second[plain] = np.fromiter((tail_at[x[len(c) :]] for x, c, ok in zip(fresh, cores, plain.tolist(), strict=True) if ok), np.int64)
+            both = np.stack([first, second], axis=1).ravel()
+            many = np.where(both < 0, 0, sizes[both])
+            at = np.repeat(begin[both] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            flat, sizes = ids[at], many.reshape(-1, 2).sum(axis=1)
         if len(flat) and flat.max() > np.iinfo(self.ids.dtype).max:
             self.ids = self.ids.astype(np.uint32)
         n, total = len(self.number) - len(fresh), self.used + len(flat)
@@ -92,24 +128,35 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and where each text begins (one more entry: the end)."""
-        split = [_words(x, self.lowers) for x in texts.to_pylist()]
-        words = list(chain.from_iterable(split))
+        data, starts = w.text_bytes(texts)
+        if self.lowers:
+            marked = np.searchsorted(starts, np.flatnonzero(data == ord("<")), "right") - 1
+            lower = w.LOWER[data]
+            for i in np.unique(marked):
+                lower[starts[i] : starts[i + 1]] = data[starts[i] : starts[i + 1]]
+            data = lower
+        inside = ~w.SPACE[data]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))  # texts end in a newline
+        begins, sizes = edges[::2], edges[1::2] - edges[::2]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        flat = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+        words = flat.dictionary_encode()
+        per_text = np.diff(np.searchsorted(begins, starts))
         if len(self.number) > REMEMBERED:
             self._reset()
-        index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        number = np.fromiter(map(self.number.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        index = number[np.asarray(words.indices)]
         if self.number.fresh:
             self._learn()
         # the end is one more word after each text
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.arange(len(words)) + np.repeat(np.arange(len(split)), per_text)
-        many = np.ones(len(words) + len(split), np.int64)
-        begin = np.full(len(many), -1)
+        at = np.arange(len(words)) + np.repeat(np.arange(len(per_text)), per_text)
+        many = np.ones(len(words) + len(per_text), np.int64)
+        begin = np.zeros(len(many), np.int64)
         many[at], begin[at] = self.many[index], self.begin[index]
+        if end > np.iinfo(self.ids.dtype).max:
+            self.ids = self.ids.astype(np.uint32)
+        self.ids[0] = end
         stop = np.cumsum(many)
-        total = int(stop[-1]) if len(stop) else 0
-        out = np.full(total, end, np.int64)
-        inner = np.repeat(begin >= 0, many)
-        source = np.repeat(begin - (stop - many), many) + np.arange(total)
-        out[inner] = self.ids[source[inner]]
-        ends = stop[np.cumsum(per_text + 1) - 1] if len(split) else stop
+        out = self.ids[np.repeat(begin - (stop - many), many) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        ends = stop[np.cumsum(per_text + 1) - 1] if len(per_text) else stop
         return out, np.concatenate(([0], ends))
