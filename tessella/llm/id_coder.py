@@ -21,13 +21,13 @@ import zlib
 import numpy as np
 
 #: Ids in a block, slots of a context table, steps between renewals of the order-0 frequencies.
-BLOCK, SLOTS, RENEW = 8192, 2048, 128
+BLOCK, SLOTS, RENEW = 2048, 1024, 128
 CLASSES = 17
-_I, _U = np.int64, np.uint64
+_I, _N, _U, _E = np.int64, np.int32, np.uint64, np.uint32
 _TOP, _LOW32, _MASK48 = _U(32), _U((1 << 32) - 1), _U((1 << 48) - 1)
-STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((i + 0.5) / (4095.5 - i))))) for i in range(4096)], _I)
-SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-i / 256))))) for i in range(-2047, 2048)], _I)
-LENGTH = np.array([i.bit_length() for i in range(1 << 16)], _I)
+STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((i + 0.5) / (4095.5 - i))))) for i in range(4096)], _N)
+SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-i / 256))))) for i in range(-2047, 2048)], _N)
+LENGTH = np.array([i.bit_length() for i in range(1 << 16)], _N)
 
 
 class _Model:
@@ -36,12 +36,12 @@ class _Model:
     def __init__(self, lanes: int):
         self.lanes = lanes
         self.row = np.arange(lanes, dtype=_I) * SLOTS
-        self.one, self.two = np.zeros(lanes * SLOTS, _I), np.zeros(lanes * SLOTS, _I)  # id << 16 | trust
-        self.w1, self.w2 = np.full(lanes, 32768, _I), np.full(lanes, 49152, _I)
-        self.counts = np.zeros(lanes * CLASSES, _I)
+        self.one, self.two = np.zeros(lanes * SLOTS, _E), np.zeros(lanes * SLOTS, _E)  # id << 16 | trust
+        self.w1, self.w2 = np.full(lanes, 32768, _N), np.full(lanes, 49152, _N)
+        self.counts = np.zeros(lanes * CLASSES, _N)
         self.count_row = np.arange(lanes, dtype=_I) * CLASSES
         self.cum_row = np.arange(lanes, dtype=_I) * (CLASSES + 1)
-        self.last, self.before = np.zeros(lanes, _I), np.zeros(lanes, _I)
+        self.spread, self.spread_before = np.zeros(lanes, _E), np.zeros(lanes, _E)  # the last id's hash and the one's before
         self.step = 0
 
     def predict(self) -> None:
@@ -49,36 +49,37 @@ class _Model:
             counts = self.counts.reshape(self.lanes, CLASSES)
             share = 1 + counts * (256 - CLASSES) // np.maximum(counts.sum(axis=1, keepdims=True), 1)
             share[np.arange(self.lanes), counts.argmax(axis=1)] += 256 - share.sum(axis=1)
-            cum = np.zeros((self.lanes, CLASSES + 1), _I)
+            cum = np.zeros((self.lanes, CLASSES + 1), _N)
             np.cumsum(share, axis=1, out=cum[:, 1:])
             self.cum, self.share = cum.ravel(), share
             self.counts //= 2
         self.step += 1
-        self.i1 = self.row + ((self.last * 40503 >> 4) & (SLOTS - 1))
-        self.i2 = self.row + ((self.last * 40503 + self.before * 60493 >> 5) & (SLOTS - 1))
-        self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
+        self.i1 = self.row + (self.spread >> 4 & SLOTS - 1)
+        self.i2 = self.row + (self.spread + self.spread_before * _E(3) >> 5 & SLOTS - 1)
+        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
         self.c1, self.c2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
         self.p1, self.p2 = self.e1 >> 16, self.e2 >> 16
-        second = self.c2 >= self.c1
-        self.guess = np.where(second, self.p2, self.p1)
-        self.s1 = STRETCH[self.c1 >> 4] * (self.p1 == self.guess)
-        self.s2 = STRETCH[self.c2 >> 4] * (self.p2 == self.guess)
+        self.guess = np.where(self.c2 >= self.c1, self.p2, self.p1)
+        self.s1 = STRETCH.take(self.c1 >> 4) * (self.p1 == self.guess)
+        self.s2 = STRETCH.take(self.c2 >> 4) * (self.p2 == self.guess)
         mixed = (self.w1 * self.s1 + self.w2 * self.s2) >> 16
-        self.p = SQUASH[np.clip(mixed, -2047, 2047) + 2047]
-        self.hit_size = self.p * 15 + 32
+        mixed += 2047
+        self.p = SQUASH.take(mixed, mode="clip")
+        self.hit_size = self.p * _N(15) + _N(32)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, length: np.ndarray) -> None:
         error = (hit << 12) - self.p
-        self.w1 += (self.s1 * error) >> 11
-        self.w2 += (self.s2 * error) >> 11
-        np.clip(self.w1, -65536, 262144, out=self.w1)
-        np.clip(self.w2, -65536, 262144, out=self.w2)
+        for weight, told in ((self.w1, self.s1), (self.w2, self.s2)):
+            weight += (told * error) >> 11
+            np.maximum(weight, -65536, out=weight)
+            np.minimum(weight, 262144, out=weight)
         fresh = ids << 16 | 6144
         for table, at, entry, trust, was in ((self.one, self.i1, self.e1, self.c1, self.p1), (self.two, self.i2, self.e2, self.c2, self.p2)):
-            right = was == ids
-            table[at] = np.where(right, entry + ((65535 - trust) >> 3), np.where(trust < 16384, fresh, entry - (trust >> 2)))
-        self.counts[self.count_row + length] += 24 * (1 - hit)
-        self.before, self.last = self.last, ids
+            wrong = np.where(trust < 16384, fresh, entry - (trust >> 2))
+            table[at] = np.where(was == ids, entry + (65535 - trust >> 3), wrong)
+        missed = np.flatnonzero(hit == 0)
+        self.counts[self.count_row[missed] + length[missed]] += 24
+        self.spread_before, self.spread = self.spread, ids * _E(40503)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -91,7 +92,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     lanes, steps = -(-len(ids) // block), min(block, len(ids))
     grid = np.zeros((lanes, steps), _I)
     grid.ravel()[: len(ids)] = ids
-    by_step = np.ascontiguousarray(grid.T)
+    by_step = np.ascontiguousarray(grid.T.astype(_E))
     model, literal = _Model(lanes), np.empty((steps, lanes), bool)
     words, used = np.zeros(lanes * (2 * steps + 8), np.uint16), np.arange(lanes, dtype=_I) * (2 * steps + 8)
     first = used.copy()
@@ -99,13 +100,13 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     for t in range(steps):
         now = by_step[t]
         model.predict()
-        hit = (now == model.guess).astype(_I)
-        length = LENGTH[now]
-        literal[t] = hit == 0
+        right = now == model.guess
+        hit, literal[t] = right.astype(_N), ~right
+        length = LENGTH.take(now)
         at = model.cum_row + length
         rest = 65536 - model.hit_size
-        a = np.where(hit, 0, model.hit_size + (model.cum[at] * rest >> 8))
-        b = np.where(hit, model.hit_size, model.hit_size + (model.cum[at + 1] * rest >> 8))
+        a = np.where(right, 0, model.hit_size + (model.cum.take(at) * rest >> 8))
+        b = np.where(right, model.hit_size, model.hit_size + (model.cum.take(at + 1) * rest >> 8))
         unit = size >> _U(16)
         low += a.astype(_U) * unit
         size = (b - a).astype(_U) * unit
@@ -160,8 +161,9 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     used, bit = first + 3, np.zeros(lanes, _I)
     code = sum(words[first + i].astype(_U) << _U(32 - 16 * i) for i in range(3))
     low, size = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
-    model, out = _Model(lanes), np.empty((steps, lanes), _I)
+    model, out = _Model(lanes), np.empty((steps, lanes), _E)
     class_of = np.repeat(np.arange(CLASSES), 256)  # replaced at the first renewal
+    class_row = np.arange(lanes) * 256
     for t in range(steps):
         renewed = model.step % RENEW == 0
         model.predict()
@@ -169,25 +171,25 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
             class_of = np.repeat(np.tile(np.arange(CLASSES), lanes), model.share.ravel())
         unit = size >> _U(16)
         v = np.minimum((code - low) // unit, _U(65535)).astype(_I)
-        hit = (v < model.hit_size).astype(_I)
+        right = v < model.hit_size
+        hit = right.astype(_N)
         rest = 65536 - model.hit_size
         # the class whose interval holds v: the 8-bit share below it, or the next, as intervals are rounded down
         part = np.clip(((v - model.hit_size) << 8) // rest, 0, 255)
-        length = class_of[np.arange(lanes) * 256 + part]
+        length = class_of.take(class_row + part)
         at = model.cum_row + length
-        up = (model.hit_size + (model.cum[at + 1] * rest >> 8) <= v) & (hit == 0)
-        at += up
+        at += (model.hit_size + (model.cum.take(at + 1) * rest >> 8) <= v) & ~right
         length = at - model.cum_row
-        bits = np.where(hit, 0, np.maximum(length - 1, 0))
+        bits = np.where(right, 0, np.maximum(length - 1, 0))
         word = raw_first + (bit >> 4)
-        window = raw[word].astype(_I) << 16 | raw[word + 1]
+        window = raw.take(word).astype(_I) << 16 | raw.take(word + 1)
         lower = (window >> (32 - (bit & 15) - bits)) & ((1 << bits) - 1)
         bit += bits
-        now = np.where(hit, model.guess, np.where(length > 0, lower | (1 << bits), 0))
-        length = LENGTH[now]
+        now = np.where(right, model.guess, np.where(length > 0, lower | (1 << bits), 0)).astype(_E)
+        length = LENGTH.take(now)
         out[t] = now
-        a = np.where(hit, 0, model.hit_size + (model.cum[at] * rest >> 8))
-        b = np.where(hit, model.hit_size, model.hit_size + (model.cum[at + 1] * rest >> 8))
+        a = np.where(right, 0, model.hit_size + (model.cum.take(at) * rest >> 8))
+        b = np.where(right, model.hit_size, model.hit_size + (model.cum.take(at + 1) * rest >> 8))
         low += a.astype(_U) * unit
         size = (b - a).astype(_U) * unit
         todo = np.flatnonzero(size < _U(1 << 32))
@@ -200,7 +202,8 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
             low[todo], size[todo] = (l << _U(16)) & _MASK48, s << _U(16)
             todo = todo[s << _U(16) < _U(1 << 32)]
         model.learn(now, hit, length)
-    ids = [out[: heads[k, 0], k] for k in range(lanes)]
+    out = np.ascontiguousarray(out.T)
+    ids = [out[k, : heads[k, 0]] for k in range(lanes)]
     for x, h in zip(ids, heads, strict=True):
         if zlib.crc32(x.astype("<u4").tobytes()) != h[1]:
             raise ValueError("a block's checksum doesn't fit its ids")
