@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import fold, has_word
+from tessella.functions.text import fold, has_word, once
 
 #: Taxonomies, in the order that results keep.
 ERAS = ("early", "renaissance", "baroque", "classical", "romantic", "twentieth", "contemporary")
@@ -21,15 +21,27 @@ INCLUSIONS = {"opera-event": ("opera",), "zarzuela-event": ("zarzuela",), "organ
 
 def first_rule(text: Column, rules: Mapping[str, Sequence[str]]) -> Column:
     """The first rule that hits, else null."""
-    folded, out = fold(text), None
-    for name, words in rules.items():
-        hit = has_word(folded, f"(?:{'|'.join(words)})")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+
+    def chosen(folded: Column) -> Column:
+        out = None
+        for name, words in rules.items():
+            hit = has_word(folded, f"(?:{'|'.join(words)})")
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out
+
+    return once(fold(text), chosen)
 
 
 def eligibility(exclusion: Column, inclusion: Column, substantial: Column, principal: Sequence[str] = ("film-music-identity", "popular-music-identity")) -> Column:
     """struct(value, rule_id): exclusions and inclusions weighed in a fixed order."""
+
+    def weighed(found: Column) -> Column:
+        return _weighed(found["x"], found["i"], found["s"], principal)
+
+    return once(F.struct(exclusion.alias("x"), inclusion.alias("i"), substantial.alias("s")), weighed)
+
+
+def _weighed(exclusion: Column, inclusion: Column, substantial: Column, principal: Sequence[str]) -> Column:
     pair = lambda value, rule: F.struct(F.lit(value).alias("value"), rule.alias("rule_id"))
     both = exclusion.isNotNull() & inclusion.isNotNull()
     out = F.when(both & substantial, pair("include", F.lit("mixed-program-classical-block")))
@@ -40,7 +52,10 @@ def eligibility(exclusion: Column, inclusion: Column, substantial: Column, princ
 
 def access(text: Column) -> Column:
     """struct(value, rule_id) from what a text says about entry."""
-    folded = fold(F.coalesce(text, F.lit("")))
+    return once(fold(F.coalesce(text, F.lit(""))), _access)
+
+
+def _access(folded: Column) -> Column:
     pair = lambda value, rule: F.struct(F.lit(value).alias("value"), F.lit(rule).alias("rule_id"))
     free = folded.isin(*FREE) | has_word(folded, "(?:gratis|gratuit[oa]s?|free|kostenlos)") | folded.rlike("entrada libre|acceso libre|libre hasta completar aforo")
     paid = folded.isin(*PAID) | has_word(folded, "(?:precios?|tickets?|euros?|eur|entradas)")
