@@ -1,42 +1,5 @@
 """What the operators share: reading tables and cutting lineage safely."""
 
-from __future__ import annotations
+from tessella.sources.storage import cut, settled, shared_folder, table, tasks
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, or a local one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and reads it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a folder of our own is set. Files survive the loss of executors.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
-def tasks(df: DataFrame) -> int:
-    """The session's number of shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def settled(df: DataFrame, rows_a_task: int = 50_000) -> tuple[DataFrame, int]:
-    """cut(df) with as many partitions as its rows ask for, and the number of rows."""
-    df = cut(df)
-    rows = df.count()
-    return df.coalesce(1 + rows // rows_a_task), rows
+__all__ = ["cut", "settled", "shared_folder", "table", "tasks"]
