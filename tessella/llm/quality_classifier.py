@@ -31,6 +31,8 @@ from . import words as w
 from .common import cut
 
 SHAPE = 11
+#: Bytes of a word's beginning that are features of their own, and bits of a feature's hash.
+PREFIXES, BITS = (5, 7), w.U64(44)
 #: Word evidence is divided by this power of the number of known words. Quality is a matter of
 #: the whole text; a few words make a text toxic, however long it is.
 DAMPING = (0.5, 0.0)
@@ -45,7 +47,10 @@ _DIGIT[48:58] = True
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, word hash) pairs in two arrays, and the shape features of each document."""
+    """Distinct (document, feature) pairs in two arrays, and the shape features of each document.
+
+    A feature is 44 bits of a word's hash, or of the hash of a longer word's beginning; the lowest bit tells which.
+    """
     data, starts = w.text_bytes(texts)
     docs = len(starts) - 1
     runs, lines = w.Runs(data, starts), w.Runs(data, starts, w.NEWLINE, w.SAME)
@@ -54,11 +59,13 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
         return (sums[starts[1:]] - sums[starts[:-1]]).astype(float)
 
-    bare = w.Runs(data, starts, w.BREAK)
-    order = np.lexsort((bare.hash, bare.doc))
-    doc, word = bare.doc[order], bare.hash[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
+    bare = w.Runs(data, starts, w.BREAK, prefixes=PREFIXES)
+    sizes, parts = bare.ends - bare.starts, [(bare.doc, bare.hash, 0)]
+    for k, heads in zip(PREFIXES, bare.prefixes, strict=True):
+        parts.append((bare.doc[sizes > k], heads[sizes > k], 1))
+    key = np.sort(np.concatenate([(d.astype(w.U64) << BITS) | (h >> (w.U64(64) - BITS)) & ~w.U64(1) | w.U64(kind) for d, h, kind in parts]))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    doc, word = (key >> BITS).astype(np.int64), key & ((w.U64(1) << BITS) - w.U64(1))
     n = np.maximum(w.per_doc(runs.doc, docs), 1)
     chars = np.maximum(count(~w.SPACE[data]), 1)
     letters, letter_sums = count(_LETTER[data]), np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int64)))
@@ -71,7 +78,7 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count(_UPPER[data]) / np.maximum(letters, 1),
         count(_DIGIT[data]) / chars,
         w.per_doc(runs.doc[letter_sums[runs.ends] == letter_sums[runs.starts]], docs) / n,
-        w.per_doc(doc[first], docs) / np.maximum(w.per_doc(bare.doc, docs), 1),
+        w.per_doc(doc[word & w.U64(1) == 0], docs) / np.maximum(w.per_doc(bare.doc, docs), 1),
         w.per_doc(lines.doc[again], docs) / np.maximum(w.per_doc(lines.doc, docs), 1),
         w.per_doc(runs.doc[1:][stutter], docs) / n,
         w.per_doc(runs.doc[at][twice], docs) / n,
@@ -79,7 +86,7 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count(_SYMBOL[data]) / chars,
         count(_SYMBOL[data]) > 0.1 * chars,
     ])
-    return doc[first], word[first], shape
+    return doc, word, shape
 
 
 @dataclass(frozen=True)
@@ -101,21 +108,27 @@ class Model:
         return np.column_stack([dense[:, h] + np.bincount(doc, self.words[h][at], len(shape)) / known ** DAMPING[h] for h in range(2)])
 
 
-def _fit_head(rows: np.ndarray, cols: np.ndarray, size: int, shape: np.ndarray, y: np.ndarray, damping: float, rounds: int = 300, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Full-batch logistic regression (Adam) on presence / known words ** damping and shape."""
+def _fit_head(rows: np.ndarray, cols: np.ndarray, size: int, shape: np.ndarray, y: np.ndarray, damping: float, rounds: int = 200, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Full-batch logistic regression (Adam) on presence / known words ** damping and shape.
+
+    Presence counts as much as the feature's log ratio between the two classes, so the ridge falls on features
+    that tell nothing, not on the few that do.
+    """
     dense = np.column_stack([shape, np.ones(len(shape))])
-    scale = np.maximum(np.bincount(rows, minlength=len(y)), 1.0) ** -damping
     theta = np.zeros(size + dense.shape[1])
     if len(y) == 0 or y.min() == y.max():
         return theta[:size], theta[size:]
-    first, second, value = np.zeros_like(theta), np.zeros_like(theta), scale[rows]
+    with_it = [np.bincount(cols, side[rows], size) for side in (y, 1 - y)]
+    ratio = np.abs(np.log((with_it[0] + 0.5) / (y.sum() + 1)) - np.log((with_it[1] + 0.5) / ((1 - y).sum() + 1)))
+    value = ratio[cols] * (np.maximum(np.bincount(rows, minlength=len(y)), 1.0) ** -damping)[rows]
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         margin = np.bincount(rows, value * theta[cols], len(y)) + dense @ theta[size:]
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
         slope = np.concatenate([np.bincount(cols, value * error[rows], size), dense.T @ error]) + ridge * theta
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta -= 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return theta[:size], theta[size:]
+    return theta[:size] * ratio, theta[size:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000, max_vocabulary: int = 60_000, min_docs: int = 8, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -203,7 +216,7 @@ def _key(*columns: str) -> Column:
     return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns)) if columns else F.lit("")
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = None, host_cols: Sequence[str] = ("source",), path_cols: Sequence[str] = ("lang",), threshold: float = 0.5, toxic_threshold: float = 0.5, text_col: str = "text", model: Model | None = None, **fitting) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = None, host_cols: Sequence[str] = ("source",), path_cols: Sequence[str] = ("lang",), threshold: float = 0.5, toxic_threshold: float = 0.35, text_col: str = "text", model: Model | None = None, **fitting) -> DataFrame:
     """Columns ``keep`` of docs (default: all) in the struct ``row``, with the evidence of each level.
 
     ``own_good``, ``p_host``, ``p_path``, ``p_good`` (own odds moved by the path's), ``own_toxic``
@@ -212,9 +225,13 @@ def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = No
     model = model or fit(docs, labels, text_col=text_col, **fitting)
     host, path = _key(*host_cols), _key(*path_cols)
     row = F.struct(*(F.col(c) for c in (docs.columns if keep is None else keep))).alias("row")
-    sites = site_posteriors(_scores(docs, model, [host.alias("host"), path.alias("path")], text_col).select("kept.*", "own_good"))
-    few = sites.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     scored = _scores(docs, model, [row, host.alias("host"), path.alias("path")], text_col).select("kept.*", "own_good", "own_toxic")
+    if keep is not None and text_col not in keep:  # small rows: score once; else a second look at the texts beats writing them
+        scored = cut(scored)
+        sites = site_posteriors(scored)
+    else:
+        sites = site_posteriors(_scores(docs, model, [host.alias("host"), path.alias("path")], text_col).select("kept.*", "own_good"))
+    few = sites.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     rate, logit = model.rates[0], lambda p: F.log(p / (1 - p))
     safe = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = logit(safe("own_good")) + logit(safe("p_path")) - F.lit(float(np.log(rate / (1 - rate))))

@@ -68,9 +68,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Runs:
-    """Runs between separators: ``starts``, ``ends`` (bytes), ``doc`` (row of the batch), ``hash``."""
+    """Runs between separators: ``starts``, ``ends`` (bytes), ``doc`` (row of the batch), ``hash``, and in ``prefixes``
+    for each of some lengths the hash of a run's first so many bytes."""
 
-    def __init__(self, data: np.ndarray, doc_starts: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = LOWER):
+    def __init__(self, data: np.ndarray, doc_starts: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = LOWER, prefixes: tuple[int, ...] = ()):
         parts, at = [], 0
         while at < len(data):  # pieces end at a separator, so no run is cut
             to = min(len(data), at + CHUNK)
@@ -81,27 +82,29 @@ class Runs:
                 else:
                     more = np.flatnonzero(separators[data[to:]])
                     to = to + int(more[0]) + 1 if len(more) else len(data)
-            parts.append(self._split(data[at:to], at, separators, fold))
+            parts.append(self._split(data[at:to], at, separators, fold, prefixes))
             at = to
-        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64))
-        self.starts, self.ends, self.hash = (np.concatenate(x) for x in zip(*parts or [empty], strict=True))
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, U64)] * (1 + len(prefixes)))
+        self.starts, self.ends, self.hash, *self.prefixes = (np.concatenate(x) for x in zip(*parts or [empty], strict=True))
         self.doc = np.searchsorted(doc_starts, self.starts, "right") - 1
 
     @staticmethod
-    def _split(data: np.ndarray, shift: int, separators: np.ndarray, fold: np.ndarray):
+    def _split(data: np.ndarray, shift: int, separators: np.ndarray, fold: np.ndarray, prefixes: tuple[int, ...]):
         inside = ~separators[data]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
         if not len(starts):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, U64)] * (1 + len(prefixes))
         sizes = ends - starts
         firsts = np.cumsum(sizes) - sizes
         place = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
         power = np.full(int(sizes.max()), BASE)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        hashes = np.add.reduceat(BYTE[fold[data[inside]]] * power[place], firsts)
-        return starts + shift, ends + shift, mix(hashes ^ (sizes.astype(U64) * MIX1))
+        values = BYTE[fold[data[inside]]] * power[place]
+        hashes = np.add.reduceat(values, firsts)
+        heads = [mix(np.add.reduceat(values * (place < k), firsts) ^ np.array([k], U64) * MIX2) for k in prefixes]
+        return starts + shift, ends + shift, mix(hashes ^ (sizes.astype(U64) * MIX1)), *heads
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
