@@ -5,7 +5,7 @@ each item keeps its rarest n-grams as seeds. A second pass joins document window
 on those seeds and aligns the words around the hits with the whole item, so copies with
 words replaced, dropped, added or moved a little still score.
 
-Words are runs of letters and digits with A-Z lower-cased; punctuation does not count.
+Words are runs of letters and digits in lower case; punctuation does not count.
 Test items are taken in blocks of about ``block_bytes`` of text (all of them against all
 rows, one corpus scan a block), so what each task holds is bounded whatever the benchmark's size.
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -30,12 +31,17 @@ MATCH = StructType([StructField("item_id", LongType()), StructField("score", Dou
 _SHIFT = np.int64(1 << 24)
 
 
+def _word_runs(texts: pa.Array) -> tuple[w.Runs, int]:
+    """The words of all texts, and how many texts there are."""
+    data, starts = w.text_bytes(pc.utf8_lower(texts))
+    return w.Runs(data, starts, w.BREAK), len(starts) - 1
+
+
 class Items:
     """A block of test items: word hashes, and each distinct n-gram with the places that have it."""
 
     def __init__(self, ids: list[int], texts: pa.Array, n: int):
-        data, starts = w.text_bytes(texts)
-        runs = w.Runs(data, starts, w.BREAK)
+        runs, _ = _word_runs(texts)
         at = np.searchsorted(runs.doc, np.arange(len(ids) + 1))
         self.ids, self.n = ids, n
         self.words = [runs.hash[at[i] : at[i + 1]] for i in range(len(ids))]
@@ -85,9 +91,8 @@ def align(item: np.ndarray, rows: np.ndarray, match: int = 2, mismatch: int = 1,
 
 
 def _matches(items: Items, texts: pa.Array, least_score: float, least_seeds: int) -> list[list[tuple]]:
-    data, starts = w.text_bytes(texts)
-    runs = w.Runs(data, starts, w.BREAK)
-    out: list[dict] = [{} for _ in range(len(starts) - 1)]
+    runs, docs = _word_runs(texts)
+    out: list[dict] = [{} for _ in range(docs)]
     keys, at = w.windows(runs.hash, runs.doc, items.n)
     left, right = np.searchsorted(items.key, keys, "left"), np.searchsorted(items.key, keys, "right")
     times = right - left
@@ -153,8 +158,7 @@ def _seen(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
         counts = np.zeros(len(seeds), np.int64)
         for batch in batches:
             for part in w.slices(batch, "text"):
-                data, starts = w.text_bytes(part.column("text"))
-                runs = w.Runs(data, starts, w.BREAK)
+                runs, _ = _word_runs(part.column("text"))
                 keys, at = w.windows(runs.hash, runs.doc, items.n)
                 slot = np.minimum(np.searchsorted(seeds, keys), len(seeds) - 1)
                 hit = seeds[slot] == keys
