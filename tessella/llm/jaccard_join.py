@@ -10,8 +10,7 @@ sets. Segments are sparse and wide, so by chance only empty ones agree; with ``S
 document need not send its empty segments unless it has ``S - D`` of them.
 
 Nothing emits all pairs of a group. Equal sets are one class from the start. In a bucket of
-equal segments each class is proposed to the bucket's first and to its neighbour in the order of
-the next segment; proposals that short folded sketches rule out go, the rest is verified, and
+equal segments each class is proposed to the bucket's first and to the one before it; proposals that short folded sketches rule out go, the rest is verified, and
 then, exactly, every pair of a bucket that is still in different components and that folded
 sketches cannot rule out, tile by tile. Pairs within a component need no look, as a link between them changes nothing.
 
@@ -29,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.components import components
+
 from . import words as w
 from .common import cut, settled, tasks
-from .components import components
 
 #: Ids up to which a list of ids is broadcast to filter a table (16 bytes or so each).
 BROADCAST_IDS = 500_000
@@ -132,9 +132,7 @@ def _bucket_rows(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, sizes: np.n
         empty = segments - np.bincount(owner, used, len(sizes)).astype(np.int64)
         sent = np.flatnonzero(used | (empty >= segments - differ)[owner])
         key = w.mix(sketch ^ w.mix(band[owner].astype(w.U64) * w.U64(1 << 32) + number.astype(w.U64)))
-        after = begin[owner] + (number + 1) % segments[owner]
-        near = (w.mix(sketch[after]) >> w.U64(33)).astype(np.int32)
-        out.append((key.view(np.int64)[sent], near[sent], ids[owner[sent]]))
+        out.append((key.view(np.int64)[sent], ids[owner[sent]]))
     return out
 
 
@@ -149,7 +147,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(key, near, id): the band, number and value of a segment, hashed; the next segment's hash; a document."""
+    """(key, id): the band, number and value of a segment, hashed, and a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
@@ -167,10 +165,10 @@ def _segments(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                 sizes = np.where(fresh, sizes, 0)
                 ids = np.asarray(part.column("id"))
                 mine = fresh[doc]
-                for key, near, owner in _bucket_rows(ids, keys[mine], doc[mine], sizes, bands):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(near), pa.array(owner)], ["key", "near", "id"])
+                for key, owner in _bucket_rows(ids, keys[mine], doc[mine], sizes, bands):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], ["key", "id"])
 
-    return docs.mapInArrow(run, "key long, near int, id long")
+    return docs.mapInArrow(run, "key long, id long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -298,10 +296,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     signed = cut(_signed(texts, n))
     known = signed.where("id is not null and n > 0")
     reps = known.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes, _ = settled(known.join(reps.where("copies > 1"), ["n", "one", "two"]).where("id != rep").select("id", "rep").distinct())
+    reps, _ = settled(reps.where("copies > 1"))  # so that the join below is of two tables and a hot class can be split
+    classes, _ = settled(known.join(reps, ["n", "one", "two"]).where("id != rep").select("id", "rep").distinct())
     largest = signed.agg(F.max("n")).first()[0] or 0
     keyed = _segments(texts.where("id is not null"), n, Bands(p, q, largest))
-    keyed = keyed.repartition(tasks(docs), "key").sortWithinPartitions("key", "near", "id")
+    keyed = keyed.repartition(tasks(docs), "key").sortWithinPartitions("key", "id")
     shared = cut(_shared(keyed))
 
     proposed = shared.select("id", F.explode(F.array("first", "before")).alias("other")).where("id != other")
