@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the corpus counts in how many documents each n-gram of a test item occurs;
-each item keeps its rarest n-grams as seeds. A second pass joins document windows to items
-on those seeds and aligns the words around the hits with the whole item, so copies with
-words replaced, dropped, added or moved a little still score.
+One pass over the corpus looks for the n-grams of all test items in each document and aligns the
+words around every hit with the whole item, so copies with words replaced, dropped, added or
+moved a little still score. Every n-gram is a seed and one hit is enough. Where common n-grams
+hit, a window is aligned only if it has enough of the item's words to reach the threshold at
+all; this rules out nothing that could. A copy that keeps no n words in a row has no seed.
 
 Words are runs of letters and digits in lower case; punctuation does not count.
 Test items are taken in blocks of about ``block_bytes`` of text (all of them against all
@@ -49,18 +50,6 @@ class Items:
         order = np.argsort(keys, kind="stable")
         self.key, self.item = keys[order], runs.doc[where[order]]
         self.place = where[order] - at[self.item]
-        self.seeds = np.unique(self.key)
-
-    def rarest(self, seen: dict[int, int], share: float, least: int) -> None:
-        """Each item keeps the ``share`` of its n-grams that fewest documents have, ``least`` at least."""
-        counts = np.array([seen.get(int(k), 0) for k in self.key.view(np.int64)], np.int64)
-        order = np.lexsort((self.place, counts, self.item))
-        rank = np.empty(len(order), np.int64)
-        sizes = np.bincount(self.item, minlength=len(self.ids))
-        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        kept = rank < np.maximum(least, np.ceil(share * sizes))[self.item]
-        self.key, self.item, self.place = self.key[kept], self.item[kept], self.place[kept]
-        self.seeds = np.unique(self.key)
 
 
 def align(item: np.ndarray, rows: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +79,16 @@ def align(item: np.ndarray, rows: np.ndarray, match: int = 2, mismatch: int = 1,
     return best // _SHIFT, best % _SHIFT, end
 
 
-def _matches(items: Items, texts: pa.Array, least_score: float, least_seeds: int) -> list[list[tuple]]:
+def _common(item: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many words each row has in common with the item, each as often as both have it: no alignment matches more."""
+    known, times = np.unique(item, return_counts=True)
+    slot = np.minimum(np.searchsorted(known, rows), len(known) - 1)
+    row, _ = hit = np.nonzero(known[slot] == rows)
+    counts = np.bincount(row * len(known) + slot[hit], minlength=len(rows) * len(known))
+    return np.minimum(counts.reshape(len(rows), len(known)), times).sum(axis=1)
+
+
+def _matches(items: Items, texts: pa.Array, least_score: float) -> list[list[tuple]]:
     runs, docs = _word_runs(texts)
     out: list[dict] = [{} for _ in range(docs)]
     keys, at = w.windows(runs.hash, runs.doc, items.n)
@@ -106,21 +104,18 @@ def _matches(items: Items, texts: pa.Array, least_score: float, least_seeds: int
     doc, begin = runs.doc[word], word - place
     first_word = np.searchsorted(runs.doc, np.arange(len(out) + 1))
     order = np.lexsort((begin, item, doc))
-    doc, item, begin, size, place = doc[order], item[order], begin[order], size[order], place[order]
+    doc, item, begin, size = doc[order], item[order], begin[order], size[order]
     # hits that would put the item at about the same place share a window
     near = np.maximum(3, size // 4)
     apart = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(begin) > near[1:])
-    group = np.concatenate(([0], np.cumsum(apart)))
     head = np.flatnonzero(np.concatenate(([True], apart)))
-    last = np.append(head[1:], len(group)) - 1
-    distinct = np.unique(np.stack([group, place]), axis=1)[0]
-    strong = np.bincount(distinct, minlength=len(head)) >= np.minimum(least_seeds, np.maximum(1, size[head] - items.n + 1))
+    last = np.append(head[1:], len(doc)) - 1
     padded = np.append(runs.hash, w.U64(0))
-    for i in np.unique(item[head[strong]]):
-        mine = head[strong & (item[head] == i)]
-        ends = last[strong & (item[head] == i)]
+    for i in np.unique(item[head]):
+        mine, ends = head[item[head] == i], last[item[head] == i]
         words = items.words[i]
-        margin = max(4, len(words) // 2)
+        # no alignment that reaches the threshold has more gaps than this
+        margin = max(4, int(2 * len(words) * (1 - least_score)))
         lo, hi = begin[mine] - margin, begin[ends] + len(words) + margin
         wide = hi - lo
         for kind in np.unique(wide):  # windows of one length are aligned together
@@ -131,6 +126,10 @@ def _matches(items: Items, texts: pa.Array, least_score: float, least_seeds: int
                 cols = lo[part][:, None] + np.arange(kind)
                 inside = (cols >= first_word[d][:, None]) & (cols < first_word[d + 1][:, None])
                 rows = np.where(inside, padded[np.clip(cols, 0, len(runs.hash))], w.U64(0))
+                able = _common(words, rows) >= least_score * len(words)
+                if not able.any():
+                    continue
+                cols, rows, d = cols[able], rows[able], d[able]
                 score, start, end = align(words, rows)
                 for k in np.flatnonzero(score >= least_score * 2 * len(words)):
                     a = min(int(cols[k, start[k]]), len(runs.hash) - 1) - int(first_word[d[k]])
@@ -150,29 +149,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
         yield got["id"].to_pylist(), got["text"].combine_chunks()
 
 
-def _seen(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs (at most one row a seed and task is shuffled)."""
-    seeds = items.seeds
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for part in w.slices(batch, "text"):
-                runs, _ = _word_runs(part.column("text"))
-                keys, at = w.windows(runs.hash, runs.doc, items.n)
-                slot = np.minimum(np.searchsorted(seeds, keys), len(seeds) - 1)
-                hit = seeds[slot] == keys
-                pairs = np.unique(runs.doc[at[hit]] * len(seeds) + slot[hit])
-                counts += np.bincount(pairs % len(seeds), minlength=len(seeds))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds[some].view(np.int64)), pa.array(counts[some])], ["seed", "docs"])
-
-    head = docs.select(F.col(text_col).cast("string").alias("text"))
-    got = head.mapInArrow(run, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toArrow()
-    return dict(zip(got["seed"].to_pylist(), got["docs"].to_pylist(), strict=True))
-
-
-def contaminated(docs: DataFrame, items: DataFrame, keep: Sequence[str] | None = None, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, seed_share: float = 0.75, least_seeds: int = 2, threshold: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, keep: Sequence[str] | None = None, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """Columns ``keep`` of docs (default: all) in the struct ``row``, and ``matches``.
 
     ``matches`` has (item_id, score, start, end) for every item whose alignment reaches
@@ -183,14 +160,13 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: Sequence[str] | None =
     schema = StructType([*out.schema.fields[:2], StructField("matches", ArrayType(MATCH))])
     for ids, texts in _blocks(items, item_id_col, item_text_col, block_bytes):
         block = Items(ids, texts, n)
-        if not len(block.seeds):
+        if not len(block.key):
             continue
-        block.rarest(_seen(docs, block, text_col), seed_share, 8)
 
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in w.slices(batch, "text"):
-                    found = _matches(block, part.column("text"), threshold, least_seeds)
+                    found = _matches(block, part.column("text"), threshold)
                     before = part.column("matches").to_pylist()
                     both = [b + [dict(zip(MATCH.names, x, strict=True)) for x in f] for b, f in zip(before, found, strict=True)]
                     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -230,6 +230,36 @@ def test_op10(spark, docs, none):
     assert decontamination.contaminated(docs, items.limit(0)).where(F.size("matches") > 0).count() == 0 and decontamination.contaminated(none, items).count() == 0
 
 
+def test_op10_edited_copies_agree_with_brute_force(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda k: [f"w{x}" for x in rng.integers(0, 400, k)]
+    items = {i: prose(k) for i, k in enumerate((5, 8, 15, 15, 22, 38, 38, 59))}
+    docs, must = {}, set()
+    for i, item in items.items():
+        docs[len(docs)] = prose(9) + [f"x{k}" if k % 4 == 3 else x for k, x in enumerate(item)] + prose(9)
+        must.add((len(docs) - 1, i))
+        for share in (0.2, 0.3, 0.4):  # words replaced, dropped and added at random
+            changed = [[x] if rng.random() > share else [["y"], [], [x, "z"]][rng.integers(3)] for x in item]
+            docs[len(docs)] = prose(9) + [y for x in changed for y in x] + prose(9)
+        docs[len(docs)] = item[: len(item) // 2] + prose(len(item) * 3 // 4) + item[len(item) // 2 :]
+
+    def best(a, row):
+        before, most = [0] * (len(row) + 1), 0
+        for x in a:
+            now = [0]
+            for j, y in enumerate(row):
+                now.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, now[j] - 1))
+            before, most = now, max(most, *now)
+        return most / (2 * len(a))
+
+    grams = lambda x: {tuple(x[k : k + 3]) for k in range(len(x) - 2)}
+    want = {(d, i): s for d, x in docs.items() for i, item in items.items() if grams(item) & grams(x) and (s := best(item, x)) >= 0.5}
+    table = lambda rows, name: spark.createDataFrame([(k, " ".join(x)) for k, x in rows.items()], f"{name} long, text string")
+    found = decontamination.contaminated(table(docs, "doc_id"), table(items, "item_id"), keep=["doc_id"]).select("row.doc_id", "matches").collect()
+    assert must <= set(want)
+    assert {(r.doc_id, m.item_id): m.score for r in found for m in r.matches} == want
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(1)
     for _ in range(20):
