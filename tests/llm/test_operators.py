@@ -131,6 +131,25 @@ def test_op4(spark, tmp_path):
     assert Counter(map(plain, quotation.link(rows).collect())) == Counter(plain(dict(x)) for x in want.elements())
 
 
+def test_op4_links_the_nearest_original_of_any_length(spark):
+    rng, said = np.random.default_rng(5), ["Why not?", "Yes, please", "No", "It rains here all the day long."]
+    rows = [(1, 1, "user", "Yes, please"), (1, 9, "user", "Yes, please"), (1, 10, "user", "> Yes, please\nSo be it."), (1, 300, "user", "> yes please!\n> > ...\nYes, please"), (1, 301, "user", "> Yes, please")]
+    rows += [(2, t, "user", f"> {said[rng.integers(4)]}\n{said[rng.integers(4)]}" if t % 3 else said[rng.integers(3)]) for t in range(400)]
+    got = {(r.conv_id, r.turn): r for r in quotation.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    plain, parents = lambda x: " ".join(re.findall("[a-z]+", x.lower())), {}
+    for k, (c, t, _, text) in enumerate(rows):
+        own = lambda x: {plain(y) for y in x.split("\n") if y[:1] != ">"}
+        quoted = {plain(y) for y in text.split("\n") if y[:1] == ">"} - {""}
+        parents[c, t] = max((u for d, u, _, x in rows[:k] if d == c and quoted & own(x)), default=None)
+        assert (got[c, t].parent_turn, got[c, t].n_passages, got[c, t].n_linked) == (parents[c, t], len(quoted), int(parents[c, t] is not None))
+    assert [parents[1, t] for t in (1, 9, 10, 300, 301)] == [None, None, 9, 9, 300]
+    for (c, t), r in got.items():
+        up, depth = t, 0
+        while parents[c, up] is not None:
+            up, depth = parents[c, up], depth + 1
+        assert (r.thread_turn, r.depth) == (up, depth)
+
+
 def components_of(texts, n, p, q):
     def shingles(t):
         x = words(t)
