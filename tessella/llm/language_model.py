@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from . import words as w
 
 END, START = w.mix(np.array([0xE0D, 0x57A27], w.U64))
-#: Bytes of text in a chunk, and of text that a bucket counts for (about as many bytes of requests).
+#: Bytes of text in a chunk, and of text that a bucket counts for at each n-gram length (about as many bytes of requests).
 CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 6 << 20
-#: A word that begins more than this share of all n-grams may be spread over buckets.
+#: A history that begins more than this share of all n-grams may be spread over buckets.
 HOT_SHARE = 1e-4
 _ANSWER = "p int, bucket int, level int, blob binary"
 
@@ -189,34 +189,43 @@ def _count(requests: list[bytes]) -> list[bytes]:
     return out
 
 
-def _hot_words(texts: DataFrame) -> dict[int, float]:
-    """Histories of one word that begin more than HOT_SHARE of all n-grams, and their share."""
+def _hot_histories(texts: DataFrame, order: int) -> list[dict[int, float]]:
+    """For n-grams of 1 .. order tokens the histories that begin more than HOT_SHARE of them, and their share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in w.slices(batch, "text", 4 * w.CHUNK):
-                tokens, _ = _tokens(part.column("text"))
-                seen, counts = np.unique(tokens, return_counts=True)
-                often = counts > len(tokens) * HOT_SHARE * 10
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[often].view(np.int64), 0)), pa.array(np.append(counts[often], len(tokens)))], ["word", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = rows.where("word = 0").first()
-    if total is None:
-        return {}
-    often = rows.where((F.col("n") > total["n"] * HOT_SHARE) & (F.col("word") != 0)).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()
-    return {int(w.mix(np.array([r["word"]]).view(w.U64))[0]): r["n"] / total["n"] for r in often}
-
-
-def _levels(table: pa.Table, order: int, buckets: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Level]]:
+                tokens, doc = _tokens(part.column("text"))
+                rows, at = [(np.zeros(1, np.int64), np.array([len(tokens)]), np.zeros(1, np.int64))], np.arange(len(tokens))
+                for k, history in enumerate(_histories(tokens, doc, order)[1:], 1):
+                    seen, inverse, counts = np.unique(history[at], return_inverse=True, return_counts=True)
+                    often = counts > len(tokens) * HOT_SHARE * 10
+                    rows.append((seen[often].view(np.int64), counts[often], np.full(int(often.sum()), k)))
+                    at = at[often[inverse]]  # no longer history is more frequent than its end
+                history, n, level = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(history), pa.array(n)], ["level", "history", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "level long, history long, n long").groupBy("level", "history").agg(F.sum("n").alias("n"))
+    rows = rows.persist()
+    hot: list[dict[int, float]] = [{} for _ in range(order)]
+    total = rows.where("level = 0").first()
+    if total is not None:
+        often = rows.where((F.col("n") > total["n"] * HOT_SHARE) & (F.col("level") > 0)).orderBy(F.desc("n")).limit(order * int(1 / HOT_SHARE)).collect()
+        for r in often:
+            hot[r["level"]][int(np.array([r["history"]]).view(w.U64)[0])] = r["n"] / total["n"]
+    rows.unpersist()
+    return hot
+
+
+def _levels(table: pa.Table, order: int, buckets: int, hot: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Level]]:
     train = in_training(table["id"].to_pylist())
     tokens, doc = _tokens(table["text"].combine_chunks())
     histories = _histories(tokens, doc, order)
-    levels = [Level(h, tokens, train[doc].astype(float), buckets, hot, k == 0) for k, h in enumerate(histories)]
+    levels = [Level(h, tokens, train[doc].astype(float), buckets, hot[k], k == 0) for k, h in enumerate(histories)]
     return tokens, doc, train, levels
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Documents whose crc32 of the id as text leaves 2 on division by 7 are held out of training.
@@ -224,8 +233,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    chunks, buckets = 1 + size // chunk_bytes, 1 + size * (order - 1) // bucket_bytes
-    hot = {h: min(buckets, 1 + int(share * buckets)) for h, share in _hot_words(texts).items() if share * buckets >= 2}
+    chunks, buckets = 1 + size // chunk_bytes, 1 + size // bucket_bytes
+    hot = [{h: min(buckets, 1 + int(share * buckets)) for h, share in found.items() if share * buckets >= 2} for found in _hot_histories(texts, order)]
     dealt = texts.withColumn("p", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
     dealt = dealt.repartition(min(chunks, 100_000), "p")
 

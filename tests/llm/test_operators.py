@@ -215,6 +215,34 @@ def test_op7(spark, docs, none, sf_texts):
     assert language_model.score(docs).count() == 12 and language_model.score(none).count() == 0
 
 
+def test_op7_agrees_with_brute_force_trigrams(spark, sf_texts):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = {i: [*words(t), None] for i, t in sf_texts.items()}
+    grams = lambda x, k: [tuple(["<s>"] * k + x)[j : j + k + 1] for j in range(len(x))]
+    seen = [Counter(g for i, x in tokens.items() if not held(i) for g in grams(x, k)) for k in range(3)]
+    begun, after, cut = [Counter() for _ in seen], [Counter() for _ in seen], []
+    for k, counts in enumerate(seen):
+        for g, c in counts.items():
+            begun[k][g[:-1]] += c
+            after[k][g[:-1]] += 1
+        once, twice = (sum(c == j for c in counts.values()) for j in (1, 2))
+        cut.append(min(0.95, max(0.1, once / (once + 2 * twice))))
+
+    def p(g):
+        k, h = len(g) - 1, g[:-1]
+        if k and not begun[k][h]:
+            return p(g[1:])
+        shorter = p(g[1:]) if k else 1 / (len(seen[0]) + 1)
+        return (max(seen[k][g] - cut[k], 0) + cut[k] * after[k][h] * shorter) / begun[k][h]
+
+    want = {i: sum(math.log10(p(g)) for g in grams(x, 2)) for i, x in tokens.items()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hot = language_model._hot_histories(docs.select("text"), 3)
+    assert hot[1] and hot[2]
+    for out in (queries.op7_language_model(spark, SF), language_model.score(docs, order=3, chunk_bytes=200_000, bucket_bytes=2_000)):
+        assert {r.doc_id: r.score for r in out.collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_op8(spark, docs, none):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
