@@ -1,15 +1,16 @@
 """Information-theoretic sanitisation of personal data.
 
 Base patterns find the protected entities: e-mail and IP addresses, card and phone numbers.
-The corpus then tells which terms give an entity away: a term near it discloses it as far as
-their pointwise mutual information over all documents makes up the entity's own information
-content. ``PMI(e; t) / IC(e)`` is 1 for a term that occurs with the entity only, near 0 for a
-common word. Terms from ``generalise_at`` on are replaced by what kind of word they are,
-terms from ``remove_at`` on are removed, both only next to the entity they disclose and
-only where ``support`` documents back the estimate; the entities themselves are always masked.
+The corpus then tells which terms give an entity away: a term in a document with it discloses
+it as far as their pointwise mutual information over all documents makes up the entity's own
+information content. ``PMI(e; t) / IC(e)`` is 1 for a term that occurs with the entity only, near
+0 for a common word. Terms from ``generalise_at`` on are replaced by what kind of word they are,
+terms from ``remove_at`` on are removed, wherever they stand, in documents without the entity too,
+and only where ``support`` documents back the estimate; the entities themselves are always masked.
 
-Counts run over all documents: in how many each entity, each term near it, and both occur.
-What is found is keyed by the whole text's hash, so copies of a text share one entry.
+Counts run over all documents: in how many each entity, each term of a document with it, and both
+occur; an entity in fewer than ``support`` documents has no disclosing term, so its terms are not
+counted. Places are keyed by the whole text's hash, so copies of a text share one entry.
 
 Defined results: a null or empty text has no spans and stays as it is; repeated rows are
 treated alike; other columns pass through in ``row`` whatever their names; an empty table
@@ -19,7 +20,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -89,20 +89,12 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[int, str, int, int]]:
-    """(entity hash, term, start, end) for up to ``window`` terms on each side of each entity."""
-    taken, out = sorted((a, b) for _, a, b in spans), []
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> set[int]:
+    """Hashes of the entities at these spans."""
+    out = set()
     for kind, a, b in spans:
         value = text[a:b].lower() if kind in ("email", "ip") else re.sub(r"[^0-9]", "", text[a:b])
-        entity = xxhash.xxh64_intdigest(f"{kind}:{value}") >> 1
-        reach = 24 * window
-        lo = max(0, a - reach)
-        before = [m for m in _TERM.finditer(text, lo, a) if m.start() > lo or lo == 0][-window:]
-        hi = min(len(text), b + reach)
-        after = [m for m in _TERM.finditer(text, b, hi) if m.end() < hi or hi == len(text)][:window]
-        for m in before + after:
-            if m.end() - m.start() > 1 and not any(x < m.end() and m.start() < y for x, y in taken):
-                out.append((entity, m[0], m.start(), m.end()))
+        out.add(xxhash.xxh64_intdigest(f"{kind}:{value}") >> 1)
     return out
 
 
@@ -110,32 +102,108 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _contexts(texts: DataFrame, window: int) -> DataFrame:
-    """Rows (k1, k2, entity, term, start, end, shape) around the entities; term 0 stands for the entity alone."""
-    names = ["k1", "k2", "entity", "term", "start", "end", "shape"]
+class _Terms:
+    """The terms of two or more characters of all texts: document, hash, and place in code points."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, starts = w.text_bytes(texts)
+        runs = w.Runs(self.data, starts, w.BREAK)
+        before = np.concatenate(([0], np.cumsum(~w.CONTINUATION[self.data])))
+        first = before[starts[:-1]][runs.doc]
+        start, end = before[runs.starts] - first, before[runs.ends] - first
+        some = end - start > 1
+        self.doc, self.key = runs.doc[some], runs.hash.view(np.int64)[some]
+        self.start, self.end = start[some].astype(np.int32), end[some].astype(np.int32)
+        self.bytes = runs.starts[some], runs.ends[some]
+
+
+def _apart(start: np.ndarray, end: np.ndarray, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which of the places overlap no span."""
+    out = np.ones(len(start), bool)
+    for _, a, b in spans:
+        out[np.searchsorted(end, a, "right") : np.searchsorted(start, b, "left")] = False
+    return out
+
+
+def _known(df: DataFrame, column: str) -> np.ndarray | None:
+    """The column's values, sorted, or none if there are too many to send out."""
+    if df.limit(BROADCAST_WORDS + 1).count() > BROADCAST_WORDS:
+        return None
+    return np.sort(np.array([r[0] for r in df.select(column).collect()], np.int64))
+
+
+def _is_in(keys: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    if known is None:
+        return np.ones(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _entity_counts(texts: DataFrame) -> DataFrame:
+    """(entity, alone): in how many documents each entity occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k1, k2, text in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), map(lambda x: x.as_py(), batch["text"]), strict=True):
-                spans = base_spans(text)
-                if not spans:
+            found = [e for t in map(lambda x: x.as_py(), batch["text"]) if (spans := base_spans(t)) for e in _entities(t, spans)]
+            seen, counts = np.unique(np.array(found, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts)], ["entity", "alone"])
+
+    return texts.select("text").mapInArrow(run, "entity long, alone long").groupBy("entity").agg(F.sum("alone").alias("alone"))
+
+
+def _together(texts: DataFrame, entities: np.ndarray | None) -> DataFrame:
+    """(entity, term, together): in how many documents both occur, the term outside all entities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch, "text"):
+                held = []
+                for i, t in enumerate(map(lambda x: x.as_py(), part.column("text"))):
+                    spans = base_spans(t)
+                    mine = np.array(sorted(_entities(t, spans)), np.int64) if spans else np.empty(0, np.int64)
+                    mine = mine[_is_in(mine, entities)]
+                    if len(mine):
+                        held.append((i, mine, spans))
+                if not held:
                     continue
-                near = _near(text, spans, window)
-                rows += [(k1, k2, e, t, a, b) for e, t, a, b in near]
-                entities = {e for e, *_ in near}
-                rows += [(k1, k2, e, "", -1, -1) for e in entities]
-            if rows:
-                terms = pa.array([r[3] for r in rows], pa.string())
-                data, starts = w.text_bytes(terms)
-                runs = w.Runs(data, starts, w.BREAK)
-                hashes = np.zeros(len(rows), np.int64)
-                hashes[runs.doc] = runs.hash.view(np.int64)
-                shape = ["number" if r[3].isdigit() else "name" if r[3][:1].isupper() else "word" for r in rows]
-                cols = [[r[i] for r in rows] for i in (0, 1, 2)] + [hashes] + [[r[i] for r in rows] for i in (4, 5)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:]), pa.array(shape)], names)
+                terms = _Terms(part.column("text").take(pa.array([i for i, _, _ in held])))
+                at, pairs = np.searchsorted(terms.doc, np.arange(len(held) + 1)), []
+                for k, (_, mine, spans) in enumerate(held):
+                    own = slice(at[k], at[k + 1])
+                    keys = np.unique(terms.key[own][_apart(terms.start[own], terms.end[own], spans)])
+                    pairs.append(np.stack([np.repeat(mine, len(keys)), np.tile(keys, len(mine))]))
+                (entity, term), counts = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(entity), pa.array(term), pa.array(counts)], ["entity", "term", "together"])
+
+    return texts.select("text").mapInArrow(run, "entity long, term long, together long").groupBy("entity", "term").agg(F.sum("together").alias("together"))
+
+
+def _hits(texts: pa.Array, known: np.ndarray | None, spans_of: Callable[[int], list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Document, term, start, end and shape of the terms (of ``known``, if given) outside entities."""
+    terms = _Terms(texts)
+    hit = np.flatnonzero(_is_in(terms.key, known))
+    apart, doc = np.ones(len(hit), bool), terms.doc[hit]
+    for i in np.unique(doc):
+        own = slice(*np.searchsorted(doc, [i, i + 1]))
+        apart[own] = _apart(terms.start[hit[own]], terms.end[hit[own]], spans_of(int(i)))
+    hit = hit[apart]
+    said = [terms.data[a:b].tobytes().decode() for a, b in zip(terms.bytes[0][hit], terms.bytes[1][hit], strict=True)]
+    shape = ["number" if x.isdigit() else "name" if x[:1].isupper() else "word" for x in said]
+    return terms.doc[hit], terms.key[hit], terms.start[hit], terms.end[hit], shape
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """Rows (k1, k2, term, start, end, shape) for all terms of all texts, outside entities."""
+    names = ["k1", "k2", "term", "start", "end", "shape"]
 
-    return texts.mapInArrow(run, "k1 long, k2 long, entity long, term long, start int, end int, shape string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch, "text"):
+                text = part["text"]
+                doc, *rest = _hits(text, None, lambda i, text=text: base_spans(text[i].as_py()))
+                doc = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part["k1"].take(doc), part["k2"].take(doc), *(pa.array(x) for x in rest[:3]), pa.array(rest[3], pa.string())], names)
+
+    return texts.mapInArrow(run, "k1 long, k2 long, term long, start int, end int, shape string").distinct()
 
 
 def _document_counts(texts: DataFrame, terms: np.ndarray | None) -> DataFrame:
@@ -166,18 +234,13 @@ def _document_counts(texts: DataFrame, terms: np.ndarray | None) -> DataFrame:
     return texts.select("text").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def disclosing_terms(texts: DataFrame, contexts: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
+def disclosing_terms(texts: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
     """(entity, term, disclosure, removed) for the terms that give an entity away."""
-    together = contexts.groupBy("entity", "term", "k1", "k2").agg(F.max("copies").alias("copies"))
-    together = cut(together.groupBy("entity", "term").agg(F.sum("copies").alias("together")).where(F.col("together") >= support))
-    terms = together.where("term != 0").select("term").distinct()
-    known = None
-    if terms.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
-        known = np.sort(np.array([r[0] for r in terms.collect()], np.int64))
-    counts = _document_counts(texts, known)
-    entities = together.where("term = 0").select("entity", F.col("together").alias("alone"))
+    entities = cut(_entity_counts(texts).where(F.col("alone") >= support))
+    together = cut(_together(texts, _known(entities, "entity")).where(F.col("together") >= support))
+    counts = _document_counts(texts, _known(together.select("term").distinct(), "term"))
     n = F.lit(float(max(1, texts.count())))
-    both = together.where("term != 0").join(entities, "entity").join(counts, "term")
+    both = together.join(_small(entities), "entity").join(counts, "term")
     content = F.log2(n / F.col("alone"))
     ratio = F.log2(n * F.col("together") / (F.col("alone") * F.col("docs"))) / content
     both = both.where(content > 0).withColumn("disclosure", ratio).where(F.col("disclosure") >= generalise_at)
@@ -197,34 +260,40 @@ def _masked(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[done:]])
 
 
-def sanitise(docs: DataFrame, keep: Sequence[str] | None = None, text_col: str = "text", window: int = 8, support: int = 2, generalise_at: float = 0.6, remove_at: float = 0.85) -> DataFrame:
+def sanitise(docs: DataFrame, keep: Sequence[str] | None = None, text_col: str = "text", support: int = 2, generalise_at: float = 0.6, remove_at: float = 0.85) -> DataFrame:
     """Columns ``keep`` of docs (default: all) in the struct ``row``, ``spans`` and the ``clean`` text.
 
     A span has its kind ("term" for what the corpus adds), start and end in code points, and what is put in its place.
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(text.alias("text")).select("text", *_key(F.col("text")))
-    contexts = _contexts(texts, window)
-    # copies of a text count as so many documents but are kept once
-    contexts = cut(contexts.groupBy("k1", "k2", "entity", "term", "start", "end", "shape").agg(F.count(F.lit(1)).alias("copies")))
-    told = disclosing_terms(texts, contexts, support, generalise_at, remove_at)
-    put = F.when(F.col("removed"), "").otherwise(F.concat(F.lit("<"), F.col("shape"), F.lit(">")))
-    hits = contexts.where("term != 0").join(told, ["entity", "term"])
-    hits = hits.groupBy("k1", "k2", "start", "end").agg(F.max("removed").alias("removed"), F.first("shape").alias("shape"))
-    found = hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", put.alias("put")))).alias("told"))
-    found = cut(found)
+    told = cut(disclosing_terms(texts, support, generalise_at, remove_at).groupBy("term").agg(F.max("removed").alias("removed")))
     row = F.struct(*(F.col(c) for c in (docs.columns if keep is None else keep))).alias("row")
-    keyed = docs.select(row, text.alias("text")).select("row", "text", *_key(F.col("text")))
-    joined = keyed.join(_small(found), ["k1", "k2"], "left").select("row", "text", "told")
+    known, removed = _known(told, "term"), None
+    if known is None:  # too many terms to send out: their places are joined to the texts
+        put = F.when(F.col("removed"), "").otherwise(F.concat(F.lit("<"), F.col("shape"), F.lit(">")))
+        span = F.struct(F.lit("term").alias("kind"), "start", "end", put.alias("put"))
+        found = cut(_places(texts).join(told, "term").groupBy("k1", "k2").agg(F.sort_array(F.collect_list(span)).alias("told")))
+        keyed = docs.select(row, text.alias("text")).select("row", "text", *_key(F.col("text")))
+        joined = keyed.join(found, ["k1", "k2"], "left").select("row", "text", "told")
+    else:
+        removed = _known(told.where("removed"), "term")
+        joined = docs.select(row, text.alias("text"), F.lit(None).cast(ArrayType(SPAN)).alias("told"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("put", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in w.slices(batch, "text", 8 * w.CHUNK):
+            for part in w.slices(batch, "text"):
                 spans, clean = [], []
-                for text, told in zip(part.column("text"), part.column("told").to_pylist(), strict=True):
-                    text = text.as_py()
-                    own = [{"kind": k, "start": a, "end": b, "put": f"<{k}>"} for k, a, b in base_spans(text)] + (told or [])
+                texts, more = part.column("text").to_pylist(), part.column("told").to_pylist()
+                base = [base_spans(t) for t in texts]
+                if known is not None:
+                    more = [[] for _ in texts]
+                    doc, term, start, end, shape = _hits(part.column("text"), known, base.__getitem__)
+                    for i, gone, a, b, x in zip(doc.tolist(), _is_in(term, removed).tolist(), start.tolist(), end.tolist(), shape, strict=True):
+                        more[i].append({"kind": "term", "start": a, "end": b, "put": "" if gone else f"<{x}>"})
+                for text, own, told in zip(texts, base, more, strict=True):
+                    own = [{"kind": k, "start": a, "end": b, "put": f"<{k}>"} for k, a, b in own] + (told or [])
                     spans.append(own)
                     clean.append(_masked(text, own) if own else text)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(spans, kind), pa.array(clean, pa.string())], ["row", "spans", "clean"])

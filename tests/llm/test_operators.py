@@ -84,6 +84,19 @@ def test_op1(spark, docs, none, sf_texts):
     assert pii.sanitise(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_op1_masks_disclosing_terms_far_from_the_entity_and_without_it(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_WORDS", most)
+    far = "Über Zorblatt it was. " + "plain words stand here now " * 60
+    rows = [(i, far + "Write to ann@zz.example.com é.") for i in range(3)] + [(3, "The Zorblatt affair, said zorblatt. Mail other@yy.example.com"), (4, None)] + [(i, "plain words stand here now. it was to write") for i in range(5, 60)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "clean", "spans").collect()}
+    for i, text in rows[:4]:
+        assert "zorblatt" not in got[i].clean.lower() and ("stand here now" if i < 3 else "affair") in got[i].clean
+        spans = sorted((s.start, s.end) for s in got[i].spans if text[s.start : s.end].lower() == "zorblatt")
+        assert spans == [m.span() for m in re.finditer("zorblatt", text.lower())] and spans
+    assert "zorblatt" not in got[3].clean.lower() and "<email>" in got[3].clean and got[4].clean is None and got[7].clean == rows[7][1]
+
+
 def test_op2(spark):
     page = "<html><body><nav>Menu Home</nav><article><h1>T&eacute;</h1><p>Body   text {}.</p></article><footer>Foot</footer><script>x</script></body></html>"
     rows = [(i, f"http://h/{i}", page.format(i), 1) for i in range(4)] + [(9, None, None, 1), (9, "bad", "", 1)]
