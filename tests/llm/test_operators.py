@@ -250,9 +250,9 @@ def test_op7_agrees_with_brute_force_trigrams(spark, sf_texts):
 
     want = {i: sum(math.log10(p(g)) for g in grams(x, 2)) for i, x in tokens.items()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    hot = language_model._hot_histories(docs.select("text"), 3)
-    assert hot[1] and hot[2]
-    for out in (queries.op7_language_model(spark, SF), language_model.score(docs, order=3, chunk_bytes=200_000, bucket_bytes=2_000)):
+    hot = language_model._hot_histories(docs.select("text"))
+    assert hot[0] and hot[1]
+    for out in (queries.op7_language_model(spark, SF), language_model.score(docs, chunk_bytes=200_000, bucket_bytes=2_000)):
         assert {r.doc_id: r.score for r in out.collect()} == pytest.approx(want, rel=1e-9)
 
 
