@@ -12,9 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this machine, which will do only where driver and executors are one process."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder, or a local one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or _own_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,10 +33,23 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(_own_folder(spark))
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch of rows on its way to Python and back, of which a task holds several.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have ``BATCH_BYTES`` at most, so that rows of long texts don't fill an executor."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCHES, str(64 << 20))) > BATCH_BYTES:
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return df
+
+
 def tasks(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
