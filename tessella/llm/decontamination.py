@@ -8,7 +8,8 @@ all; this rules out nothing that could. A copy that keeps no n words in a row ha
 
 Words are runs of letters and digits in lower case; punctuation does not count.
 Test items are taken in blocks of about ``block_bytes`` of text (all of them against all
-rows, one corpus scan a block), so what each task holds is bounded whatever the benchmark's size.
+rows, one corpus scan a block), so what each task holds is bounded whatever the benchmark's size; with more than one
+block, what they find is joined to the rows by their texts' hash.
 
 Defined results: null or empty documents and items match nothing, nor do items of fewer than
 ``n`` words; repeated items report each item id once; repeated documents are matched each;
@@ -22,11 +23,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from . import words as w
+from .common import beside_text, cut, small_batches, whole_row
 
 MATCH = StructType([StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("start", LongType()), StructField("end", LongType())])
 _SHIFT = np.int64(1 << 24)
@@ -155,22 +157,40 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: Sequence[str] | None =
     ``matches`` has (item_id, score, start, end) for every item whose alignment reaches
     ``threshold`` of the score of a whole exact copy; start and end count the document's words.
     """
-    row = F.struct(*(F.col(c) for c in (docs.columns if keep is None else keep))).alias("row")
-    out = docs.select(row, F.col(text_col).cast("string").alias("text"), F.array().cast(ArrayType(MATCH)).alias("matches"))
-    schema = StructType([*out.schema.fields[:2], StructField("matches", ArrayType(MATCH))])
-    for ids, texts in _blocks(items, item_id_col, item_text_col, block_bytes):
-        block = Items(ids, texts, n)
-        if not len(block.key):
-            continue
-
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in w.slices(batch, "text"):
-                    found = _matches(block, part.column("text"), threshold)
-                    before = part.column("matches").to_pylist()
-                    both = [b + [dict(zip(MATCH.names, x, strict=True)) for x in f] for b, f in zip(before, found, strict=True)]
-                    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(both, kind)], ["row", "text", "matches"])
-
-        out = out.mapInArrow(run, schema)
-    return out.select("row", "matches")
+    keep = list(docs.columns if keep is None else keep)
+    text = F.col(text_col).cast("string").alias("text")
+    blocks = [b for b in (Items(ids, texts, n) for ids, texts in _blocks(items, item_id_col, item_text_col, block_bytes)) if len(b.key)]
+    none = F.array().cast(ArrayType(MATCH)).alias("matches")
+    if not blocks:
+        return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), none)
+    if len(blocks) == 1:
+        head = small_batches(docs).select(beside_text(docs, keep, text_col), text)
+        found = _searched(head, blocks[0], threshold, ["row"] + ["text"] * (text_col in keep))
+        return found.select(whole_row(docs, keep, text_col), "matches")
+    # a scan a block, so that a task holds one; what they find is put together by the text's hash
+    keyed = small_batches(docs).select(*_text_key(text), text)
+    hits = None
+    for block in blocks:
+        found = _searched(keyed, block, threshold, ["k1", "k2"]).where(F.size("matches") > 0)
+        hits = found if hits is None else hits.union(found)
+    each = hits.select("k1", "k2", F.explode("matches").alias("m")).distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("m")).alias("matches"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    joined = docs.select(row, *_text_key(text)).join(cut(each), ["k1", "k2"], "left")
+    return joined.select("row", F.coalesce("matches", none).alias("matches"))
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _searched(docs: DataFrame, block: Items, threshold: float, out: Sequence[str]) -> DataFrame:
+    """Columns ``out`` of docs and the ``matches`` of a block of items."""
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch, "text"):
+                found = [[dict(zip(MATCH.names, x, strict=True)) for x in f] for f in _matches(block, part.column("text"), threshold)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(found, kind)], [*out, "matches"])
+
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in out), StructField("matches", ArrayType(MATCH))]))

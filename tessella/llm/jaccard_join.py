@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessella.operators.components import components
 
 from . import words as w
-from .common import cut, settled, tasks
+from .common import cut, settled, small_batches, tasks
 
 #: Ids up to which a list of ids is broadcast to filter a table (16 bytes or so each).
 BROADCAST_IDS = 500_000
@@ -42,7 +42,10 @@ REMEMBERED = 500_000
 
 
 class Bands:
-    """Size bands for similarity of at least ``p / q``: partners are in one band or the next."""
+    """Size bands for similarity of at least ``p / q``: partners are in one band or the next.
+
+    ``differ`` is how much a set of each band and a partner of its size or more, in this band or the next, may differ.
+    """
 
     def __init__(self, p: int, q: int, largest: int):
         self.p, self.q = p, q
@@ -50,12 +53,19 @@ class Bands:
         while lows[-1] <= largest:
             lows.append(lows[-1] * q // p + 1)
         self.lows = np.array(lows, np.int64)
-        upper = self.lows[1:] - 1
-        self.differ = np.append(2 * upper * (q - p) // (q + p), 0)
+        self.differ = np.append(self.least(self.lows[1:] - 1), 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, "right") - 1
 
+    def least(self, sizes: np.ndarray) -> np.ndarray:
+        """How much sets of these sizes may differ from larger partners."""
+        return (sizes + sizes * self.q // self.p) * (self.q - self.p) // (self.q + self.p)
+
+    def most(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """How much sets of these sizes may differ from smaller partners in a band."""
+        return (sizes + self.lows[band + 1] - 1) * (self.q - self.p) // (self.q + self.p)
+
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, document by document, and the document of each (sorted)."""
@@ -120,19 +130,22 @@ def _bucket_rows(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, sizes: np.n
     out = []
     own = bands.of(np.maximum(sizes, 1))
     for step in (0, 1):
-        band = np.minimum(own + step, len(bands.differ) - 1)
-        differ = bands.differ[band]
-        segments = np.where((sizes > 0) & (differ > 0), differ + 2 + differ // 16, 0)
+        band = np.maximum(own - step, 0)
+        sent = bands.most(sizes, band) if step else bands.least(sizes)
+        # sets that differ in nothing are equal, and so one class already
+        segments = np.where((sizes > 0) & (own >= step) & (sent > 0), bands.differ[band] + 2 + bands.differ[band] // 16, 0)
         mine = segments[doc] > 0
         if not mine.any():
             continue
-        sketch, used, begin = parity_sketch(keys[mine], doc[mine], segments)
+        sketch, used, _ = parity_sketch(keys[mine], doc[mine], segments)
         owner = np.repeat(np.arange(len(sizes)), segments)
-        number = np.arange(len(owner)) - begin[owner]
-        empty = segments - np.bincount(owner, used, len(sizes)).astype(np.int64)
-        sent = np.flatnonzero(used | (empty >= segments - differ)[owner])
+        firsts = np.cumsum(segments) - segments
+        number = np.arange(len(owner)) - firsts[owner]
         key = w.mix(sketch ^ w.mix(band[owner].astype(w.U64) * w.U64(1 << 32) + number.astype(w.U64)))
-        out.append((key.view(np.int64)[sent], ids[owner[sent]]))
+        rank = owner.astype(w.U64) << w.U64(41) | (~used).astype(w.U64) << w.U64(40) | key >> w.U64(24)
+        order = np.argsort(rank)
+        chosen = order[number <= sent[owner]]  # in this order, too, owners follow each other
+        out.append((key.view(np.int64)[chosen], ids[owner[chosen]]))
     return out
 
 
@@ -150,18 +163,19 @@ def _segments(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
     """(key, id): the band, number and value of a segment, hashed, and a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set = set()
+        known = w.Places()
         for batch in batches:
             for part in w.slices(batch, "text"):
                 keys, doc = shingle_sets(part.column("text"), n)
                 sizes, one, two = _signatures(keys, doc, part.num_rows)
+                stands = np.maximum(w.mix(one ^ w.mix(two ^ sizes.astype(w.U64))), w.U64(1))
+                distinct, at = np.unique(stands, return_index=True)
+                new = known.find(distinct) < 0
                 fresh = np.zeros(part.num_rows, bool)
-                for i, signature in enumerate(zip(sizes.tolist(), one.tolist(), two.tolist(), strict=True)):
-                    if signature not in known:
-                        fresh[i] = True
-                        known.add(signature)
-                if len(known) > REMEMBERED:
-                    known.clear()
+                fresh[at[new]] = True
+                if known.size > REMEMBERED:
+                    known = w.Places()
+                known.add(distinct[new] if known.size else distinct)
                 sizes = np.where(fresh, sizes, 0)
                 ids = np.asarray(part.column("id"))
                 mine = fresh[doc]
@@ -222,6 +236,27 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<long>, sketch binary")
 
 
+def _distances(left: pa.BinaryArray, right: pa.BinaryArray) -> np.ndarray:
+    """Hamming distances of folded sketches; the longer one of two is folded to the other's length."""
+    sides = []
+    for column in (left, right):
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+        sides.append((np.frombuffer(data, np.uint8), ends[:-1], np.diff(ends)))
+    out = np.empty(len(left), np.int64)
+    shapes = sides[0][2] << 32 | sides[1][2]
+    for shape in np.unique(shapes):
+        at = np.flatnonzero(shapes == shape)
+        words = min(int(shape) >> 32, int(shape) & 0xFFFFFFFF) // 8
+        folded = []
+        for data, begin, size in sides:
+            long = int(size[at[0]])
+            rows = np.ascontiguousarray(data[begin[at][:, None] + np.arange(long)]).view(w.U64)
+            folded.append(np.bitwise_xor.reduce(rows.reshape(len(at), -1, words), axis=1))
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1)
+    return out
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Pairs (with their other columns) whose folded sketches are not too far apart; sends no whole sets."""
     ends = sets.select("id", F.size("set").cast("long").alias("n"), "sketch")
@@ -230,14 +265,11 @@ def _possible(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart = []
-            for x, y in zip(batch["sketch_a"], batch["sketch_b"], strict=True):
-                x, y = np.frombuffer(x.as_py(), w.U64), np.frombuffer(y.as_py(), w.U64)
-                size = min(len(x), len(y))
-                fold = [np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y)]
-                apart.append(int(np.bitwise_count(fold[0] ^ fold[1]).sum()))
+            if not batch.num_rows:
+                continue
+            apart = _distances(batch["sketch_a"], batch["sketch_b"])
             bound = (np.asarray(batch["n_a"]) + np.asarray(batch["n_b"])) * (q - p) // (q + p)
-            yield batch.select(["a", "b", "times"]).filter(pa.array(np.array(apart, np.int64) <= bound))
+            yield batch.select(["a", "b", "times"]).filter(pa.array(apart <= bound))
 
     return pairs.mapInArrow(run, "a long, b long, times long")
 
@@ -292,7 +324,7 @@ def _unresolved(shared: DataFrame, classes: DataFrame, roots: DataFrame, sets: D
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, p: int = 9, q: int = 10) -> DataFrame:
     """(id, n_shingles, component_id) for every row: components of links with Jaccard similarity p/q or more."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(_signed(texts, n))
     known = signed.where("id is not null and n > 0")
     reps = known.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))

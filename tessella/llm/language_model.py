@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
+from .common import small_batches
 
 END, PAD, ONE, TWO = w.mix(np.array([0xE0D, 0xBAD, 0x57A27, 0x57A28], w.U64))  # ONE and TWO stand before a text
 #: Bytes of text in a chunk, and of text that a bucket counts for (with about twice as many bytes of requests).
@@ -402,7 +403,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     Documents whose crc32 of the id as text leaves 2 on division by 7 are held out of training.
     ``base_score`` is add-one unigram smoothing, ``score`` the automaton of trigrams.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     buckets = 1 + size // bucket_bytes
     hot = [{h: min(buckets, 1 + int(share * buckets)) for h, share in found.items() if share * buckets >= 2} for found in _hot_histories(texts)]

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import words as w
-from .token_ids import encoder
+from .common import small_batches
+from .token_ids import SLICE, encoder
 
 WEIGHTS = (1.0, 0.01, 0.05)
 
@@ -73,7 +74,7 @@ def _pieces(docs: DataFrame, file: str, end: int, tokens: int, keep: Sequence[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, slot = encoder(file), 0
         for batch in batches:
-            for part in w.slices(batch, "text"):
+            for part in w.slices(batch, "text", SLICE):
                 ids, at = coder.encode(part.column("text"), end)
                 raw, sizes = ids.astype("<u4"), np.diff(at)
                 many = -(-sizes // tokens)
@@ -94,8 +95,13 @@ def _pieces(docs: DataFrame, file: str, end: int, tokens: int, keep: Sequence[st
     return head.mapInArrow(run, StructType(fields + [StructField("ids", ArrayType(IntegerType()))] * with_ids))
 
 
-def pack(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", file: str = "word_bpe_49k.json", end: int = 0, tokens: int = 2048, max_docs: int | None = None, max_cost: int | None = None, weights: Sequence[float] = WEIGHTS, by: str = "norm", group_pieces: int = 20_000, with_ids: bool = False) -> DataFrame:
-    """One row a piece: ``row`` (columns ``keep``), piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids."""
+def pack(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", file: str = "word_bpe_49k.json", end: int = 0, tokens: int = 2048, max_docs: int | None = None, max_cost: int | None = None, weights: Sequence[float] = WEIGHTS, by: str = "norm", group_pieces: int | None = None, with_ids: bool = False) -> DataFrame:
+    """One row a piece: ``row`` (columns ``keep``), piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids.
+
+    ``group_pieces`` is 20,000, or 4,000 where ids are in the groups too (at most 32 MB of them).
+    """
+    group_pieces = group_pieces or (4_000 if with_ids else 20_000)
+    small_batches(docs)
     docs_cap, cost_cap = max_docs or tokens, max_cost or tokens * tokens
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()
     groups = 1 + int((size["n"] + (size["bytes"] or 0) / (2.5 * tokens)) // group_pieces)
@@ -104,7 +110,7 @@ def pack(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "te
     schema = StructType([f for f in pieces.schema.fields if f.name not in ("slot", "deal")] + [StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(key, table):
-        table = table.combine_chunks()
+        table = table.sort_by([(c, "ascending") for c in ("length", "ids_crc32", "start", "slot")])  # the same whatever order rows come in
         where, offset = best_fit(np.asarray(table["length"]), tokens, docs_cap, cost_cap, weights, by)
         first = table["deal"][0].as_py() << 32
         return table.drop_columns(["slot", "deal"]).append_column("sequence_id", pa.array(first + where)).append_column("offset", pa.array(offset))

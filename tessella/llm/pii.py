@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import words as w
-from .common import cut
+from .common import beside_text, cut, small_batches, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("put", StringType())])
@@ -266,9 +266,10 @@ def sanitise(docs: DataFrame, keep: Sequence[str] | None = None, text_col: str =
     A span has its kind ("term" for what the corpus adds), start and end in code points, and what is put in its place.
     """
     text = F.col(text_col).cast("string")
-    texts = docs.select(text.alias("text")).select("text", *_key(F.col("text")))
+    keep = list(docs.columns if keep is None else keep)
+    texts = small_batches(docs).select(text.alias("text")).select("text", *_key(F.col("text")))
     told = cut(disclosing_terms(texts, support, generalise_at, remove_at).groupBy("term").agg(F.max("removed").alias("removed")))
-    row = F.struct(*(F.col(c) for c in (docs.columns if keep is None else keep))).alias("row")
+    row, with_text = beside_text(docs, keep, text_col), text_col in keep
     known, removed = _known(told, "term"), None
     if known is None:  # too many terms to send out: their places are joined to the texts
         put = F.when(F.col("removed"), "").otherwise(F.concat(F.lit("<"), F.col("shape"), F.lit(">")))
@@ -296,9 +297,11 @@ def sanitise(docs: DataFrame, keep: Sequence[str] | None = None, text_col: str =
                     own = [{"kind": k, "start": a, "end": b, "put": f"<{k}>"} for k, a, b in own] + (told or [])
                     spans.append(own)
                     clean.append(_masked(text, own) if own else text)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(spans, kind), pa.array(clean, pa.string())], ["row", "spans", "clean"])
+                cols = [part.column("row"), pa.array(spans, kind), pa.array(clean, pa.string())] + [part.column("text")] * with_text
+                yield pa.RecordBatch.from_arrays(cols, ["row", "spans", "clean"] + ["text"] * with_text)
 
-    return joined.mapInArrow(run, StructType([joined.schema["row"], StructField("spans", ArrayType(SPAN)), StructField("clean", StringType())]))
+    fields = [joined.schema["row"], StructField("spans", ArrayType(SPAN)), StructField("clean", StringType())] + [joined.schema["text"]] * with_text
+    return joined.mapInArrow(run, StructType(fields)).select(whole_row(docs, keep, text_col), "spans", "clean")
 
 
 def summary(sanitised: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import words as w
-from .common import cut
+from .common import beside_text, cut, small_batches, whole_row
 
 SHAPE = 11
 #: Bytes of a word's beginning that are features of their own, and bits of a feature's hash.
@@ -169,17 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000, max_voca
     return Model(seen[kept], np.stack([h[0] for h in heads]), np.stack([h[1] for h in heads]), rates)
 
 
-def _scores(docs: DataFrame, model: Model, keep: Sequence[Column], text_col: str) -> DataFrame:
-    """``keep`` columns with ``own_good`` and ``own_toxic``, the document's own probabilities."""
+def _scores(docs: DataFrame, model: Model, keep: Sequence[Column], text_col: str, with_text: bool = False) -> DataFrame:
+    """``keep`` columns (and the text) with ``own_good`` and ``own_toxic``, the document's own probabilities."""
     head = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).cast("string").alias("text"))
+    names = ["kept", "own_good", "own_toxic"] + ["text"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in w.slices(batch, "text"):
                 p = 1 / (1 + np.exp(-np.clip(model.logits(part.column("text")), -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(p[:, 0]), pa.array(p[:, 1])], ["kept", "own_good", "own_toxic"])
+                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(p[:, 0]), pa.array(p[:, 1])] + [part.column("text")] * with_text, names)
 
-    return head.mapInArrow(run, StructType([head.schema["kept"], StructField("own_good", DoubleType()), StructField("own_toxic", DoubleType())]))
+    return head.mapInArrow(run, StructType([head.schema["kept"], StructField("own_good", DoubleType()), StructField("own_toxic", DoubleType())] + [head.schema["text"]] * with_text))
 
 
 def _shrunk(groups: DataFrame, above: Column, strength: float) -> DataFrame:
@@ -222,11 +223,12 @@ def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = No
     ``own_good``, ``p_host``, ``p_path``, ``p_good`` (own odds moved by the path's), ``own_toxic``
     and ``accepted``: ``p_good`` at least ``threshold`` and ``own_toxic`` below ``toxic_threshold``.
     """
-    model = model or fit(docs, labels, text_col=text_col, **fitting)
+    model = model or fit(small_batches(docs), labels, text_col=text_col, **fitting)
     host, path = _key(*host_cols), _key(*path_cols)
-    row = F.struct(*(F.col(c) for c in (docs.columns if keep is None else keep))).alias("row")
-    scored = _scores(docs, model, [row, host.alias("host"), path.alias("path")], text_col).select("kept.*", "own_good", "own_toxic")
-    if keep is not None and text_col not in keep:  # small rows: score once; else a second look at the texts beats writing them
+    keep = list(docs.columns if keep is None else keep)
+    scored = _scores(docs, model, [beside_text(docs, keep, text_col), host.alias("host"), path.alias("path")], text_col, text_col in keep)
+    scored = scored.select("kept.host", "kept.path", *(["text"] if text_col in keep else []), F.col("kept.row").alias("row"), "own_good", "own_toxic")
+    if text_col not in keep:  # small rows: score once; else a second look at the texts beats writing them
         scored = cut(scored)
         sites = site_posteriors(scored)
     else:
@@ -237,4 +239,4 @@ def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = No
     odds = logit(safe("own_good")) + logit(safe("p_path")) - F.lit(float(np.log(rate / (1 - rate))))
     out = scored.join(F.broadcast(sites) if few else sites, ["host", "path"]).withColumn("p_good", 1 / (1 + F.exp(-odds)))
     accepted = (F.col("p_good") >= threshold) & (F.col("own_toxic") < toxic_threshold)
-    return out.select("row", "own_good", "p_host", "p_path", "p_good", "own_toxic", accepted.alias("accepted"))
+    return out.select(whole_row(docs, keep, text_col), "own_good", "p_host", "p_path", "p_good", "own_toxic", accepted.alias("accepted"))

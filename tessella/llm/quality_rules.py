@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import cut
+from .common import cut, small_batches
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs", "n_distinct", "n_wordless", "n_stutters")
 _IN = w.SPACE.copy()
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", votes
     """The id, ``STATS``, ``base_failed``, ``p_good`` (the posterior) and ``kept``."""
     votes = votes or rules()
     names = list(votes)
-    stats = cut(text_stats(docs, id_col, text_col).withColumns({f"vote_{k}": v for k, v in votes.items()}))
+    stats = cut(text_stats(small_batches(docs), id_col, text_col).withColumns({f"vote_{k}": v for k, v in votes.items()}))
     columns = [f"vote_{k}" for k in names]
     found = stats.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
     _, _, posterior = estimate(sorted(((tuple(r[c] for c in columns), r["n"]) for r in found), key=str))

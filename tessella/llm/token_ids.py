@@ -1,10 +1,10 @@
 """Token ids of whole texts, with a public tokenizer file.
 
-The tokenizers in use split at white space before anything else, so a text's ids are those of
-its words in turn (words here: runs between ASCII white space; what other white space a word
-holds is the tokenizer's affair). Each distinct word is encoded once in a task, which is what
-makes long texts cheap; the words remembered are bounded. Word-end tokenizers that lower-case get words with
-A-Z lower-cased already, unless a text may spell a special token.
+A text's ids are those of its words in turn (words here: runs between ASCII white space; what other
+white space a word holds is the tokenizer's affair), for tokenizers that split at white space before anything
+else; the encoder reads from the file whether its tokenizer does, and encodes whole texts if not. Each distinct
+word is encoded once in a task, which is what makes long texts cheap; the words remembered are bounded in number and bytes.
+Word-end tokenizers that lower-case get words with A-Z lower-cased already, unless a text may spell a special token.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import words as w
 
-#: Distinct words that a worker remembers, from task to task (about 200 bytes each).
-REMEMBERED = 1_000_000
+#: Distinct words, and ids of words, that a worker remembers from task to task (about 40 bytes a word in all).
+REMEMBERED = 800_000
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 #: What may follow a word's letters and is a token run of its own (an apostrophe may join them, a "<" begin a special token).
 TAIL = "".join(c for c in string.punctuation if c not in "'<")
 
@@ -41,19 +44,6 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first looked up; ``fresh`` has those not encoded yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        return number
-
-
 @lru_cache(maxsize=2)
 def encoder(file: str) -> Encoder:
     """This worker's encoder for a path, or for the name of a public tokenizer."""
@@ -65,9 +55,10 @@ class Encoder:
 
     def __init__(self, file: str):
         self.tokenizer = _tokenizer(file if "/" in file else vocabulary_path(file))
-        self.lowers = self.tokenizer.normalizer is not None and '"Lowercase"' in self.tokenizer.to_str()[:2000]
-        model = json.loads(self.tokenizer.to_str())["model"]
-        suffix = model.get("end_of_word_suffix")
+        told = json.loads(self.tokenizer.to_str())
+        self.lowers = "Lowercase" in _kinds(told["normalizer"])
+        self.by_word = _splits_at_space(self.tokenizer.pre_tokenizer)
+        suffix = told["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix and self.lowers:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -75,9 +66,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.number = _Numbers()
+        self.places = w.Places()
         self.ids, self.used = np.empty(1 << 16, np.uint16), 1  # the first place is for the end
-        self.begin, self.many = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.begin, self.many = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has."""
@@ -92,31 +83,31 @@ class Encoder:
         stops = np.flatnonzero(self.ends[flat])
         return (flat, np.diff(stops, prepend=-1)) if len(stops) == len(words) else self._ids(words)
 
-    def _learn(self) -> None:
-        fresh, self.number.fresh = self.number.fresh, []
+    def _encoded(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words and how many each has."""
         if self.ends is None:
-            flat, sizes = self._ids(fresh)
-        else:  # letters, then what follows them, if anything
-            cores = [x.rstrip(TAIL) for x in fresh]
-            plain = np.fromiter((c.isalpha() and c.islower() for c in cores), bool, len(cores))
-            heads = {c: None for c, ok in zip(cores, plain.tolist(), strict=True) if ok}
-            tails = {x[len(c) :]: None for x, c, ok in zip(fresh, cores, plain.tolist(), strict=True) if ok}
-            other = [x for x, ok in zip(fresh, plain.tolist(), strict=True) if not ok]
-            parts = [self._plain_ids(list(heads)), self._ids(list(tails)), self._ids(other)]
-            ids, sizes = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
-            begin = np.cumsum(sizes) - sizes
-            head_at, tail_at = {x: i for i, x in enumerate(heads)}, {x: len(heads) + i for i, x in enumerate(tails)}
-            first, second = np.empty(len(fresh), np.int64), np.full(len(fresh), -1)
-            first[~plain] = len(heads) + len(tails) + np.arange(len(other))
-            first[plain] = np.fromiter((head_at[c] for c, ok in zip(cores, plain.tolist(), strict=True) if ok), np.int64)
-            second[plain] = np.fromiter((tail_at[x[len(c) :]] for x, c, ok in zip(fresh, cores, plain.tolist(), strict=True) if ok), np.int64)
-            both = np.stack([first, second], axis=1).ravel()
-            many = np.where(both < 0, 0, sizes[both])
-            at = np.repeat(begin[both] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            flat, sizes = ids[at], many.reshape(-1, 2).sum(axis=1)
+            return self._ids(fresh.to_pylist())
+        # letters, then what follows them, if anything
+        cores = pc.utf8_rtrim(fresh, TAIL)
+        plain = np.asarray(pc.and_(pc.utf8_is_alpha(cores), pc.utf8_is_lower(cores)))
+        heads = cores.filter(pa.array(plain)).dictionary_encode()
+        tails = _rest(fresh.filter(pa.array(plain)), cores.filter(pa.array(plain))).dictionary_encode()
+        parts = [self._plain_ids(heads.dictionary.to_pylist()), self._ids(tails.dictionary.to_pylist()), self._ids(fresh.filter(pa.array(~plain)).to_pylist())]
+        ids, sizes = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        begin = np.cumsum(sizes) - sizes
+        first, second = np.empty(len(fresh), np.int64), np.full(len(fresh), -1)
+        first[~plain] = len(heads.dictionary) + len(tails.dictionary) + np.arange(int((~plain).sum()))
+        first[plain], second[plain] = np.asarray(heads.indices), len(heads.dictionary) + np.asarray(tails.indices)
+        both = np.stack([first, second], axis=1).ravel()
+        many = np.where(both < 0, 0, sizes[both])
+        at = np.repeat(begin[both] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return ids[at], many.reshape(-1, 2).sum(axis=1)
+
+    def _learn(self, fresh: pa.Array, hashes: np.ndarray) -> None:
+        flat, sizes = self._encoded(fresh)
         if len(flat) and flat.max() > np.iinfo(self.ids.dtype).max:
             self.ids = self.ids.astype(np.uint32)
-        n, total = len(self.number) - len(fresh), self.used + len(flat)
+        n, total = self.places.size, self.used + len(flat)
         while len(self.ids) < total:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while len(self.begin) < n + len(fresh):
@@ -125,38 +116,98 @@ class Encoder:
         self.begin[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
         self.many[n : n + len(fresh)] = sizes
         self.used = total
+        self.places.add(hashes)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and where each text begins (one more entry: the end)."""
+        if not self.by_word:
+            flat, sizes = self._ids(pc.fill_null(texts, "").to_pylist())
+            stops = np.cumsum(sizes + 1)
+            out = np.full(int(stops[-1]) if len(stops) else 0, end, np.int64)
+            out[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+            return out, np.concatenate(([0], stops))
         data, starts = w.text_bytes(texts)
         if self.lowers:
+            lower = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
             marked = np.searchsorted(starts, np.flatnonzero(data == ord("<")), "right") - 1
-            lower = w.LOWER[data]
-            for i in np.unique(marked):
-                lower[starts[i] : starts[i + 1]] = data[starts[i] : starts[i + 1]]
+            if len(marked):
+                lower = lower.copy()
+                for i in np.unique(marked):
+                    lower[starts[i] : starts[i + 1]] = data[starts[i] : starts[i + 1]]
             data = lower
-        inside = ~w.SPACE[data]
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))  # texts end in a newline
+        inside = np.frombuffer(data.tobytes().translate(_INSIDE), bool)
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # texts end in a newline
+        if len(inside) and inside[0]:
+            edges = np.concatenate(([0], edges))
         begins, sizes = edges[::2], edges[1::2] - edges[::2]
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        flat = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+        flat = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data.tobytes().translate(None, _SPACES)))
         words = flat.dictionary_encode()
         per_text = np.diff(np.searchsorted(begins, starts))
-        if len(self.number) > REMEMBERED:
+        if self.places.size > REMEMBERED or self.used > 8 * REMEMBERED:
             self._reset()
-        number = np.fromiter(map(self.number.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        hashes = _hashes(words.dictionary)
+        number = self.places.find(hashes)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            number[unknown] = self.places.size + np.arange(len(unknown), dtype=np.int32)
+            self._learn(words.dictionary.take(pa.array(unknown)), hashes[unknown])
         index = number[np.asarray(words.indices)]
-        if self.number.fresh:
-            self._learn()
         # the end is one more word after each text
         at = np.arange(len(words)) + np.repeat(np.arange(len(per_text)), per_text)
-        many = np.ones(len(words) + len(per_text), np.int64)
+        many = np.ones(len(words) + len(per_text), np.int32)
         begin = np.zeros(len(many), np.int64)
         many[at], begin[at] = self.many[index], self.begin[index]
         if end > np.iinfo(self.ids.dtype).max:
             self.ids = self.ids.astype(np.uint32)
         self.ids[0] = end
-        stop = np.cumsum(many)
-        out = self.ids[np.repeat(begin - (stop - many), many) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        stop = np.cumsum(many, dtype=np.int64)
+        out = self.ids.take(np.repeat(begin - (stop - many), many) + np.arange(int(stop[-1]) if len(stop) else 0))
         ends = stop[np.cumsum(per_text + 1) - 1] if len(per_text) else stop
         return out, np.concatenate(([0], ends))
+
+
+_LOWER = w.LOWER.tobytes()
+_INSIDE = (~w.SPACE).astype(np.uint8).tobytes()
+_SPACES = bytes(np.flatnonzero(w.SPACE).tolist())
+
+
+def _kinds(told: dict | None) -> set[str]:
+    """The types of a normalizer and of those that it is made of."""
+    return {told["type"], *(k for part in told.get("normalizers", ()) for k in _kinds(part))} if told else set()
+
+
+def _splits_at_space(pre_tokenizer) -> bool:
+    """Whether no piece has white space in it, tried between all kinds of characters."""
+    if pre_tokenizer is None:
+        return False
+    sides = "aZé1!日'<_"
+    probe = "".join(a + s + b for s in "\x20\t\n\v\f\r" for a in sides for b in sides)
+    return not any(set(probe[a:b]) & set("\x20\t\n\v\f\r") for _, (a, b) in pre_tokenizer.pre_tokenize_str(probe))
+
+
+def _hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """Hashes of words (never 0)."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset)
+    if not len(words):
+        return np.empty(0, w.U64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    sizes, firsts = np.diff(ends), ends[:-1] - ends[0]
+    place = np.arange(len(raw)) - np.repeat(firsts, sizes)
+    power = np.full(int(sizes.max()), w.BASE)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    return np.maximum(w.mix(np.add.reduceat(w.BYTE.take(raw) * power.take(place), firsts) ^ sizes.astype(w.U64) * w.MIX1), w.U64(1))
+
+
+def _rest(words: pa.LargeStringArray, heads: pa.LargeStringArray) -> pa.LargeStringArray:
+    """What of each word comes after its head."""
+    whole, head = (np.asarray(pc.binary_length(x)).astype(np.int64) for x in (words, heads))
+    tail = whole - head
+    offsets = np.concatenate(([0], np.cumsum(tail)))
+    _, starts, raw = words.buffers()
+    ends = np.frombuffer(starts, np.int64, len(words) + 1, 8 * words.offset)[1:]
+    data = np.frombuffer(raw or b"", np.uint8)
+    at = np.repeat(ends - tail - offsets[:-1], tail) + np.arange(int(offsets[-1]))
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(data[at]))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import id_coder
 from . import words as w
-from .common import tasks
-from .token_ids import encoder
+from .common import small_batches, tasks
+from .token_ids import SLICE, encoder
 
 #: Ids of a shard row, at most (one document may have more); so many blocks are coded in step.
 SHARD_IDS = 4 << 20
@@ -32,7 +32,7 @@ SHARD_IDS = 4 << 20
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", file: str = "word_bpe_49k.json", end: int = 2) -> None:
     """Encodes and writes all rows; each text's ids are followed by ``end``."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks(docs), "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             return pa.RecordBatch.from_arrays(cols, ["shard", "part", "n_ids", "docs", "n_tokens", "blocks"])
 
         for batch in batches:
-            for piece in w.slices(batch, "text"):
+            for piece in w.slices(batch, "text", SLICE):
                 got, at = coder.encode(piece.column("text"), end)
                 if held and held + len(got) > SHARD_IDS:
                     yield row()

@@ -133,3 +133,41 @@ def repeated(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     any_[order[1:][same]] = True
     any_[order[:-1][same]] = True
     return any_, again
+
+
+class Places:
+    """Numbers distinct 64-bit hashes in the order in which they are added: a hash table in two arrays."""
+
+    def __init__(self):
+        self.size, self.keys, self.numbers = 0, np.zeros(1 << 16, U64), np.empty(1 << 16, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those not there."""
+        out, todo, mask = np.full(len(hashes), -1, np.int32), np.arange(len(hashes)), U64(len(self.keys) - 1)
+        at = (hashes & mask).astype(np.int64)
+        while len(todo):
+            there = self.keys[at]
+            same = there == hashes[todo]
+            out[todo[same]] = self.numbers[at[same]]
+            on = ~same & (there != 0)
+            todo, at = todo[on], at[on] + 1 & len(self.keys) - 1
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Adds hashes that are distinct and not there."""
+        if 2 * (self.size + len(hashes)) > len(self.keys):
+            old, numbers = self.keys, self.numbers
+            big = 1 << (4 * (self.size + len(hashes))).bit_length()
+            self.keys, self.numbers = np.zeros(big, U64), np.empty(big, np.int32)
+            self._put(old[old != 0], numbers[old != 0])
+        self._put(hashes, np.arange(self.size, self.size + len(hashes), dtype=np.int32))
+        self.size += len(hashes)
+
+    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        at = (hashes & U64(len(self.keys) - 1)).astype(np.int64)
+        while len(at):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]
+            mine = free & (self.keys[at] == hashes)  # where several wanted a place, the last has it
+            self.numbers[at[mine]] = numbers[mine]
+            hashes, numbers, at = hashes[~mine], numbers[~mine], at[~mine] + 1 & len(self.keys) - 1
