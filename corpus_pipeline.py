@@ -31,8 +31,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and the terms that disclose it masked in their texts."""
-    out = pii.sanitise(docs).select("row.*", "clean")
-    return out.withColumn("text", F.col("clean")).withColumn("n_chars", F.length("clean").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = pii.sanitise(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
+    put = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(put.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The classifier, the alignment and the packing have no SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: The classifier, the alignment and the packing have no SQL; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
