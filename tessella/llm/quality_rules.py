@@ -112,22 +112,22 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 500, alarm: float = 0.01, caught: float = 0.2, weight: float = 2.0) -> tuple[float, list[tuple[float, float]], dict]:
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 500, share: float = 0.8, alarm: float = 0.01, caught: float = 0.25) -> tuple[float, list[tuple[float, float]], dict]:
     """Expectation-maximisation over (votes, count) pairs.
 
-    A rule has two accuracies, both over the documents on which it votes: how often it votes
-    bad on good ones (prior mean ``alarm``) and on bad ones (``caught``). The priors count as
-    ``weight`` (for bad documents a tenth of that) times the rule's own votes, so they mean
-    the same at every size, and settle which of the two classes is the good one.
+    A rule has two rates, both over the documents on which it votes: how often it votes bad on good ones and on
+    bad ones. EM climbs to the maximum of the likelihood next to its start, which says what is meant by the two classes:
+    most documents are good, rules seldom raise a false alarm and each catches some of the bad ones. A rule that would vote bad
+    more often on good documents than on bad ones tells nothing: it gets the same rate for both. One document a class
+    at the start's rates keeps rates off 0 and 1; it doesn't grow with the counts.
     Returns the share of good documents, each rule's two rates, each pattern's posterior.
     """
     rules_n = len(patterns[0][0]) if patterns else 0
-    share, rates = 0.85, [(alarm, caught)] * rules_n
+    rates = [(alarm, caught)] * rules_n
     posterior: dict = {}
-    votes_n = [sum(n for votes, n in patterns if votes[j] is not None) for j in range(rules_n)]
     for _ in range(rounds):
-        in_good, in_bad = [[0.0, 0.0] for _ in range(rules_n)], [[0.0, 0.0] for _ in range(rules_n)]
-        good, total = 0.85, 1.0
+        bad, seen = [[0.0, 0.0] for _ in range(rules_n)], [[0.0, 0.0] for _ in range(rules_n)]
+        good = total = 0.0
         for votes, n in patterns:
             odds = math.log(share / (1 - share))
             for v, (a, c) in zip(votes, rates, strict=True):
@@ -137,17 +137,18 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 5
             good, total = good + n * p, total + n
             for j, v in enumerate(votes):
                 if v is not None:
-                    in_good[j][0] += n * p * (1 - v)
-                    in_good[j][1] += n * p
-                    in_bad[j][0] += n * (1 - p) * (1 - v)
-                    in_bad[j][1] += n * (1 - p)
+                    for k, q in enumerate((p, 1 - p)):
+                        bad[j][k] += n * q * (1 - v)
+                        seen[j][k] += n * q
         fresh = []
-        for j, m in enumerate(votes_n):
-            a = (in_good[j][0] + alarm * weight * m + alarm) / (in_good[j][1] + weight * m + 1)
-            c = (in_bad[j][0] + caught * weight * m / 10 + caught) / (in_bad[j][1] + weight * m / 10 + 1)
-            fresh.append((min(max(a, 1e-4), 0.5), min(max(c, 2 * a, 1e-3), 0.99)))
-        moved = max([abs(good / total - share), *(abs(x - y) for p, q in zip(fresh, rates, strict=True) for x, y in zip(p, q, strict=True))])
-        share, rates = min(0.999, max(0.001, good / total)), fresh
+        for (b_good, b_bad), (n_good, n_bad) in zip(bad, seen, strict=True):
+            a, c = (b_good + alarm) / (n_good + 1), (b_bad + caught) / (n_bad + 1)
+            if c < a:
+                a = c = (b_good + b_bad + alarm) / (n_good + n_bad + 1)
+            fresh.append((min(max(a, 1e-5), 1 - 1e-5), min(max(c, 1e-5), 1 - 1e-5)))
+        now = min(1 - 1e-4, max(1e-4, good / total)) if total else share
+        moved = max([abs(now - share), *(abs(x - y) for p, q in zip(fresh, rates, strict=True) for x, y in zip(p, q, strict=True))])
+        share, rates = now, fresh
         if moved < 1e-7:
             break
     return share, rates, posterior

@@ -353,3 +353,73 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_quotation_agrees_with_sql(spark):
     assert difference(spark, SF, "op4_quotation_linking") is None
+
+
+def test_op9_recovers_known_rates():
+    rng = np.random.default_rng(1)
+    good = rng.random(20_000) < 0.6
+    votes = (rng.random((20_000, 10)) >= np.where(good, 0.15, 0.8)[:, None]).astype(int)
+    held = rng.random(votes.shape) < 0.1
+    patterns = Counter(tuple(None if h else int(v) for v, h in zip(*row, strict=True)) for row in zip(votes, held, strict=True))
+    share, rates, posterior = quality_rules.estimate(sorted(patterns.items(), key=str))
+    assert abs(share - 0.6) < 0.05 and all(abs(a - 0.15) < 0.05 and abs(c - 0.8) < 0.05 for a, c in rates)
+    right = sum((posterior[tuple(None if h else int(v) for v, h in zip(*row, strict=True))] >= 0.5) == g for *row, g in zip(votes, held, good, strict=True))
+    assert right > 0.95 * len(good)
+
+
+def test_op9_posterior_is_that_of_em_over_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = list(quality_rules.rules())
+    stats = quality_rules.text_stats(docs).withColumns(quality_rules.rules()).select("doc_id", *names).collect()
+    votes = np.array([[np.nan if r[c] is None else r[c] for c in names] for r in stats], float)
+    share, a, c = 0.8, np.full(len(names), 0.01), np.full(len(names), 0.25)
+    for _ in range(500):
+        odds = np.log(share / (1 - share)) + np.nansum(np.where(votes == 1, np.log((1 - a) / (1 - c)), np.where(votes == 0, np.log(a / c), np.nan)), axis=1)
+        p = 1 / (1 + np.exp(-odds))
+        votes_bad, has = votes == 0, ~np.isnan(votes)
+        bad, n = [[(q[:, None] * m).sum(axis=0) for q in (p, 1 - p)] for m in (votes_bad, has)]
+        new_a, new_c = (bad[0] + 0.01) / (n[0] + 1), (bad[1] + 0.25) / (n[1] + 1)
+        both = (bad[0] + bad[1] + 0.01) / (n[0] + n[1] + 1)
+        new_a, new_c = (np.clip(np.where(new_c < new_a, both, x), 1e-5, 1 - 1e-5) for x in (new_a, new_c))
+        moved = max(abs(p.mean() - share), np.abs(new_a - a).max(), np.abs(new_c - c).max())
+        share, a, c = min(max(p.mean(), 1e-4), 1 - 1e-4), new_a, new_c
+        if moved < 1e-7:
+            break
+    want = dict(zip((r.doc_id for r in stats), p, strict=True))
+    got = {r.doc_id: r for r in queries.op9_quality_rules(spark, SF).collect()}
+    assert {i: r.p_good for i, r in got.items()} == pytest.approx(want, abs=1e-6)
+    assert all(r.kept == (not r.base_failed and want[i] >= 0.5) for i, r in got.items() if abs(want[i] - 0.5) > 1e-3)
+
+
+def test_encoder_reads_tokenizers_that_do_not_split_at_space():
+    e = encoder("byte_bpe_50k.json")
+    assert not e.by_word and encoder("word_bpe_49k.json").by_word
+    ids, at = e.encode(pa.array(TEXTS), 7)
+    for i, t in enumerate(TEXTS):
+        assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids + [7]
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_op10_query_agrees_with_brute_force(spark, blocks):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    block_bytes = 1 + sum(len(r.text.encode()) for r in items.collect()) // blocks
+    grams = {}
+    asked = {r.item_id: plain(r.text) for r in items.collect()}
+    for i, x in asked.items():
+        for k in range(len(x) - 2):
+            grams.setdefault(tuple(x[k : k + 3]), set()).add(i)
+    want = set()
+    for r in docs.collect():
+        x = plain(r.text)
+        for i in {i for k in range(len(x) - 2) for i in grams.get(tuple(x[k : k + 3]), ())}:
+            row, before, best = np.array([hash(y) for y in x]), np.zeros(len(x) + 1, int), 0
+            for word in asked[i]:
+                now = np.maximum(np.maximum(before[:-1] + np.where(row == hash(word), 2, -1), before[1:] - 1), 0)
+                now = np.maximum.accumulate(now + np.arange(len(row))) - np.arange(len(row))
+                before = np.concatenate(([0], now))
+                best = max(best, int(now.max(initial=0)))
+            if best >= len(asked[i]):
+                want.add((r.doc_id, i, round(best / (2 * len(asked[i])), 9)))
+    found = decontamination.contaminated(docs, items, keep=["doc_id"], block_bytes=block_bytes).select("row.doc_id", F.explode("matches").alias("m")).collect()
+    assert {(r.doc_id, r.m.item_id, round(r.m.score, 9)) for r in found} == want and want
