@@ -70,3 +70,8 @@ def corroboration(rows: DataFrame, group: str, source: str) -> DataFrame:
     """In each group of several: sources beyond the first corroborate, repeats of a source are duplicates."""
     out = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(source).alias("sources"))
     return out.where("n > 1").select(group, "n", (F.col("sources") - 1).alias("corroborations"), (F.col("n") - F.col("sources")).alias("duplicates"))
+
+
+def fingerprint(date: str) -> Column:
+    """A hash of the set of days that a group covers."""
+    return F.md5(F.array_join(F.sort_array(F.collect_set(F.date_format(date, "yyyy-MM-dd"))), ","))
