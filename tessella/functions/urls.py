@@ -49,3 +49,14 @@ def kind(url: Column) -> Column:
 
 def last_segment(url: Column) -> Column:
     return F.regexp_extract(normalize(url), r"/([^/?#]+)(?:\?[^#]*)?$", 1)
+
+
+def parameter(url: Column, name: str) -> Column:
+    """The value of a query key (the first), else null."""
+    return F.nullif(F.regexp_extract(query(url), rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
+
+
+def equivalent(a: Column, b: Column, id_key: str | None = None) -> Column:
+    """Equal when normalised, or the same content id in the query key that a site's content system uses."""
+    same = normalize(a) == normalize(b)
+    return same if id_key is None else same | F.coalesce((host(a) == host(b)) & (parameter(a, id_key) == parameter(b, id_key)), F.lit(False))

@@ -116,3 +116,18 @@ def related(items: DataFrame, id_col: str, shared: str, tags: str, kind: str, mo
     pairs = pairs.join(of, "id").join(of.select(F.col("id").alias("other"), F.col("kind").alias("other_kind")), "other")
     pairs = pairs.select("id", "other", (F.col("score") + F.when(F.col("kind") == F.col("other_kind"), 1).otherwise(0)).alias("score"))
     return latest(pairs, "id", [F.desc("score"), F.asc("other")], most)
+
+
+def placed(rows: DataFrame, date: str, order: list[str]) -> DataFrame:
+    """Rows with their ``place`` by date, then ``order``: the rows of earlier days, counted by day, and the place within the day."""
+    before = F.sum("n").over(Window.orderBy(date)) - F.col("n")  # over days, not rows
+    days = day_counts(rows, date).withColumn("before", before).drop("n")
+    within = F.row_number().over(Window.partitionBy(date).orderBy(*order))
+    return rows.withColumn("within", within).join(days, date).withColumn("place", (F.col("before") + F.col("within")).cast("long")).drop("before", "within")
+
+
+def slugs(rows: DataFrame, id_col: str, slug: str, aliases: str) -> DataFrame:
+    """(id, slug, redirect): every slug that leads to a row; former ones redirect, unless some row has them now."""
+    own = rows.select(id_col, F.col(slug).alias("slug"), F.lit(False).alias("redirect"))
+    former = rows.select(id_col, F.explode(aliases).alias("slug")).join(own.select("slug"), "slug", "left_anti")
+    return own.unionByName(former.select(id_col, "slug", F.lit(True).alias("redirect")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.sources.storage import settled
+from tessella.sources.storage import cut, settled
 
 
 def _issue(code: str, path: Column, message: Column, severity: str = "error") -> list[Column]:
@@ -71,7 +71,7 @@ def bad_array_refs(rows: DataFrame, id_col: str, array: str, dimension: DataFram
 
 def repeated(rows: DataFrame, keys: list[str], id_col: str, code: str, severity: str = "error") -> DataFrame:
     """Keys that occur more than once below one id."""
-    groups = rows.groupBy(id_col, *keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = rows.groupBy(id_col, *keys).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
     return groups.select(*_issue(code, F.col(id_col), F.concat_ws(" ", *(F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys)), severity))
 
 
@@ -132,6 +132,7 @@ def already_there(published: DataFrame, candidate: DataFrame, key: str) -> DataF
 
 def report(checks: DataFrame) -> DataFrame:
     """How many issues of each code there are, and whether the catalogue passes (no errors)."""
+    checks = cut(checks)
     counts = checks.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
     errors = checks.where("severity = 'error'").limit(1).count()
     return counts.withColumn("passes", F.lit(errors == 0))
