@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.sources.storage import cut
+
 OUTCOMES = ("ambiguous", "created", "updated", "unchanged", "cancelled-not-created", "structural-skip", "excluded", "uncertain")
 HEALTH = ("clean", "degraded", "review", "fatal")
 
@@ -58,8 +60,37 @@ def hydration(rows: DataFrame, source: str, attempted: Column, succeeded: Column
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """Places by an order over summary rows (one a route or source)."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Places by an order: rows are dealt out by ranges of it, put in order there, and each range begins after the rows of those before."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")  # over parts, not rows
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_within", within).join(parts.select("_part", before), "_part").withColumn("place", (F.col("_before") + F.col("_within")).cast("long")).drop("_part", "_before", "_within")
+
+
+def quantiles(rows: DataFrame, key: str, value: str, shares: Mapping[str, float], ranges: int = 1024) -> DataFrame:
+    """(key, one column a share): exact quantiles, interpolated between neighbours.
+
+    Values are counted, then ranges of them; a key's values are put in order only within the ranges that hold the places asked for.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(key).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.sum("n").alias("total"))
+    at = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * ranges), F.lit(ranges - 1))).otherwise(0)
+    placed = counts.join(ends, key).withColumn("r", at.cast("int"))
+    sums = placed.groupBy(key, "r", "total").agg(F.sum("n").alias("held"))
+    sums = sums.withColumn("before", F.sum("held").over(Window.partitionBy(key).orderBy("r")) - F.col("held"))
+    wanted = F.lit(False)
+    for share in shares.values():
+        place = (F.col("total") - 1) * share
+        for p in (F.floor(place), F.ceil(place)):
+            wanted = wanted | ((p >= F.col("before")) & (p < F.col("before") + F.col("held")))
+    near = placed.join(sums.where(wanted).select(key, "r", "before"), [key, "r"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(key, "r").orderBy("v"))
+    near = near.withColumn("to", upto).withColumn("from", F.col("to") - F.col("n"))
+    here = lambda p: F.max(F.when((p >= F.col("from")) & (p < F.col("to")), F.col("v")))
+    out = near.groupBy(key, "total").agg(*(here(rounded((F.col("total") - 1) * share)).alias(f"{name}_{side}") for name, share in shares.items() for side, rounded in (("low", F.floor), ("high", F.ceil))))
+    between = lambda name, share: F.col(f"{name}_low") + ((F.col("total") - 1) * share - F.floor((F.col("total") - 1) * share)) * (F.col(f"{name}_high") - F.col(f"{name}_low"))
+    return out.select(key, *(between(name, share).alias(name) for name, share in shares.items()))
 
 
 def confusion(rows: DataFrame, expected: str, actual: str) -> DataFrame:

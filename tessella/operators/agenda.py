@@ -69,8 +69,7 @@ def inline_break(days: DataFrame, date: str, least: int = 8, most: int = 12, tar
 
 def next_occurrence(rows: DataFrame, key: str, date: str, wanted: Column, tie: str) -> DataFrame:
     """(key, date, tie) of the first wanted row of each key."""
-    best = F.min(F.when(wanted, F.struct(date, tie)))
-    return rows.groupBy(key).agg(best.alias("best")).where("best is not null").select(key, "best.*")
+    return rows.where(wanted).groupBy(key).agg(F.min(F.struct(date, tie)).alias("best")).select(key, "best.*")
 
 
 def relevant_occurrence(rows: DataFrame, key: str, date: str, scheduled: Column, upcoming: Column, tie: str) -> DataFrame:
@@ -102,22 +101,29 @@ def distinct_titles(items: DataFrame, title: str, facts: list[str]) -> DataFrame
     return items
 
 
-def related(items: DataFrame, id_col: str, shared: str, tags: str, kind: str, most: int = 3) -> DataFrame:
-    """(id, other, score): 3 a shared value of ``shared``, 2 a shared one of ``tags``, 1 for the same kind; the best few.
+def related(items: DataFrame, id_col: str, shared: str, tag: str, kind: str, most: int = 3) -> DataFrame:
+    """(id, other, score, place): 3 for the same ``shared``, 2 for the same ``tag``, 1 more for the same ``kind``; the best few.
 
-    Candidates come from equal values only; no pair that shares nothing is formed.
+    Whoever is among the best of an item is among the ``most + 1`` smallest ids of some class of items that are equal in what they
+    share with it, so each item meets the few of its classes and no pairs of a class are formed.
     """
-    def by(column: str, weight: int) -> DataFrame:
-        one = items.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(column)).alias("v"))
-        return one.join(one.select(F.col("id").alias("other"), "v"), "v").where("id != other").select("id", "other", F.lit(weight).alias("score"))
-
-    pairs = by(shared, 3).union(by(tags, 2)).groupBy("id", "other").agg(F.sum("score").alias("score"))
-    of = items.select(F.col(id_col).alias("id"), F.col(kind).alias("kind"))
-    pairs = pairs.join(of, "id").join(of.select(F.col("id").alias("other"), F.col("kind").alias("other_kind")), "other")
-    pairs = pairs.select("id", "other", (F.col("score") + F.when(F.col("kind") == F.col("other_kind"), 1).otherwise(0)).alias("score"))
+    rows = items.select(F.col(id_col).alias("id"), F.col(shared).alias("s"), F.col(tag).alias("t"), F.col(kind).alias("k"))
+    found = None
+    for keys in (["s", "t", "k"], ["s", "t"], ["s", "k"], ["s"], ["t", "k"], ["t"]):
+        few = _first_of_class(rows, keys, most + 1)
+        hit = rows.join(few, keys).select("id", "s", "t", "k", "o")
+        found = hit if found is None else found.unionByName(hit)
+    score = lambda c, n: F.when(F.col(c) == F.col(f"o.{c}"), n).otherwise(0)
+    pairs = found.where(F.col("id") != F.col("o.id")).select("id", F.col("o.id").alias("other"), (score("s", 3) + score("t", 2) + score("k", 1)).alias("score")).distinct()
     return latest(pairs, "id", [F.desc("score"), F.asc("other")], most)
 
 
+def _first_of_class(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The rows with the smallest ids of each class, in the struct ``o``; each task keeps only so many of a class before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    return rows.withColumn("o", F.struct("id", "s", "t", "k")).withColumn("_place", place).where(F.col("_place") <= most).select(*keys, "o")
+
+
 def placed(rows: DataFrame, date: str, order: list[str]) -> DataFrame:
     """Rows with their ``place`` by date, then ``order``: the rows of earlier days, counted by day, and the place within the day."""
     before = F.sum("n").over(Window.orderBy(date)) - F.col("n")  # over days, not rows

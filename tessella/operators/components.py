@@ -38,4 +38,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before, state = state, (rows, *_state(now))
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")

@@ -185,13 +185,11 @@ def document_titles(spark: SparkSession, sf: str) -> DataFrame:
     return agenda.distinct_titles(items, "title", ["p_brand", "p_type", "p_size"]).select("p_partkey", "title")
 
 
-@query("""WITH t AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_size <= 3), s AS (
-SELECT a.p_partkey AS id, b.p_partkey AS other, 3 * CAST(a.p_brand = b.p_brand AS INTEGER) + 2 * CAST(a.p_type = b.p_type AS INTEGER) AS base, CAST(a.p_size = b.p_size AS INTEGER) AS kind FROM t a JOIN t b ON a.p_partkey <> b.p_partkey AND (a.p_brand = b.p_brand OR a.p_type = b.p_type)),
-r AS (SELECT id, other, base + kind AS score, row_number() OVER (PARTITION BY id ORDER BY base + kind DESC, other) AS place FROM s)
-SELECT id, other, CAST(score AS BIGINT) AS score, place FROM r WHERE place <= 3""")
+@query("""WITH s AS (SELECT a.p_partkey AS id, b.p_partkey AS other, 3 * CAST(a.p_brand = b.p_brand AS INTEGER) + 2 * CAST(a.p_type = b.p_type AS INTEGER) AS base, CAST(a.p_size = b.p_size AS INTEGER) AS kind FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (a.p_brand = b.p_brand OR a.p_type = b.p_type)),
+r AS (SELECT id, other, base + kind AS score, row_number() OVER (PARTITION BY id ORDER BY base + kind DESC, other) AS place FROM s QUALIFY place <= 3)
+SELECT id, other, CAST(score AS BIGINT) AS score, place FROM r""")
 def related_items(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "part").where("p_size <= 3").select("p_partkey", F.array("p_brand").alias("brands"), F.array("p_type").alias("types"), F.col("p_size").cast("string").alias("size"))
-    return agenda.related(t, "p_partkey", "brands", "types", "size").select("id", "other", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
+    return agenda.related(table(spark, sf, "part"), "p_partkey", "p_brand", "p_type", "p_size").select("id", "other", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT o_orderkey, strftime((CAST(o_orderdate AS TIMESTAMP) + INTERVAL 2 HOUR + INTERVAL 30 MINUTE) AT TIME ZONE 'Europe/Madrid' AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS utc FROM orders""")

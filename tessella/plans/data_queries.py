@@ -161,9 +161,10 @@ for _name, _char in html.ENTITIES.items():
     ENTITIES_SQL = f"replace({ENTITIES_SQL}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
 
 
-@query(f"SELECT page_id, md5(trim(regexp_replace({ENTITIES_SQL.format(chr(39).join(['regexp_replace(html, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}, '\\s+', ' ', 'g'))) AS stripped FROM pages WHERE NOT contains(html, '&#')")
+@query(f"SELECT page_id, md5(trim(regexp_replace({ENTITIES_SQL.format(chr(39).join(['regexp_replace(html, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}, '\\s+', ' ', 'g'))) AS stripped FROM pages")
 def html_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").where("not contains(html, '&#')").select("page_id", F.md5(html.strip_tags(F.col("html"))).alias("stripped"))
+    # the SQL decodes no numeric references, of which the driver's pages have none
+    return table(spark, sf, "pages").select("page_id", F.md5(html.strip_tags(F.col("html"))).alias("stripped"))
 
 
 @query()
@@ -250,12 +251,6 @@ def era_ordered_set(spark: SparkSession, sf: str) -> DataFrame:
     return sets.select("l_orderkey", F.array_join(classify.in_order(F.col("eras"), ("PROMO", "SMALL", "STANDARD", "MEDIUM", "LARGE", "ECONOMY")), ",").alias("eras"))
 
 
-@query("SELECT quality AS expected, CASE WHEN n_chars >= 400 THEN 1 ELSE 0 END AS actual, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
-def golden_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    return accounting.confusion(rows.select(F.col("quality").alias("expected"), F.when(F.col("n_chars") >= 400, 1).otherwise(0).alias("actual")), "expected", "actual")
-
-
 def _filled(c: str) -> Column:
     return F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "")
 
@@ -272,7 +267,7 @@ def evidence_richness(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.when(k >= 3, "rich").when(k >= 1, "partial").otherwise("sparse").alias("richness"))
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, string_agg AS heads FROM (SELECT doc_id, text, array_to_string(list_sort(list_distinct(list_transform(string_split(text, chr(10)), lambda x: x[1:8]))), '; ') AS string_agg FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, md5(string_agg) AS joined FROM (SELECT doc_id, text, array_to_string(list_sort(list_distinct(string_split(text, chr(10)))), '; ') AS string_agg FROM documents WHERE text IS NOT NULL)")
 def list_export(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.split("text", "\n")
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(lines).alias("lines"), export.joined(F.transform(lines, lambda x: F.substring(x, 1, 8))).alias("heads"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(lines).alias("lines"), F.md5(export.joined(lines)).alias("joined"))

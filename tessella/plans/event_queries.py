@@ -77,7 +77,8 @@ def temporal_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def percentile_latency(spark: SparkSession, sf: str) -> DataFrame:
-    return _events(spark, sf).groupBy("event_type").agg(*(F.round(F.percentile("value", p), 6).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))))
+    out = accounting.quantiles(_events(spark, sf), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return out.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 ROUTES = "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS good, count(*) FILTER (event_type <> 'error') AS sent FROM events GROUP BY user_id"
@@ -91,9 +92,10 @@ def route_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return accounting.ranked(rated, *order).select("user_id", "place")
 
 
-@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM events")
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_minute, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour FROM events")
 def rate_limit_60s(spark: SparkSession, sf: str) -> DataFrame:
-    return events.rate(_events(spark, sf), "user_id", "ts", 3600).select("event_id", "user_id", "in_window")
+    minute = events.rate(_events(spark, sf), "user_id", "ts", 60).withColumnRenamed("in_window", "in_minute")
+    return events.rate(minute, "user_id", "ts", 3600).select("event_id", "user_id", "in_minute", F.col("in_window").alias("in_hour"))
 
 
 @query("SELECT user_id, strftime(ts - INTERVAL 8 HOUR, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")

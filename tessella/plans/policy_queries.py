@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import idents, notices, urls
-from tessella.operators import agenda, classify, export, quality
+from tessella.operators import accounting, agenda, classify, export, quality
 from tessella.sources.storage import table
 
 from .registry import query
@@ -40,7 +40,15 @@ def eligibility_order(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", found.alias("v")).select("doc_id", "v.*")
 
 
-FORMAT = _hits_sql("w", classify.FORMAT_WORDS)
+@query(f"""{TOLD} SELECT quality AS expected, CASE WHEN len(o) > 0 OR len(c) > 0 OR len(hd) > 0 THEN 'exclude' WHEN len(i) > 0 THEN 'include' ELSE 'uncertain' END AS actual, count(*) AS n FROM labels JOIN h USING (doc_id) GROUP BY ALL""")
+def golden_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "source", classify.words_of(F.col("text")).alias("w"))
+    w = F.col("w")
+    none = F.array().cast("array<string>")
+    against = F.concat(classify.hits(w, OVERRIDING), classify.hits(w, COPRINCIPAL), classify.hits(w, HARD))
+    value = classify.decide(against, none, none, classify.hits(w, INCLUDING, {"known-classical-composer": F.col("source") == "src3"}), F.lit(False))
+    rows = table(spark, sf, "labels").join(d.select("doc_id", value.alias("v")), "doc_id")
+    return accounting.confusion(rows.select(F.col("quality").alias("expected"), F.col("v.value").alias("actual")), "expected", "actual")
 
 
 @query(f"""WITH t AS (SELECT p_partkey, {WORDS.format('title')} AS t, {WORDS.format('descr')} AS d FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Sinfonía de ' || p_name WHEN 1 THEN 'Recital: coro y órgano' WHEN 2 THEN 'Ópera o bien zarzuela' ELSE p_name END AS title, CASE p_partkey % 4 WHEN 0 THEN 'música antigua, cuarteto' WHEN 1 THEN 'lieder' ELSE p_type END AS descr FROM part)),
