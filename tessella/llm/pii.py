@@ -37,6 +37,9 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", Integ
 #: Table rows up to which a small side is broadcast (under 100 bytes each), and words up to which a filter is.
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
 
+#: Stands for any entity at all.
+ANY = np.int64(-1)
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -151,7 +154,8 @@ def _entity_counts(texts: DataFrame) -> DataFrame:
 
 
 def _together(texts: DataFrame, entities: np.ndarray | None) -> DataFrame:
-    """(entity, term, together): in how many documents both occur, the term outside all entities."""
+    """(entity, term, together): in how many documents both occur, the term outside all entities; with ANY as the entity, in how many
+    of the documents that hold some entity the term occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +174,7 @@ def _together(texts: DataFrame, entities: np.ndarray | None) -> DataFrame:
                 for k, (_, mine, spans) in enumerate(held):
                     own = slice(at[k], at[k + 1])
                     keys = np.unique(terms.key[own][_apart(terms.start[own], terms.end[own], spans)])
+                    mine = np.append(mine, ANY)
                     pairs.append(np.stack([np.repeat(mine, len(keys)), np.tile(keys, len(mine))]))
                 (entity, term), counts = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(entity), pa.array(term), pa.array(counts)], ["entity", "term", "together"])
@@ -237,13 +242,15 @@ def _document_counts(texts: DataFrame, terms: np.ndarray | None) -> DataFrame:
 def disclosing_terms(texts: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
     """(entity, term, disclosure, removed) for the terms that give an entity away."""
     entities = cut(_entity_counts(texts).where(F.col("alone") >= support))
-    together = cut(_together(texts, _known(entities, "entity")).where(F.col("together") >= support))
-    counts = _document_counts(texts, _known(together.select("term").distinct(), "term"))
+    together = cut(_together(texts, _known(entities, "entity")).where((F.col("together") >= support) | (F.col("entity") == ANY)))
     n = F.lit(float(max(1, texts.count())))
-    both = together.join(_small(entities), "entity").join(counts, "term")
-    content = F.log2(n / F.col("alone"))
-    ratio = F.log2(n * F.col("together") / (F.col("alone") * F.col("docs"))) / content
-    both = both.where(content > 0).withColumn("disclosure", ratio).where(F.col("disclosure") >= generalise_at)
+    content, gives = F.log2(n / F.col("alone")), lambda docs: F.log2(n * F.col("together") / (F.col("alone") * F.col(docs)))
+    # a term is in as many documents at least as hold an entity with it, which rules most common words out before all texts are counted
+    among = together.where(F.col("entity") == ANY).select("term", F.col("together").alias("among"))
+    able = together.where(F.col("entity") != ANY).join(_small(entities), "entity").join(among, "term")
+    able = cut(able.where((content > 0) & (gives("among") >= generalise_at * content)).drop("among"))
+    counts = _document_counts(texts, _known(able.select("term").distinct(), "term"))
+    both = able.join(counts, "term").withColumn("disclosure", gives("docs") / content).where(F.col("disclosure") >= generalise_at)
     return both.select("entity", "term", "disclosure", (F.col("disclosure") >= remove_at).alias("removed"))
 
 

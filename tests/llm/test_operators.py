@@ -423,3 +423,36 @@ def test_op10_query_agrees_with_brute_force(spark, blocks):
                 want.add((r.doc_id, i, round(best / (2 * len(asked[i])), 9)))
     found = decontamination.contaminated(docs, items, keep=["doc_id"], block_bytes=block_bytes).select("row.doc_id", F.explode("matches").alias("m")).collect()
     assert {(r.doc_id, r.m.item_id, round(r.m.score, 9)) for r in found} == want and want
+
+
+def test_op1_disclosing_terms_agree_with_brute_force(spark):
+    rng = np.random.default_rng(4)
+    people = [f"p{k}@x{k % 3}.example.com" for k in range(6)]
+    docs = []
+    for i in range(240):
+        words_ = [f"w{x}" for x in rng.zipf(1.6, 12) % 60]
+        if i % 4 == 0:
+            k = int(rng.integers(6))
+            words_ += [people[k], f"only{k}", f"often{k}"]
+        if i % 17 == 0:
+            words_.append(f"often{i % 6}")
+        docs.append(" ".join(words_[j] for j in rng.permutation(len(words_))))
+    n, held, having, both = len(docs), Counter(), Counter(), Counter()
+    for t in docs:
+        spans = pii.base_spans(t)
+        mine = {t[a:b].lower() for _, a, b in spans}
+        bare = t
+        for _, a, b in sorted(spans, key=lambda s: -s[1]):
+            bare = bare[:a] + " " + bare[b:]
+        inside = {x for x in re.findall("[a-z0-9]+", bare) if len(x) > 1}
+        everywhere = set(re.findall("[a-z0-9]+", t))
+        held.update(mine)
+        having.update(x for x in everywhere if len(x) > 1)
+        both.update((e, x) for e in mine for x in inside)
+    want = Counter()
+    for (e, x), c in both.items():
+        if c >= 2 and held[e] >= 2 and math.log2(n * c / (held[e] * having[x])) >= 0.6 * math.log2(n / held[e]):
+            want[round(math.log2(n * c / (held[e] * having[x])) / math.log2(n / held[e]), 9)] += 1
+    texts = spark.createDataFrame([(t,) for t in docs], "text string").repartition(5)
+    got = Counter(round(r.disclosure, 9) for r in pii.disclosing_terms(texts, 2, 0.6, 0.85).collect())
+    assert got == want and sum(want.values()) >= 6
