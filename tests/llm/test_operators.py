@@ -456,3 +456,50 @@ def test_op1_disclosing_terms_agree_with_brute_force(spark):
     texts = spark.createDataFrame([(t,) for t in docs], "text string").repartition(5)
     got = Counter(round(r.disclosure, 9) for r in pii.disclosing_terms(texts, 2, 0.6, 0.85).collect())
     assert got == want and sum(want.values()) >= 6
+
+
+def test_op2_suffix_array_and_repeats_agree_with_brute_force():
+    rng = np.random.default_rng(9)
+    for n, kinds in ((1, 1), (40, 2), (200, 3), (300, 1), (400, 50)):
+        tokens = rng.integers(0, kinds, n).astype(np.uint64)
+        order, levels = html_extraction.suffix_array(tokens)
+        rows = [tuple(tokens[i:].tolist()) for i in range(n)]
+        assert order.tolist() == sorted(range(n), key=lambda i: rows[i])
+        common = [next((k for k, (x, y) in enumerate(zip(rows[a], rows[b], strict=False)) if x != y), min(len(rows[a]), len(rows[b]))) for a, b in zip(order[:-1], order[1:], strict=True)]
+        assert html_extraction.common_prefixes(order, levels).tolist() == common
+    pages = [[int(x) for x in rng.integers(0, 4, rng.integers(1, 40))] for _ in range(12)]
+    stream = np.array([x for k, p in enumerate(pages) for x in [*p, 100 + k]], np.uint64)
+    page = np.array([k for k, p in enumerate(pages) for _ in range(len(p) + 1)])
+    like = np.arange(12) // 2
+    at, many = html_extraction.repeated_spans(stream, page, like, 4)
+    want = {}
+    for i in range(len(stream) - 3):
+        gram = tuple(stream[i : i + 4].tolist())
+        if max(gram) < 100:
+            places = [j for j in range(len(stream) - 3) if tuple(stream[j : j + 4].tolist()) == gram]
+            if len(places) > 1:
+                want[i] = len({like[page[j]] for j in places})
+    assert dict(zip(at.tolist(), many.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("part_bytes", [8 << 20, 20_000])
+def test_op2_removes_planted_boilerplate(spark, part_bytes):
+    rng = np.random.default_rng(2)
+    say = lambda k: " ".join(f"v{x}" for x in rng.integers(0, 100_000, k))
+    menus, notes = [say(20) for _ in range(3)], [say(15) for _ in range(3)]
+    rows, want = [], {}
+    for i in range(120):
+        host = f"h{i % 3}" if i % 2 else "big"
+        body = [say(30), say(25)]
+        marked = i % 5 == 0
+        note = notes[0] if marked else notes[i % 3]
+        inner = f"<p>{body[0]}</p><p>{note}</p><p>{body[1]}</p>"
+        rows.append((i, f"http://{host}/{i}", f"<body><div>{menus[i % 3]}</div>" + (f"<article>{inner}</article>" if marked else f"<div>{inner}</div>") + "</body>"))
+        want[i] = (body, note, menus[i % 3], marked)
+    rows += [(200 + i, "http://big/c", f"<article><p>{want[2][0][0]}</p><p>{want[2][0][1]}</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), part_bytes=part_bytes).select("row.page_id", "text").collect()}
+    assert len(got) == len(rows)
+    assert all(f"{b[0]}" in got[i] and b[1] in got[i] for i, (b, *_) in want.items())  # nothing of an article's own goes
+    removed = [menu not in got[i] and (marked or note not in got[i]) for i, (_, note, menu, marked) in want.items()]
+    assert np.mean(removed) >= 0.9
+    assert {got[200 + i] for i in range(6)} == {" ".join(want[2][0])}  # copies of an article stay whole
