@@ -9,8 +9,9 @@ as the block goes on, and its lower bits follow as they are. A carry-less range
 Every block starts from nothing and has a CRC of its ids. Many blocks are coded in step, one lane of
 each numpy array a block, and all arithmetic is on integers, so a block reads the same anywhere.
 
-A block: four little-endian unsigned 32-bit numbers (ids, CRC-32 of the ids as such numbers,
-range-coder words, raw words), then the words, 16 bits each. Ids must be below 65,536.
+A block: five little-endian unsigned 32-bit numbers (ids, CRC-32 of the ids as such numbers,
+range-coder words, raw words, wide ids), then the words, 16 bits each, and the wide ids, 32 bits each: those from WIDE on, which
+are coded as WIDE.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import numpy as np
 #: Ids in a block, slots of a context table, steps between renewals of the order-0 frequencies.
 BLOCK, SLOTS, RENEW = 2048, 1024, 128
 CLASSES = 17
+#: What stands for ids that don't fit 16 bits.
+WIDE = 65_535
 _I, _N, _U, _E = np.int64, np.int32, np.uint64, np.uint32
 _TOP, _LOW32, _MASK48 = _U(32), _U((1 << 32) - 1), _U((1 << 48) - 1)
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((i + 0.5) / (4095.5 - i))))) for i in range(4096)], _N)
@@ -71,8 +74,8 @@ class _Model:
         error = (hit << 12) - self.p
         for weight, told in ((self.w1, self.s1), (self.w2, self.s2)):
             weight += (told * error) >> 11
-            np.maximum(weight, -65536, out=weight)
-            np.minimum(weight, 262144, out=weight)
+            if self.step % 16 == 0:  # they can't leave 32 bits in between
+                np.clip(weight, -65536, 262144, out=weight)
         fresh = ids << 16 | 6144
         for table, at, entry, trust, was in ((self.one, self.i1, self.e1, self.c1, self.p1), (self.two, self.i2, self.e2, self.c2, self.p2)):
             wrong = np.where(trust < 16384, fresh, entry - (trust >> 2))
@@ -87,8 +90,9 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     ids = np.ascontiguousarray(ids, _I)
     if not len(ids):
         return []
-    if ids.min() < 0 or ids.max() >= 1 << 16:
-        raise ValueError("ids must be below 65,536")
+    if ids.min() < 0 or ids.max() >= 1 << 32:
+        raise ValueError("ids must be 32-bit numbers, not negative")
+    whole, ids = ids, np.minimum(ids, WIDE)
     lanes, steps = -(-len(ids) // block), min(block, len(ids))
     grid = np.zeros((lanes, steps), _I)
     grid.ravel()[: len(ids)] = ids
@@ -126,10 +130,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     out = []
     bits = np.where(literal.T, np.maximum(LENGTH[grid] - 1, 0), 0)
     for k in range(lanes):
-        mine = grid[k, : max(0, min(steps, len(ids) - k * block))]
+        mine = whole[k * block : k * block + steps]
+        wide = mine[mine >= WIDE].astype("<u4")
         raw = _raw(grid[k], bits[k])
         coded = words[first[k] : used[k]]
-        out.append(np.array([len(mine), zlib.crc32(mine.astype("<u4").tobytes()), len(coded), len(raw)], "<u4").tobytes() + coded.astype("<u2").tobytes() + raw.astype("<u2").tobytes())
+        out.append(np.array([len(mine), zlib.crc32(mine.astype("<u4").tobytes()), len(coded), len(raw), len(wide)], "<u4").tobytes() + coded.astype("<u2").tobytes() + raw.astype("<u2").tobytes() + wide.tobytes())
     return out
 
 
@@ -147,13 +152,13 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises ValueError where a block's checksum doesn't fit."""
     if not blocks:
         return []
-    heads = np.array([np.frombuffer(x, "<u4", 4) for x in blocks], _I)
+    heads = np.array([np.frombuffer(x, "<u4", 5) for x in blocks], _I)
     lanes, steps = len(blocks), int(heads[:, 0].max())
     # blocks of a sequence are all of one length but the last, which was padded to it
     wide = int(heads[:, 2].max()) + 4, int(heads[:, 3].max()) + 4
     words, raw = np.zeros((lanes, wide[0]), np.uint16), np.zeros((lanes, wide[1]), np.uint16)
     for k, x in enumerate(blocks):
-        body = np.frombuffer(x, "<u2", offset=16)
+        body = np.frombuffer(x, "<u2", int(heads[k, 2] + heads[k, 3]), 20)
         words[k, : heads[k, 2]], raw[k, : heads[k, 3]] = body[: heads[k, 2]], body[heads[k, 2] :]
     words, raw = words.ravel(), raw.ravel()
     first, raw_first = np.arange(lanes, dtype=_I) * wide[0], np.arange(lanes, dtype=_I) * wide[1]
@@ -204,6 +209,8 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
         model.learn(now, hit, length)
     out = np.ascontiguousarray(out.T)
     ids = [out[k, : heads[k, 0]] for k in range(lanes)]
+    for k in np.flatnonzero(heads[:, 4]):
+        ids[k][ids[k] == WIDE] = np.frombuffer(blocks[k], "<u4", int(heads[k, 4]), 20 + 2 * int(heads[k, 2] + heads[k, 3]))
     for x, h in zip(ids, heads, strict=True):
         if zlib.crc32(x.astype("<u4").tobytes()) != h[1]:
             raise ValueError("a block's checksum doesn't fit its ids")

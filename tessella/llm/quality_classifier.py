@@ -135,11 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000, max_voca
     """Fits both heads (good: label ``quality``; toxic: label ``toxic``) on a bounded sample.
 
     ``max_train_rows`` bounds the labelled rows that are used, however many there are; the words
-    kept are those in at least ``min_docs`` of them, the commonest first up to ``max_vocabulary``.
+    kept are those in at least ``min_docs`` of them (a hundredth of them, if that is less, and two at least), the commonest first up to
+    ``max_vocabulary``. Words are counted by Spark; what comes to the driver is the kept words and, of each row, which it has.
+    An id that is labelled several times has its largest labels, one with several texts its smallest text.
     """
     sample = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("double").alias("good"), F.col("toxic").cast("double").alias("toxic")).dropna()
-    sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_train_rows)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    sample = sample.groupBy("id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_train_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    joined = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("good").alias("good"), F.first("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,21 +155,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000, max_voca
                     pa.ListArray.from_arrays(pa.array(np.arange(len(shape) + 1) * SHAPE, pa.int32()), pa.array(shape.ravel())),
                 ], ["good", "toxic", "words", "shape"])
 
-    got = joined.mapInArrow(run, "good double, toxic double, words array<long>, shape array<double>").toArrow()
+    found = cut(joined.mapInArrow(run, "good double, toxic double, words array<long>, shape array<double>"))
+    least = max(2, min(min_docs, found.count() // 100))
+    counts = found.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    vocabulary = np.sort(np.asarray(counts.orderBy(F.desc("n"), "word").limit(max_vocabulary).select("word").toArrow()["word"]).astype(np.int64).view(w.U64))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            words = np.asarray(lists.flatten()).view(w.U64)
+            at = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
+            has = vocabulary[at] == words if len(vocabulary) else np.zeros(len(words), bool)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()).astype(np.int64))
+            ends = np.concatenate(([0], np.cumsum(w.per_doc(owner[has], batch.num_rows))))
+            yield batch.set_column(batch.schema.get_field_index("words"), "words", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[has].astype(np.int32))))
+
+    got = found.mapInArrow(known, "good double, toxic double, words array<int>, shape array<double>").toArrow()
     sizes = np.asarray(got["words"].combine_chunks().value_lengths()).astype(np.int64) if got.num_rows else np.empty(0, np.int64)
-    words = np.asarray(got["words"].combine_chunks().flatten()).view(w.U64) if got.num_rows else np.empty(0, w.U64)
+    cols = np.asarray(got["words"].combine_chunks().flatten()).astype(np.int64) if got.num_rows else np.empty(0, np.int64)
     shape = np.asarray(got["shape"].combine_chunks().flatten()).reshape(-1, SHAPE) if got.num_rows else np.empty((0, SHAPE))
-    seen, place, counts = np.unique(words, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(counts >= min_docs)
-    kept = np.sort(kept[np.argsort(-counts[kept], kind="stable")[:max_vocabulary]])
-    number = np.full(len(seen), -1)
-    number[kept] = np.arange(len(kept))
-    cols, rows = number[place], np.repeat(np.arange(len(sizes)), sizes)
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
+    rows = np.repeat(np.arange(len(sizes)), sizes)
     targets = [np.asarray(got[c]).astype(float) if got.num_rows else np.empty(0) for c in ("good", "toxic")]
-    heads = [_fit_head(rows, cols, len(kept), shape, y, d) for y, d in zip(targets, DAMPING, strict=True)]
+    heads = [_fit_head(rows, cols, len(vocabulary), shape, y, d) for y, d in zip(targets, DAMPING, strict=True)]
     rates = tuple(float(min(0.99, max(0.01, y.mean()))) if len(y) and y.min() < y.max() else 0.5 for y in targets)
-    return Model(seen[kept], np.stack([h[0] for h in heads]), np.stack([h[1] for h in heads]), rates)
+    return Model(vocabulary, np.stack([h[0] for h in heads]), np.stack([h[1] for h in heads]), rates)
 
 
 def _scores(docs: DataFrame, model: Model, keep: Sequence[Column], text_col: str, with_text: bool = False) -> DataFrame:

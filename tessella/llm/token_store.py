@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import id_coder
 from . import words as w
-from .common import small_batches, tasks
+from .common import cut, small_batches, tasks
 from .token_ids import SLICE, encoder
 
 #: Ids of a shard row, at most (one document may have more); so many blocks are coded in step.
 SHARD_IDS = 4 << 20
+#: Shard rows up to which the table of their places is broadcast (24 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", file: str = "word_bpe_49k.json", end: int = 2) -> None:
@@ -68,10 +71,13 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """(id, start, n_tokens, ids_crc32 and, if asked for, ids) of every document; start counts all ids before it."""
     store = spark.read.parquet(path)
-    sums = store.groupBy("shard", "part").agg(F.sum("n_ids").alias("n")).orderBy("shard", "part").collect()  # a row a shard
-    before, total = {}, 0
-    for r in sums:
-        before[r["shard"], r["part"]], total = total, total + r["n"]
+    sums = store.groupBy("shard", "part").agg(F.sum("n_ids").alias("n"))
+    shards = sums.groupBy("shard").agg(F.sum("n").alias("all"))
+    shards = shards.select("shard", (F.sum("all").over(Window.orderBy("shard")) - F.col("all")).alias("ahead"))  # as many rows as the writer had partitions
+    within = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
+    before = cut(sums.withColumn("within", within).join(shards, "shard").select("shard", "part", (F.col("ahead") + F.col("within")).alias("before")))
+    few = before.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    store = store.join(F.broadcast(before) if few else before, ["shard", "part"])
     names = [id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +89,11 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool
                 ends = np.cumsum(n)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                start = before[row["shard"][0].as_py(), row["part"][0].as_py()] + ends - n
+                start = row["before"][0].as_py() + ends - n
                 cols = [row["docs"][0].values, pa.array(start), pa.array(n), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = store.schema["docs"].dataType.elementType.simpleString()
-    return store.mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return small_batches(store).mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
