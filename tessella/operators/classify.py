@@ -172,14 +172,14 @@ def in_order(values: Column, order: Sequence[str] = ERAS) -> Column:
     return F.array_intersect(F.array(*map(F.lit, order)), values)
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, aliases: DataFrame, alias: str, name: str, words: int = 8) -> DataFrame:
+def spans(docs: DataFrame, id_col: str, text_col: str, aliases: DataFrame, alias: str, name: str) -> DataFrame:
     """(id, name, start, n_words): dictionary names in folded texts, by joining word n-grams on whole aliases.
 
     Only n-grams as long as some alias are made. Texts are cut into words once.
     """
     keys = aliases.select(fold(F.col(alias)).alias("gram"), F.col(name).alias("name")).where("gram != ''").distinct()
-    keys = keys.withColumn("n_words", F.size(F.split("gram", " "))).where(F.col("n_words") <= words)
-    sizes = sorted(r[0] for r in keys.select("n_words").distinct().collect())  # at most ``words`` rows
+    keys = keys.withColumn("n_words", F.size(F.split("gram", " ")))
+    sizes = sorted(r[0] for r in keys.select("n_words").distinct().collect())  # one number a length
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"`{id_col}` long, name string, start int, n_words int")
     heads = keys.select(F.split_part("gram", F.lit(" "), F.lit(1)).alias("first")).distinct()
