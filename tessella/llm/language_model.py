@@ -39,14 +39,15 @@ from pyspark.sql import functions as F
 from . import words as w
 from .common import small_batches
 
-END, PAD, ONE, TWO = w.mix(np.array([0xE0D, 0xBAD, 0x57A27, 0x57A28], w.U64))  # ONE and TWO stand before a text
+#: Tokens are told apart by 48 bits of their hash; as the second or third of an n-gram by 32 of these.
+_TOP = w.U64(0xFFFFFFFFFFFF0000)
+END, PAD, ONE, TWO = w.mix(np.array([0xE0D, 0xBAD, 0x57A27, 0x57A28], w.U64)) & _TOP  # ONE and TWO stand before a text
 #: Bytes of text in a chunk, and of text that a bucket counts for (with about twice as many bytes of requests).
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: A history that begins more than this share of all n-grams may be spread over buckets.
 HOT_SHARE = 1e-4
 #: Tokens that one lane of the traversal reads.
 LANE = 256
-_LOW = w.U64((1 << 32) - 1)
 _HALF = w.U64(32)
 #: Over buckets: tokens, distinct n-grams, and n-grams seen once and twice, for each length; in training.
 SUMS = [f"{what}{k}" for k in (1, 2, 3) for what in ("n", "distinct", "once", "twice")]
@@ -63,7 +64,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     docs = len(starts) - 1
     begin = np.concatenate(([0], np.cumsum(w.per_doc(runs.doc, docs) + 4)))
     out = np.empty(int(begin[-1]), w.U64)
-    out[np.arange(len(runs.doc)) + 4 * runs.doc + 2] = runs.hash
+    out[np.arange(len(runs.doc)) + 4 * runs.doc + 2] = runs.hash & _TOP
     out[begin[:-1]], out[begin[:-1] + 1], out[begin[1:] - 2], out[begin[1:] - 1] = TWO, ONE, END, PAD
     return out, begin
 
@@ -116,7 +117,7 @@ class Chunk:
         words = tokens[first_at]
         at = _trigrams(tokens, begin)
         one, two, three = number[at], number[at + 1], number[at + 2]
-        self.step = w.U64(((1 << 64) - 1) // buckets)
+        self.step = _step(buckets)
         #: Roots and nodes that are one spread history, its first part first.
         self.groups: list[list[np.ndarray]] = [[], []]
         root, roots = one, words
@@ -149,10 +150,10 @@ class Chunk:
         node, found = _numbered((root[: len(second)] * vocabulary + second).astype(w.U64), bits)
         if len(node_parts):
             self.groups[1] = np.split(node[len(two) :], np.cumsum(node_parts)[:-1])
-        self.node_root, self.second = root[found], (w.mix(words[second[found]] ^ w.MIX1) & _LOW)
+        self.node_root, self.second = root[found], words[second[found]] >> _HALF
         bits = max(1, (vocabulary * max(1, len(found))).bit_length())
         self.leaf, found = _numbered((node[: len(three)] * vocabulary + three).astype(w.U64), bits)
-        self.leaf_node, self.third = node[found], (w.mix(words[three[found]] ^ w.MIX2) & _LOW)
+        self.leaf_node, self.third = node[found], words[three[found]] >> _HALF
         # a word that no trigram begins with is no root
         used = np.zeros(len(roots), bool)
         used[root] = True
@@ -200,6 +201,11 @@ def _parts(home: np.ndarray, parts: np.ndarray, step: w.U64) -> np.ndarray:
     return np.repeat(home, parts) + place.astype(w.U64) * step
 
 
+def _step(buckets: int) -> w.U64:
+    """How far the buckets' ranges of hashes are apart."""
+    return w.U64(((1 << 64) - 1) // buckets) & _TOP
+
+
 def _bucket(root: np.ndarray, step: w.U64, buckets: int) -> np.ndarray:
     return np.minimum(root // step, w.U64(buckets - 1)).astype(np.int64)
 
@@ -253,7 +259,7 @@ class Count:
 
     def sums(self, starts: np.ndarray) -> list[int]:
         """``SUMS`` of this bucket, without what stands for places before a text or after it; ``starts``: roots that stand for the former."""
-        pad = w.mix(PAD ^ w.MIX2) & _LOW
+        pad = PAD >> _HALF
         words = ~np.isin(self.roots, starts[0])
         nodes = ~np.isin(self.roots, starts[1])[self.node_root]
         out = []
@@ -407,8 +413,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     buckets = 1 + size // bucket_bytes
     hot = [{h: min(buckets, 1 + int(share * buckets)) for h, share in found.items() if share * buckets >= 2} for found in _hot_histories(texts)]
-    step = ((1 << 64) - 1) // buckets
-    starts = [_parts(x, np.array([hot[0].get(int(h), 1) for h in x]), w.U64(step)) for x in (np.array([ONE, TWO], w.U64), np.array([TWO], w.U64))]
+    step = _step(buckets)
+    starts = [_parts(x, np.array([hot[0].get(int(h), 1) for h in x]), step) for x in (np.array([ONE, TWO], w.U64), np.array([TWO], w.U64))]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = np.array([TaskContext.get().partitionId()], w.U64)
