@@ -503,3 +503,116 @@ def test_op2_removes_planted_boilerplate(spark, part_bytes):
     removed = [menu not in got[i] and (marked or note not in got[i]) for i, (_, note, menu, marked) in want.items()]
     assert np.mean(removed) >= 0.9
     assert {got[200 + i] for i in range(6)} == {" ".join(want[2][0])}  # copies of an article stay whole
+
+
+def test_op6_pieces_are_the_texts_ids(spark, sf_texts):
+    tok, seen = encoder("word_bpe_49k.json").tokenizer, {}
+    for r in queries.op6_packing(spark, SF).collect():
+        seen.setdefault(r.doc_id, {})[r.piece] = (r.start, r.length, r.ids_crc32)
+    for i, t in sf_texts.items():
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert seen[i] == {k: (a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+
+
+@pytest.mark.parametrize("by", ["norm", "dot"])
+def test_op6_every_capacity_binds(by):
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 300, 400)
+    for tokens, docs, cost in ((1000, 1000, 10**9), (1000, 3, 10**9), (1000, 1000, 120_000)):
+        where, offset = packing.best_fit(lengths, tokens, docs, cost, by=by)
+        used = [np.bincount(where, x) for x in (lengths, np.ones(400), lengths.astype(float) ** 2)]
+        assert all((u <= cap).all() for u, cap in zip(used, (tokens, docs, cost), strict=True))
+        for b in range(where.max() + 1):
+            mine = np.argsort(offset[where == b])
+            assert offset[where == b][mine].tolist() == [0, *np.cumsum(lengths[where == b][mine])[:-1]]
+        assert where.max() + 1 <= 1.25 * max(u.sum() / cap for u, cap in zip(used, (tokens, docs, cost), strict=True)) + 1
+    # of two open bins the piece goes where the weighted residual after it is smallest, or its product with the residual largest
+    assert packing.best_fit(np.array([7, 6, 3]), 10, 10, 10**6, weights=(1, 0, 0))[0].tolist() == [0, 1, 0]
+    assert packing.best_fit(np.array([7, 6, 3]), 10, 10, 10**6, weights=(1, 0, 0), by="dot")[0].tolist() == [0, 1, 1]
+
+
+def test_op6_sequences_do_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    place = lambda df: Counter((r.row.doc_id, r.piece, r.length, r.offset, tuple(r.ids)) for r in packing.pack(df, with_ids=True).collect())
+    got = place(docs.coalesce(1))
+    assert got == place(docs.coalesce(1)) and got.total() == packing.pack(docs).count()
+
+
+def test_op8_posteriors_agree_with_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"h{h}", f"p{p}", float(np.clip(rng.normal(0.2 + 0.15 * h + 0.05 * p, 0.2), 0, 1))) for h in range(5) for p in range(3) for _ in range(int(rng.integers(1, 60)))]
+    scored = spark.createDataFrame(rows, "host string, path string, own_good double")
+    groups = {}
+    for h, p, x in rows:
+        groups.setdefault((h, p), []).append(x)
+    hosts = {h: [x for (g, _), v in groups.items() if g == h for x in v] for h in {h for h, _ in groups}}
+    centre = (sum(map(sum, hosts.values())) + 1) / (len(rows) + 2)
+
+    def strength(parts):  # (values, centre)
+        n = sum(len(v) for v, _ in parts)
+        spread, noise = sum(len(v) * (np.mean(v) - c) ** 2 for v, c in parts), sum(len(v) * c * (1 - c) for v, c in parts)
+        within = noise / n
+        return min(max(within / max((spread - len(parts) * within) / n, within / 1e4) - 1, 1.0), 1e4)
+
+    s = strength([(v, centre) for v in hosts.values()])
+    p_host = {h: (centre * s + sum(v)) / (s + len(v)) for h, v in hosts.items()}
+    s = strength([(v, p_host[h]) for (h, _), v in groups.items()])
+    p_path = {k: (p_host[k[0]] * s + sum(v)) / (s + len(v)) for k, v in groups.items()}
+    got = quality_classifier.site_posteriors(scored).collect()
+    assert {(r.host, r.path): r.p_path for r in got} == pytest.approx(p_path) and {r.host: r.p_host for r in got} == pytest.approx(p_host)
+
+
+def test_op8_final_odds_and_repeated_rows(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (4, 0, 0), (5, 0, 1), (6, 1, 0), (7, 1, 1), (8, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    for r in quality_classifier.classify(docs, labels, keep=["doc_id"]).collect():
+        logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+        assert r.accepted == (r.p_good >= 0.5 and r.own_toxic < 0.35) and 0 <= r.own_good <= 1 and 0 < r.p_path < 1
+        base = logit(r.p_good) - logit(r.own_good) - logit(r.p_path)
+        assert abs(base + math.log(4 / 3)) < 1e-6  # four of seven ids are good
+    assert quality_classifier.classify(docs.union(docs), labels).count() == 2 * docs.count()
+
+
+def test_op4_agrees_with_sql_where_thousands_are_quoted(spark, tmp_path):
+    import duckdb
+
+    rng, rows = np.random.default_rng(11), []
+    for conv in range(12):
+        said = []
+        for turn in range(300 if conv else 900):
+            own = [f"Sentence {rng.integers(10**9)} of talk number {conv}, quite long." for _ in range(rng.integers(1, 4))]
+            quoted = []
+            for _ in range(int(rng.integers(0, 3)) if said else 0):
+                level, line = int(rng.integers(1, 4)), said[int(rng.integers(len(said)))]
+                quoted.append("> " * level + line)
+            said += own
+            rows.append((conv, turn, "user", "\n".join([*quoted, *own])))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.toPandas().to_parquet(tmp_path / "c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet'")
+    cursor = con.execute(quotation.SQL)
+    names = [d[0] for d in cursor.description]
+    want = Counter(cursor.fetchall())
+    got = Counter(tuple(r[c] for c in names) for r in quotation.link(table).collect())
+    assert got == want and sum(r[names.index("parent_turn")] is not None for r in want) > 1500
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties and repeated rows, an empty table, clashing names."""
+    sf = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(900 + i, t, None if i % 2 else "en", None if i % 3 else "hot", None if i % 2 else 3) for i, t in enumerate(TEXTS)]
+    odd += [odd[4], (None, "one two three four five six", None, None, None), (None, None, None, None, None)]
+    schema = sf.schema.simpleString()[7:-1].replace(":", " ")
+    rows = spark.createDataFrame(odd, schema).withColumns({c: F.lit(1) for c in ("row", "id", "key", "host", "matches", "clean", "accepted", "spans")})
+    for docs in (rows, rows.limit(0)):
+        many = docs.count()
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{k}-{many}")
+            stage(spark, docs, SF).write.parquet(path)
+            after = spark.read.parquet(path)
+            if k < 4:
+                assert after.columns == docs.columns and after.count() <= many, name
+            # repeated rows of a document become one, and no row without words or id is linked with another; nothing is masked away
+            assert after.count() == {1: many - 2 if many else 0, 2: many, 3: many, 4: after.count()}.get(k, after.count()), name
+            if k == 4 and many:
+                assert after.agg(F.sum("length")).first()[0] > 30_000 and after.where("length > 2048").count() == 0
