@@ -3,6 +3,12 @@ personal data is masked, what is left is packed.
 
 Every stage takes all rows that the one before it kept, written as Parquet and read again, so
 a lost executor costs one stage's tasks at most. All but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty in every stage, and stays null until it is packed, as its end token alone; a document
+without words is judged by its shape and site, is no copy of another, holds no benchmark item and nothing to mask. Very long
+texts are taken whole, and cut only by the packing, into pieces. Rows that share an id are one document to the Jaccard join, which
+keeps the one with the smallest text, and rows each to the others; of equal documents that with the smallest id stays; rows without an
+id all stay. Other columns pass through, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
