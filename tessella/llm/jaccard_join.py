@@ -317,6 +317,7 @@ def _unresolved(shared: DataFrame, classes: DataFrame, roots: DataFrame, sets: D
                 ok = (apart <= (n[wide] + n[i]) * (q - p) // (q + p)) & (root[wide] != root[i]) & ((long[wide] > size) | (ids[wide] > ids[i]))
                 a_out.append(np.minimum(ids[wide[ok]], ids[i]))
                 b_out.append(np.maximum(ids[wide[ok]], ids[i]))
+        w.trim()
         return pa.table({"a": pa.array(np.concatenate(a_out), pa.int64()), "b": pa.array(np.concatenate(b_out), pa.int64())})
 
     return rows.groupBy("key", "t", "u").applyInArrow(run, "a long, b long").distinct()

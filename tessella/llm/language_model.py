@@ -423,12 +423,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             p = int(_pair(task, np.array([k], w.U64)).view(np.int64)[0])
             rows = [(-1 - (p & 0x3FFFFFFF), chunk.outline()), *chunk.requests(buckets)]
             ids = pa.ListArray.from_arrays(pa.array([0] + [len(table)] * len(rows), pa.int32()), table["id"].combine_chunks())
+            del chunk
+            w.trim()
             yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), ids], ["p", "bucket", "blob", "ids"])
 
     def count(key, table):
         if table["bucket"][0].as_py() < 0:  # outlines
             return table
         blobs = list(Count([x.as_py() for x in table["blob"]]).answers())
+        w.trim()
         return table.set_column(2, "blob", pa.array(blobs, pa.binary()))
 
     def add_up(key, table):
@@ -452,6 +455,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
         doc = np.repeat(np.arange(many), sizes - 1)
         add = lambda x: np.bincount(doc, x, many)
         at, weight = machine.token, machine.read()
+        del told
+        w.trim()
         return pa.table([
             table["ids"].combine_chunks()[int(order[0])].values, pa.array(train == 0), pa.array(sizes - 1), pa.array(add(machine.known[at]).astype(np.int64)),
             pa.array(np.full(many, machine.known_tokens, np.int64)), pa.array(add(machine.base[at])), pa.array(add(weight)),

@@ -113,6 +113,7 @@ def pack(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "te
         table = table.sort_by([(c, "ascending") for c in ("length", "ids_crc32", "start", "slot")])  # the same whatever order rows come in
         where, offset = best_fit(np.asarray(table["length"]), tokens, docs_cap, cost_cap, weights, by)
         first = table["deal"][0].as_py() << 32
+        w.trim()
         return table.drop_columns(["slot", "deal"]).append_column("sequence_id", pa.array(first + where)).append_column("offset", pa.array(offset))
 
     return pieces.groupBy("deal").applyInArrow(run, schema)

@@ -8,6 +8,7 @@ hence they are the same in every task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=U64) * BASE)
 
 
+_give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives memory that is free in this worker back to the system, as workers live from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _give_back:
+        _give_back(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with at most ``most`` bytes of text each, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
@@ -56,6 +67,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK) -> Iterator[pa
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
