@@ -41,3 +41,28 @@ def to_utc(local: Column, zone: str = ZONE) -> Column:
     first = F.to_utc_timestamp(local.cast("timestamp"), zone)
     later = first + F.expr("interval 1 hour")
     return F.when(F.from_utc_timestamp(later, zone) == local.cast("timestamp"), later).otherwise(first)
+
+
+def today(instant: Column, zone: str = ZONE) -> Column:
+    """The civil day of an instant (a UTC timestamp)."""
+    return F.to_date(F.from_utc_timestamp(instant, zone))
+
+
+def time_of_day(instant: Column, zone: str = ZONE) -> Column:
+    """The civil time of an instant as HH:mm."""
+    return F.date_format(F.from_utc_timestamp(instant, zone), "HH:mm")
+
+
+def iso(date: Column, time: Column, zone: str = ZONE) -> Column:
+    """A civil day and time with its offset from UTC, or the bare day where the time is unknown."""
+    local = F.concat_ws(" ", F.date_format(date, "yyyy-MM-dd"), time).cast("timestamp")
+    minutes = F.floor((F.unix_timestamp(local) - F.unix_timestamp(to_utc(local, zone))) / 60)
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    part = lambda n: F.lpad(n.cast("string"), 2, "0")
+    offset = F.concat(sign, part(F.floor(F.abs(minutes) / 60)), F.lit(":"), part(F.abs(minutes) % 60))
+    return F.when(time.isNull(), F.date_format(date, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset))
+
+
+def days_until(date: Column, now: Column) -> Column:
+    """Days from one day to another, none if it is past."""
+    return F.when(date >= now, F.datediff(date, now))

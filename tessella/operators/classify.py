@@ -207,3 +207,13 @@ def longest(found: DataFrame, id_col: str) -> DataFrame:
     kind = "array<struct<k:int,start:int,name:string,n_words:int>>"
     kept = F.aggregate(order, F.array().cast(kind), lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
     return found.groupBy(id_col).agg(kept.alias("kept")).select(id_col, F.explode("kept").alias("s")).select(id_col, "s.name", "s.start", "s.n_words")
+
+
+def place_of(rows: DataFrame, id_col: str, text_col: str, places: DataFrame, name: str, place: str) -> DataFrame:
+    """(id, place, verdict): the place that a text names - the longest known name in it; ambiguous if two are as long, unknown if none is."""
+    found = spans(rows, id_col, text_col, places.select(F.col(name).alias("_alias"), F.col(place).cast("string").alias("_place")), "_alias", "_place")
+    longest_n = F.max("n_words")
+    best = found.join(found.groupBy(id_col).agg(longest_n.alias("n_words")), [id_col, "n_words"]).groupBy(id_col).agg(F.countDistinct("name").alias("n"), F.min("name").alias("place"))
+    out = rows.select(id_col).distinct().join(best, id_col, "left")
+    verdict = F.when(F.col("n").isNull(), "unknown").when(F.col("n") > 1, "ambiguous").otherwise("known")
+    return out.select(id_col, F.when(F.col("n") == 1, F.col("place")).alias("place"), verdict.alias("verdict"))

@@ -41,3 +41,11 @@ def changes(events: DataFrame, key: str, order: list[str], state: str) -> DataFr
     """Events whose state is not the key's state before, with that."""
     before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
     return events.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col(state)))
+
+
+def host_circuit(events: DataFrame, host: str, ts: str, url: str, bad: Column, least: int = 3, seconds: int = 3600) -> DataFrame:
+    """Failures with which a host's circuit opens: so many different addresses of it failed within the time that ends with them."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    recent = Window.partitionBy(host).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    failed = events.where(bad).withColumn("_at", at)
+    return failed.withColumn("failing", F.size(F.collect_set(url).over(recent))).where(F.col("failing") >= least).drop("_at")

@@ -83,3 +83,22 @@ def monotone(published: Column, incoming: Column) -> Column:
 def missing(published: DataFrame, key: str, source: str, healthy: DataFrame, seen: DataFrame) -> DataFrame:
     """Published rows of sources that ran well which those sources no longer show."""
     return published.join(healthy.select(source).distinct(), source, "left_semi").join(seen.select(key).distinct(), key, "left_anti")
+
+
+def assigned(observed: DataFrame, owned: DataFrame, key: str, event: str, date: str) -> DataFrame:
+    """Sessions of observations that belong to several events: each goes to the one event that has its date, else to none (null)."""
+    owners = owned.select(key, event, date).distinct().groupBy(key, date).agg(F.min(event).alias(event), F.count(F.lit(1)).alias("_n"))
+    joined = observed.join(owners, [key, date], "left")
+    return joined.withColumn(event, F.when(F.col("_n") == 1, F.col(event))).drop("_n")
+
+
+def distinct_evidence(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, evidence): the distinct statements about a key, as JSON in order."""
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(F.to_json(F.struct(*columns)))).alias("evidence"))
+
+
+def covers(intervals: DataFrame, key: str, first: str, last: str, wanted: DataFrame, date: str) -> DataFrame:
+    """(key, date, covered): whether some interval of its key has a date."""
+    return wanted.alias("w").join(intervals.select(F.col(key).alias("_k"), F.col(first).alias("_a"), F.col(last).alias("_b")), (F.col("_k") == F.col(key)) & F.col(date).between(F.col("_a"), F.col("_b")), "left").groupBy(key, date).agg(F.count("_k").alias("n")).select(
+        key, date, (F.col("n") > 0).alias("covered")
+    )
