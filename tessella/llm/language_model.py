@@ -43,7 +43,7 @@ from .common import small_batches
 _TOP = w.U64(0xFFFFFFFFFFFF0000)
 END, PAD, ONE, TWO = w.mix(np.array([0xE0D, 0xBAD, 0x57A27, 0x57A28], w.U64)) & _TOP  # ONE and TWO stand before a text
 #: Bytes of text in a chunk, and of text that a bucket counts for (with about twice as many bytes of requests).
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: A history that begins more than this share of all n-grams may be spread over buckets.
 HOT_SHARE = 1e-4
 #: Tokens that one lane of the traversal reads.
