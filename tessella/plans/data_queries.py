@@ -211,8 +211,10 @@ CASE WHEN x IS NOT NULL AND i IS NOT NULL THEN CASE WHEN n_chars >= 2000 THEN 'm
 FROM (SELECT doc_id, n_chars, {_rules_sql(classify.EXCLUSIONS)} AS x, {_rules_sql(classify.INCLUSIONS)} AS i FROM (SELECT doc_id, n_chars, {FOLD} AS f FROM documents))""")
 def classify_rules(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    verdict = classify.eligibility(classify.first_rule(F.col("text"), classify.EXCLUSIONS), classify.first_rule(F.col("text"), classify.INCLUSIONS), F.col("n_chars") >= 2000)
-    return d.select("doc_id", verdict.alias("v")).select("doc_id", "v.value", "v.rule_id")
+    first = lambda rules: F.try_element_at(classify.hits(F.col("words"), rules), F.lit(1))
+    said = d.select("doc_id", (F.col("n_chars") >= 2000).alias("long"), classify.words_of(F.col("text")).alias("words"))
+    found = said.select("doc_id", "long", first(classify.EXCLUSIONS).alias("x"), first(classify.INCLUSIONS).alias("i"))
+    return found.select("doc_id", classify.eligibility(F.col("x"), F.col("i"), F.col("long")).alias("v")).select("doc_id", "v.value", "v.rule_id")
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN f = '' THEN 'unknown' WHEN free THEN 'free' WHEN paid THEN 'paid' ELSE 'unknown' END AS value, CASE WHEN f = '' THEN 'access-missing' WHEN free THEN 'access-free' WHEN paid THEN 'access-paid' ELSE 'access-unclear' END AS rule_id
