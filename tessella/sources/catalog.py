@@ -41,14 +41,14 @@ def issues(entities: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All five tables; raises ValueError with what is wrong (the first hundred findings), if anything is."""
+    """All five tables; raises ValueError if anything is wrong, with the number of findings and the first hundred."""
     tables = {name: read(spark, root, name) for name in SCHEMAS}
     found = None
     for df in tables.values():
         found = issues(df) if found is None else found.union(issues(df))
     wrong = found.limit(100).collect()
     if wrong:
-        raise ValueError("; ".join(f"{r['path']}: {r['code']} {r['message'] or ''}".strip() for r in wrong))
+        raise ValueError(f"{found.count()} findings: " + "; ".join(f"{r['path']}: {r['code']} {r['message'] or ''}".strip() for r in wrong))
     return {name: df.drop("_file", "_unknown", "_corrupt") for name, df in tables.items()}
 
 
