@@ -27,8 +27,8 @@ def _text(df: DataFrame, *dates: str) -> DataFrame:
 def _places(spark: SparkSession, sf: str) -> DataFrame:
     """(c_custkey, venue, root): the customer's nation and region."""
     c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    nations = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", F.col("n_name").alias("venue"), F.col("r_name").alias("root"))  # 25 rows
-    return c.join(F.broadcast(nations), c.c_nationkey == nations.n_nationkey).select("c_custkey", "venue", "root")
+    nations = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.col("n_name").alias("venue"), F.col("r_name").alias("root"))  # Spark broadcasts it by its size
+    return c.join(nations, c.c_nationkey == nations.n_nationkey).select("c_custkey", "venue", "root")
 
 
 def _upcoming(spark: SparkSession, sf: str) -> DataFrame:

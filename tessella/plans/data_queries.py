@@ -108,12 +108,19 @@ def corroboration_counts(spark: SparkSession, sf: str) -> DataFrame:
     return accounting.corroboration(d, "key", "source")
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_nationkey = b.n_nationkey THEN 'same' WHEN a.n_regionkey = b.n_regionkey THEN 'sibling' ELSE 'unrelated' END AS relation FROM nation a JOIN nation b ON a.n_name <= b.n_name")
+@query("""WITH p AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN n_regionkey + 100 WHEN 1 THEN NULL ELSE n_nationkey END AS place, CASE WHEN s_suppkey % 4 > 1 THEN n_regionkey + 100 END AS above FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+o AS (SELECT o_orderkey, n_nationkey AS place, n_regionkey + 100 AS above FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT relation, count(*) AS n FROM (SELECT CASE WHEN o.place IS NULL OR p.place IS NULL THEN 'absent' WHEN o.place = p.place THEN 'same' WHEN o.above = p.place THEN 'refinement' WHEN p.above = o.place THEN 'coarser' WHEN o.above = p.above THEN 'sibling' ELSE 'unrelated' END AS relation
+FROM lineitem JOIN o ON l_orderkey = o_orderkey JOIN p ON l_suppkey = s_suppkey) GROUP BY relation""")
 def venue_relation(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select("n_name", F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))  # 25 rows
-    a, b = n.select(F.col("n_name").alias("a"), F.col("id").alias("ai"), F.col("parent").alias("ap")), n.select(F.col("n_name").alias("b"), F.col("id").alias("bi"), F.col("parent").alias("bp"))
-    pairs = a.join(F.broadcast(b), F.col("a") <= F.col("b"))
-    return pairs.select("a", "b", linkage.venue_relation(F.col("ai"), F.col("ap"), F.col("bi"), F.col("bp")).alias("relation"))
+    n = table(spark, sf, "nation").select("n_nationkey", (F.col("n_regionkey") + 100).alias("region"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")).join(n, "n_nationkey")
+    k = F.col("l_suppkey") % 4
+    s = s.select("l_suppkey", F.when(k == 0, F.col("region")).when(k > 1, F.col("n_nationkey")).alias("b"), F.when(k > 1, F.col("region")).alias("bp"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(n, "n_nationkey")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(c, "o_custkey").select("l_orderkey", F.col("n_nationkey").alias("a"), F.col("region").alias("ap"))
+    pairs = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").join(s, "l_suppkey")
+    return pairs.groupBy(linkage.venue_relation(F.col("a"), F.col("ap"), F.col("b"), F.col("bp")).alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -341,7 +341,7 @@ def citation_upsert(spark: SparkSession, sf: str) -> DataFrame:
 y AS (SELECT x.*, CASE WHEN incoming < 100 THEN n_regionkey + 100 END AS iparent FROM x LEFT JOIN nation ON n_nationkey = incoming)
 SELECT c_custkey, CASE WHEN incoming IS NULL THEN 'absent' WHEN incoming = own THEN 'same' WHEN iparent = own THEN 'refinement' WHEN parent = incoming THEN 'coarser' WHEN iparent = parent THEN 'sibling' ELSE 'unrelated' END AS relation, CASE WHEN incoming IS NULL OR (incoming <> own AND parent = incoming AND iparent IS DISTINCT FROM own) THEN own ELSE incoming END AS place FROM y""")
 def venue_precision(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.broadcast(table(spark, sf, "nation").select("n_nationkey", (F.col("n_regionkey") + 100).alias("parent")))  # 25 rows
+    n = table(spark, sf, "nation").select("n_nationkey", (F.col("n_regionkey") + 100).alias("parent"))
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(n, "n_nationkey").withColumnRenamed("n_nationkey", "own")
     k = F.col("c_custkey")
     incoming = F.when(k % 4 == 0, F.col("parent")).when(k % 4 == 1, F.col("own")).when(k % 4 == 3, F.floor(k / 4) % 25).cast("int")
