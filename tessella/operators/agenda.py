@@ -5,7 +5,7 @@ Nothing sorts all rows in one place: cuts and breaks work on counts by day, of w
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,3 +137,51 @@ def slugs(rows: DataFrame, id_col: str, slug: str, aliases: str) -> DataFrame:
     own = rows.select(id_col, F.col(slug).alias("slug"), F.lit(False).alias("redirect"))
     former = rows.select(id_col, F.explode(aliases).alias("slug")).join(own.select("slug"), "slug", "left_anti")
     return own.unionByName(former.select(id_col, "slug", F.lit(True).alias("redirect")))
+
+
+def labelled(column: Column, labels: Mapping[str, str], other: str | None = None) -> Column:
+    """The label of a value; a value without one is itself, or ``other``."""
+    names = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.coalesce(F.element_at(names, column), column if other is None else F.lit(other))
+
+
+def place_key(root: Column, venue: Column) -> Column:
+    """One key for a place and its rooms: the root's slug, with the room's behind it if it is another."""
+    return F.concat_ws("/", text.slug(root), F.when(text.fold(root) != text.fold(venue), text.slug(venue)))
+
+
+def in_scope(date: Column, area: Column, today: str, last: str, areas: Sequence[str]) -> Column:
+    """Whether a session is to be harvested: inside the window and in one of the areas, if that is known."""
+    return date.between(F.lit(today).cast("date"), F.lit(last).cast("date")) & F.coalesce(area.isin(*areas), F.lit(True))
+
+
+def event_page(events: DataFrame, sessions: DataFrame, key: str, date: str, today: str) -> DataFrame:
+    """Events with their sessions' first and last day, how many are past and to come, and whether the whole event is past."""
+    day = F.lit(today).cast("date")
+    told = sessions.groupBy(key).agg(F.min(date).alias("first"), F.max(date).alias("last"), F.count_if(F.col(date) < day).alias("past"), F.count_if(F.col(date) >= day).alias("to_come"), F.min(F.when(F.col(date) >= day, F.col(date))).alias("next"))
+    zero = {"past": 0, "to_come": 0}
+    return events.join(told, key, "left").fillna(zero).withColumn("is_past", (F.col("past") > 0) & (F.col("to_come") == 0))
+
+
+def index_order(places: DataFrame, name: str, upcoming: str) -> DataFrame:
+    """Places with something on before those without, each by folded name; ``place`` counts them all."""
+    rows = places.withColumn("_none", F.coalesce(F.col(upcoming), F.lit(0)) == 0).withColumn("_fold", text.fold(F.col(name)))
+    parts = rows.groupBy("_none").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = parts.where("not _none").select(F.lit(True).alias("_none"), F.col("_n").alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("_none").orderBy("_fold", name))
+    out = rows.withColumn("_within", within).join(ahead, "_none", "left")
+    return out.withColumn("place", (F.coalesce("_ahead", F.lit(0)) + F.col("_within")).cast("long")).drop("_none", "_fold", "_within", "_ahead")
+
+
+def appearance(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """(key, value, place): the distinct values of each key in the order in which they first appear."""
+    first = rows.groupBy(key, value).agg(F.min(at).alias("_at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_at", value)).cast("long")).drop("_at")
+
+
+def only_future(published: DataFrame, incoming: DataFrame, key: str, date: str, values: Sequence[str], today: str) -> DataFrame:
+    """Published rows with what incoming ones say of the same key and day, for days to come only: what is past stays as it was told."""
+    new = incoming.select(key, date, F.struct(*values).alias("_n"))
+    joined = published.join(new, [key, date], "left")
+    change = (F.col(date) >= F.lit(today).cast("date")) & F.col("_n").isNotNull()
+    return joined.withColumns({c: F.when(change, F.col(f"_n.{c}")).otherwise(F.col(c)) for c in values}).drop("_n")

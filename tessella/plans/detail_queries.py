@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions import civil, people, telling
-from tessella.operators import classify, events, filters, linkage
+from tessella.functions import civil, people, telling, text
+from tessella.operators import agenda, classify, events, filters, linkage
 from tessella.sources.storage import table
 
 from .registry import query
@@ -222,3 +222,85 @@ def discard_tally(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT source, count(*) AS requests, count(*) FILTER (doc_id % 7 = 0) AS failed, max(n_chars) AS largest FROM documents GROUP BY source""")
 def http_stats(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("doc_id") % 7 == 0).alias("failed"), F.max("n_chars").alias("largest"))
+
+
+STATUS = {"O": "Programado", "F": "Cancelado"}
+PLACES = "(SELECT c_custkey, n_name AS venue, r_name AS root FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("n_name").alias("venue"), F.col("r_name").alias("root"))
+
+
+SLUG = "replace(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ', '-')"
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE o_orderstatus WHEN 'O' THEN 'Programado' WHEN 'F' THEN 'Cancelado' ELSE 'Otro' END AS status, {SLUG.format('root')} || CASE WHEN lower(root) <> lower(venue) THEN '/' || {SLUG.format('venue')} ELSE '' END AS place_key FROM orders JOIN {PLACES} ON o_custkey = c_custkey WHERE CAST(o_orderdate AS DATE) >= DATE '2000-06-01'")
+def agenda_rows(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'2000-06-01'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    rows = o.join(_places(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), agenda.labelled(F.col("o_orderstatus"), STATUS, "Otro").alias("status"), agenda.place_key(F.col("root"), F.col("venue")).alias("place_key"))
+
+
+@query(f"SELECT o_orderkey FROM orders JOIN {PLACES} ON o_custkey = c_custkey WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '2001-01-01' AND DATE '2001-06-30' AND (root IN ('ASIA', 'EUROPE') OR o_orderkey % 10 = 0)")
+def harvest_scope(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").join(_places(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
+    area = F.when(F.col("o_orderkey") % 10 != 0, F.col("root"))
+    return o.where(agenda.in_scope(F.to_date("o_orderdate"), area, "2001-01-01", "2001-06-30", ["ASIA", "EUROPE"])).select("o_orderkey")
+
+
+@query("SELECT n_name FROM nation WHERE contains(lower(n_name), '1') OR contains(lower(n_name), 'an')")
+def venue_search(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    return n.where(text.contains(F.col("n_name"), "1") | text.contains(F.col("n_name"), "ÁN")).select("n_name")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS b, count(*) FILTER (CAST(l_shipdate AS DATE) < DATE '2000-01-01') AS past, count(*) FILTER (CAST(l_shipdate AS DATE) >= DATE '2000-01-01') AS to_come, min(CAST(l_shipdate AS DATE)) FILTER (CAST(l_shipdate AS DATE) >= DATE '2000-01-01') AS nx FROM lineitem GROUP BY 1)
+SELECT o_orderkey, strftime(a, '%Y-%m-%d') AS first, strftime(b, '%Y-%m-%d') AS last, strftime(nx, '%Y-%m-%d') AS next, coalesce(past, 0) AS past, coalesce(to_come, 0) AS to_come, coalesce(past, 0) > 0 AND coalesce(to_come, 0) = 0 AS is_past FROM orders LEFT JOIN s ON k = o_orderkey""")
+def event_pages(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("day"))
+    out = agenda.event_page(table(spark, sf, "orders").select("o_orderkey"), li, "o_orderkey", "day", "2000-01-01")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last", "next")})
+
+
+@query("""WITH u AS (SELECT n_name, count(o_orderkey) FILTER (CAST(o_orderdate AS DATE) >= DATE '2001-07-20') AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name)
+SELECT n_name, row_number() OVER (ORDER BY n = 0, lower(n_name), n_name) AS place FROM u""")
+def venue_index_order(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'2001-07-20'").select(F.col("o_custkey").alias("c_custkey"))
+    c, n = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), table(spark, sf, "nation").select("n_nationkey", "n_name")
+    counts = o.join(c, "c_custkey").groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return agenda.index_order(n.join(counts, "n_nationkey", "left"), "n_name", "n").select("n_name", "place")
+
+
+@query("SELECT l_orderkey, p_brand, row_number() OVER (PARTITION BY l_orderkey ORDER BY seen, p_brand) AS place FROM (SELECT l_orderkey, p_brand, min(l_linenumber) AS seen FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)")
+def composer_order(spark: SparkSession, sf: str) -> DataFrame:
+    li, p = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return agenda.appearance(li.join(p, "l_partkey"), "l_orderkey", "p_brand", "l_linenumber").select("l_orderkey", "p_brand", "place")
+
+
+@query("SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '2000-01-01' AND o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS title FROM orders")
+def past_is_immutable(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("title"))
+    late = o.where("o_orderkey % 2 = 0").withColumn("title", F.lower("title"))
+    return agenda.only_future(o, late, "o_orderkey", "day", ["title"], "2000-01-01").select("o_orderkey", "title")
+
+
+@query("""SELECT p_type, count(DISTINCT p_brand) AS composers, count(*) FILTER (p_brand IN ('Brand#1', 'Brand#2')) AS unresolved FROM part GROUP BY p_type""")
+def composer_audit(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    known = p.select("p_brand").distinct().where(~F.col("p_brand").isin("Brand#1", "Brand#2")).withColumn("known", F.lit(True))
+    return p.join(known, "p_brand", "left").groupBy("p_type").agg(F.countDistinct("p_brand").alias("composers"), F.count_if(F.col("known").isNull()).alias("unresolved"))
+
+
+@query("""SELECT source, max(doc_id) AS lastmod, count(*) AS n FROM documents GROUP BY source""")
+def feed_lastmod(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("lastmod"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH u AS (SELECT root, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders JOIN {PLACES} ON o_custkey = c_custkey WHERE CAST(o_orderdate AS DATE) >= DATE '2001-06-01' AND o_orderstatus <> 'F') SELECT root, o_orderkey, strftime(day, '%Y-%m-%d') AS day, place FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY day, o_orderkey) AS place FROM u) WHERE place <= 3""")
+def article_upcoming(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'2001-06-01' and o_orderstatus != 'F'").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    rows = o.join(_places(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
+    out = agenda.latest(rows, "root", [F.asc("day"), F.asc("o_orderkey")], 3)
+    return out.select("root", "o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("place").cast("long").alias("place"))
