@@ -174,7 +174,11 @@ def html_strip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(html.strip_tags(F.col("html"))).alias("stripped"))
 
 
-@query()
+STRIPPED = "trim(regexp_replace(" + ENTITIES_SQL.format("regexp_replace(x, '<[^>]+>', ' ', 'g')") + r", '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '\s+', ' ', 'g'), '(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|main)\b[^>]*>', chr(10), 'g') AS t FROM pages),
+l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {STRIPPED}), lambda x: x <> '') AS blocks FROM b) SELECT page_id, CAST(i - 1 AS INTEGER) AS place, blocks[i] AS block FROM l, unnest(range(1, len(blocks) + 1)) AS u(i)""")
 def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.posexplode(html.blocks(F.col("html"))).alias("place", "block"))
 
@@ -248,7 +252,8 @@ def dictionary_scan(spark: SparkSession, sf: str) -> DataFrame:
     return classify.spans(table(spark, sf, "documents"), "doc_id", "text", _aliases(spark, sf), "alias", "name")
 
 
-@query()
+@query(f"""WITH m AS ({DICTIONARY}), g AS (SELECT doc_id, list([{{'name': name, 'start': start, 'n': n_words}}] ORDER BY -n_words, start, name) AS s FROM m GROUP BY doc_id),
+r AS (SELECT doc_id, unnest(list_reduce(s, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.start < x[1].start + x[1].n AND x[1].start < y.start + y.n)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM g) SELECT doc_id, k.name AS name, k.start AS start, k.n AS n_words FROM r""")
 def longest_span_wins(spark: SparkSession, sf: str) -> DataFrame:
     return classify.longest(dictionary_scan(spark, sf), "doc_id")
 
