@@ -28,9 +28,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from . import words as w
 from .common import small_batches
-from .token_ids import SLICE, encoder
+from .token_ids import encoder
 
 WEIGHTS = (1.0, 0.01, 0.05)
+#: Distinct words whose ids a worker remembers; fewer than the token store's, as packing comes last in a pipeline of other work.
+REMEMBERED = 300_000
 
 
 def best_fit(lengths: np.ndarray, tokens: int, docs: int, cost: int, weights: Sequence[float] = WEIGHTS, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +74,9 @@ def _pieces(docs: DataFrame, file: str, end: int, tokens: int, keep: Sequence[st
     names = ["row", "piece", "start", "length", "ids_crc32", "slot"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, slot = encoder(file), 0
+        coder, slot = encoder(file, REMEMBERED), 0
         for batch in batches:
-            for part in w.slices(batch, "text", SLICE):
+            for part in w.slices(batch, "text"):
                 ids, at = coder.encode(part.column("text"), end)
                 raw, sizes = ids.astype("<u4"), np.diff(at)
                 many = -(-sizes // tokens)

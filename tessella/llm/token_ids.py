@@ -45,20 +45,20 @@ def vocabulary_path(name: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(file: str) -> Encoder:
+def encoder(file: str, remembered: int = REMEMBERED) -> Encoder:
     """This worker's encoder for a path, or for the name of a public tokenizer."""
-    return Encoder(file)
+    return Encoder(file, remembered)
 
 
 class Encoder:
     """Encodes batches of texts, remembering words."""
 
-    def __init__(self, file: str):
-        self.tokenizer = _tokenizer(file if "/" in file else vocabulary_path(file))
-        told = json.loads(self.tokenizer.to_str())
-        self.lowers = "Lowercase" in _kinds(told["normalizer"])
+    def __init__(self, file: str, remembered: int = REMEMBERED):
+        self.tokenizer, self.remembered = _tokenizer(file if "/" in file else vocabulary_path(file)), remembered
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and "Lowercase" in _kinds(json.loads(normalizer.__getstate__()))
         self.by_word = _splits_at_space(self.tokenizer.pre_tokenizer)
-        suffix = told["model"].get("end_of_word_suffix")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
         if suffix and self.lowers:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -144,7 +144,7 @@ class Encoder:
         flat = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data.tobytes().translate(None, _SPACES)))
         words = flat.dictionary_encode()
         per_text = np.diff(np.searchsorted(begins, starts))
-        if self.places.size > REMEMBERED or self.used > 8 * REMEMBERED:
+        if self.places.size > self.remembered or self.used > 8 * self.remembered:
             self._reset()
         hashes = _hashes(words.dictionary)
         number = self.places.find(hashes)
