@@ -8,7 +8,23 @@ from pyspark.sql.types import StringType
 
 from tessella.sources.storage import cut, settled, shared_folder, small_batches, table, tasks
 
-__all__ = ["beside_text", "cut", "settled", "shared_folder", "small_batches", "table", "tasks", "whole_row"]
+__all__ = ["beside_text", "cut", "discard", "settled", "shared_folder", "small_batches", "stored", "table", "tasks", "whole_row"]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new path in the cluster's shared folder, and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of what ``stored`` gave, once nothing reads them any more."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _aside(docs: DataFrame, keep: Sequence[str], text_col: str) -> bool:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, language_model, packing, pii, quality_classifier, quality_rules, quotation, token_store
+from . import centroids, decontamination, html_extraction, jaccard_join, language_model, packing, pii, quality_classifier, quality_rules, quotation, resampling, token_store, url_filters
 from .common import shared_folder, table
 
 
@@ -59,6 +59,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.score", "m.start", "m.end")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sanitisation, op2_html_extraction, op3_token_store, op4_quotation_linking, op5_jaccard_join, op6_packing, op7_language_model, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("scans")
 
-ORACLE_SQL: dict[str, str] = {"op4_quotation_linking": quotation.SQL}
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(url_filters.RULES, "verdict string, rule string")
+    out = url_filters.judge(pages, rules, url_filters.suspect_hosts(pages), keep=["page_id"])
+    return out.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sanitisation, op2_html_extraction, op3_token_store, op4_quotation_linking, op5_jaccard_join, op6_packing, op7_language_model, op8_quality_classifier, op9_quality_rules, op10_decontamination, op11_centroids, op12_resampling, op13_url_filters)}
+
+ORACLE_SQL: dict[str, str] = {"op4_quotation_linking": quotation.SQL, "op11_centroids": centroids.SQL, "op12_resampling": resampling.SQL, "op13_url_filters": url_filters.SQL}
