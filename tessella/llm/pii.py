@@ -10,11 +10,13 @@ and only where ``support`` documents back the estimate; the entities themselves
 
 Counts run over all documents: in how many each entity, each term of a document with it, and both
 occur; an entity in fewer than ``support`` documents has no disclosing term, so its terms are not
-counted. Places are keyed by the whole text's hash, so copies of a text share one entry.
+counted. Entities that occur in the very same documents (93 bits of their texts' hashes, summed) have the same counts with every term, so one stands for all of them:
+a document that lists thousands of addresses, and its copies, are counted once and not once an address. Pairs leave a task in
+batches of ``PAIRS``. Places are keyed by the whole text's hash, so copies of a text share one entry.
 
 Defined results: a null or empty text has no spans and stays as it is; repeated rows are
-treated alike; other columns pass through in ``row`` whatever their names; an empty table
-gives an empty result.
+treated alike; terms of one character are not counted and never masked; texts of any length and with any number of entities are taken whole; other columns
+pass through in ``row`` whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ KINDS = ("email", "ip", "card", "phone")
 SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("put", StringType())])
 #: Table rows up to which a small side is broadcast (under 100 bytes each), and words up to which a filter is.
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
+#: Pairs of an entity and a term that a task holds at once.
+PAIRS = 1 << 19
+#: Bits of a text's hash in each of three sums, which stay below 64 bits for as many documents as 32 bits count.
+SUM_BITS = 31
 
 #: Stands for any entity at all.
 ANY = np.int64(-1)
@@ -142,42 +148,77 @@ def _is_in(keys: np.ndarray, known: np.ndarray | None) -> np.ndarray:
 
 
 def _entity_counts(texts: DataFrame) -> DataFrame:
-    """(entity, alone): in how many documents each entity occurs."""
+    """(entity, alone, s0, s1, s2): in how many documents each entity occurs, and sums of those documents' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, part = ["entity", "alone", "s0", "s1", "s2"], (1 << SUM_BITS) - 1
         for batch in batches:
-            found = [e for t in map(lambda x: x.as_py(), batch["text"]) if (spans := base_spans(t)) for e in _entities(t, spans)]
-            seen, counts = np.unique(np.array(found, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts)], ["entity", "alone"])
-
-    return texts.select("text").mapInArrow(run, "entity long, alone long").groupBy("entity").agg(F.sum("alone").alias("alone"))
+            found: dict[int, list[int]] = {}
+            for t in map(lambda x: x.as_py(), batch["text"]):
+                if spans := base_spans(t):
+                    h = xxhash.xxh3_128_intdigest(t.encode())
+                    adds = (1, h & part, h >> SUM_BITS & part, h >> 2 * SUM_BITS & part)
+                    for e in _entities(t, spans):
+                        known = found.setdefault(e, [0, 0, 0, 0])
+                        for i, x in enumerate(adds):
+                            known[i] += x
+            rows = np.array([[e, *x] for e, x in found.items()], np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names)
+
+    counts = texts.select("text").mapInArrow(run, "entity long, alone long, s0 long, s1 long, s2 long")
+    return counts.groupBy("entity").agg(*(F.sum(c).alias(c) for c in ("alone", "s0", "s1", "s2")))
+
+
+def _pair_batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Entities and terms of documents, each entity with each term, summed in batches of about ``PAIRS``."""
+    entities, terms, size = [], [], 0
+
+    def summed() -> pa.RecordBatch:
+        entity, term = np.concatenate(entities), np.concatenate(terms)
+        order = np.lexsort((term, entity))
+        entity, term = entity[order], term[order]
+        first = np.flatnonzero(np.append(True, (entity[1:] != entity[:-1]) | (term[1:] != term[:-1])))
+        counts = np.diff(np.append(first, len(entity)))
+        return pa.RecordBatch.from_arrays([pa.array(entity[first]), pa.array(term[first]), pa.array(counts)], ["entity", "term", "together"])
+
+    for mine, keys in pairs:
+        step = max(1, PAIRS // max(1, len(keys)))
+        for at in range(0, len(mine), step):
+            some = mine[at : at + step]
+            entities.append(np.repeat(some, len(keys)))
+            terms.append(np.tile(keys, len(some)))
+            size += len(some) * len(keys)
+            if size >= PAIRS:
+                yield summed()
+                entities, terms, size = [], [], 0
+    if size:
+        yield summed()
 
 
 def _together(texts: DataFrame, entities: np.ndarray | None) -> DataFrame:
     """(entity, term, together): in how many documents both occur, the term outside all entities; with ANY as the entity, in how many
     of the documents that hold some entity the term occurs."""
 
+    def pairs(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held = []
+        for i, t in enumerate(map(lambda x: x.as_py(), part.column("text"))):
+            spans = base_spans(t)
+            mine = np.array(sorted(_entities(t, spans)), np.int64) if spans else np.empty(0, np.int64)
+            mine = mine[_is_in(mine, entities)]
+            if len(mine):
+                held.append((i, mine, spans))
+        if not held:
+            return
+        terms = _Terms(part.column("text").take(pa.array([i for i, _, _ in held])))
+        at = np.searchsorted(terms.doc, np.arange(len(held) + 1))
+        for k, (_, mine, spans) in enumerate(held):
+            own = slice(at[k], at[k + 1])
+            yield np.append(mine, ANY), np.unique(terms.key[own][_apart(terms.start[own], terms.end[own], spans)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in w.slices(batch, "text"):
-                held = []
-                for i, t in enumerate(map(lambda x: x.as_py(), part.column("text"))):
-                    spans = base_spans(t)
-                    mine = np.array(sorted(_entities(t, spans)), np.int64) if spans else np.empty(0, np.int64)
-                    mine = mine[_is_in(mine, entities)]
-                    if len(mine):
-                        held.append((i, mine, spans))
-                if not held:
-                    continue
-                terms = _Terms(part.column("text").take(pa.array([i for i, _, _ in held])))
-                at, pairs = np.searchsorted(terms.doc, np.arange(len(held) + 1)), []
-                for k, (_, mine, spans) in enumerate(held):
-                    own = slice(at[k], at[k + 1])
-                    keys = np.unique(terms.key[own][_apart(terms.start[own], terms.end[own], spans)])
-                    mine = np.append(mine, ANY)
-                    pairs.append(np.stack([np.repeat(mine, len(keys)), np.tile(keys, len(mine))]))
-                (entity, term), counts = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(entity), pa.array(term), pa.array(counts)], ["entity", "term", "together"])
+                yield from _pair_batches(pairs(part))
 
     return texts.select("text").mapInArrow(run, "entity long, term long, together long").groupBy("entity", "term").agg(F.sum("together").alias("together"))
 
@@ -240,8 +281,9 @@ def _document_counts(texts: DataFrame, terms: np.ndarray | None) -> DataFrame:
 
 
 def disclosing_terms(texts: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(entity, term, disclosure, removed) for the terms that give an entity away."""
-    entities = cut(_entity_counts(texts).where(F.col("alone") >= support))
+    """(entity, term, disclosure, removed) for the terms that give an entity away; of entities in the same documents one stands for all."""
+    counted = _entity_counts(texts).where(F.col("alone") >= support)
+    entities = cut(counted.groupBy("alone", "s0", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "alone"))
     together = cut(_together(texts, _known(entities, "entity")).where((F.col("together") >= support) | (F.col("entity") == ANY)))
     n = F.lit(float(max(1, texts.count())))
     content, gives = F.log2(n / F.col("alone")), lambda docs: F.log2(n * F.col("together") / (F.col("alone") * F.col(docs)))
