@@ -32,6 +32,8 @@ from .common import beside_text, cut, small_batches, whole_row
 
 MATCH = StructType([StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("start", LongType()), StructField("end", LongType())])
 _SHIFT = np.int64(1 << 24)
+#: Hits expanded at once, and what keeps places before a text's first word from being negative.
+HITS, _BEFORE = 1 << 18, 1 << 31
 
 
 def _word_runs(texts: pa.Array) -> tuple[w.Runs, int]:
@@ -90,23 +92,39 @@ def _common(item: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.minimum(counts.reshape(len(rows), len(known)), times).sum(axis=1)
 
 
+def _placed(doc_of: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, items: Items) -> np.ndarray:
+    """Where hits would put an item: sorted distinct (document, item, first word), packed. A hit is a window at word ``at`` that equals
+    the seeds from ``left`` to ``right``; many hits of a repetitive text lie on one diagonal, so they are expanded in bounded
+    batches and what each batch adds is one entry a diagonal."""
+    hit = np.flatnonzero(right > left)
+    times = (right - left)[hit]
+    found, held, begin = [], 0, 0
+    ends = np.cumsum(times)
+    while begin < len(hit):
+        to = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HITS, "right")))
+        some, n = hit[begin:to], times[begin:to]
+        entry = np.repeat(left[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        word = np.repeat(at[some], n)
+        found.append(np.unique((doc_of[word] * len(items.ids) + items.item[entry]) << 32 | word - items.place[entry] + _BEFORE))
+        held, begin = held + len(found[-1]), to
+        if held > 8 * HITS:
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
 def _matches(items: Items, texts: pa.Array, least_score: float) -> list[list[tuple]]:
     runs, docs = _word_runs(texts)
     out: list[dict] = [{} for _ in range(docs)]
     keys, at = w.windows(runs.hash, runs.doc, items.n)
     left, right = np.searchsorted(items.key, keys, "left"), np.searchsorted(items.key, keys, "right")
-    times = right - left
-    hit = np.flatnonzero(times)
-    if not len(hit):
+    key = _placed(runs.doc, at, left, right, items)
+    if not len(key):
         return [[] for _ in out]
-    times, total = times[hit], int(times[hit].sum())
-    entry = np.repeat(left[hit] - (np.cumsum(times) - times), times) + np.arange(total)
-    word, item, place = np.repeat(at[hit], times), items.item[entry], items.place[entry]
+    doc, item = np.divmod(key >> 32, len(items.ids))
+    begin = (key & 0xFFFFFFFF) - _BEFORE
     size = np.array([len(x) for x in items.words])[item]
-    doc, begin = runs.doc[word], word - place
     first_word = np.searchsorted(runs.doc, np.arange(len(out) + 1))
-    order = np.lexsort((begin, item, doc))
-    doc, item, begin, size = doc[order], item[order], begin[order], size[order]
     # hits that would put the item at about the same place share a window
     near = np.maximum(3, size // 4)
     apart = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(begin) > near[1:])
@@ -159,20 +177,22 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: Sequence[str] | None =
     """
     keep = list(docs.columns if keep is None else keep)
     text = F.col(text_col).cast("string").alias("text")
-    blocks = [b for b in (Items(ids, texts, n) for ids, texts in _blocks(items, item_id_col, item_text_col, block_bytes)) if len(b.key)]
+    blocks = (b for b in (Items(ids, texts, n) for ids, texts in _blocks(items, item_id_col, item_text_col, block_bytes)) if len(b.key))
     none = F.array().cast(ArrayType(MATCH)).alias("matches")
-    if not blocks:
+    block, more = next(blocks, None), next(blocks, None)
+    if block is None:
         return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), none)
-    if len(blocks) == 1:
+    if more is None:
         head = small_batches(docs).select(beside_text(docs, keep, text_col), text)
-        found = _searched(head, blocks[0], threshold, ["row"] + ["text"] * (text_col in keep))
+        found = _searched(head, block, threshold, ["row"] + ["text"] * (text_col in keep))
         return found.select(whole_row(docs, keep, text_col), "matches")
-    # a scan a block, so that a task holds one; what they find is put together by the text's hash
+    # a scan a block, so that a task and the driver hold one or two; what each finds is written, and put together by the text's hash
     keyed = small_batches(docs).select(*_text_key(text), text)
     hits = None
-    for block in blocks:
-        found = _searched(keyed, block, threshold, ["k1", "k2"]).where(F.size("matches") > 0)
+    while block is not None:
+        found = cut(_searched(keyed, block, threshold, ["k1", "k2"]).where(F.size("matches") > 0))
         hits = found if hits is None else hits.union(found)
+        block, more = more, next(blocks, None)
     each = hits.select("k1", "k2", F.explode("matches").alias("m")).distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("m")).alias("matches"))
     row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
     joined = docs.select(row, *_text_key(text)).join(cut(each), ["k1", "k2"], "left")
