@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .places import unique_names
+
 #: Why an observation makes no event.
 NO_TITLE, NO_DATE, PAST, OUTSIDE, CANCELLED, UNKNOWN_PLACE, AMBIGUOUS_PLACE, THIN_PLACE, UNKNOWN_SOURCE = (
     "sin título", "sin fecha", "fecha pasada", "fuera de ventana", "cancelado", "lugar no reconocido", "lugar ambiguo", "lugar nuevo con datos insuficientes", "fuente desconocida",
@@ -149,18 +151,8 @@ def place_to_publish(published: Column, incoming: Column, relation: Column) -> C
 
 
 def with_idents(fresh: DataFrame, name: Column, taken: DataFrame, column: str, order: Sequence[str], most: int = 120) -> DataFrame:
-    """Allocates idents in order: a name that is free as it is, else with the next number after those that are taken.
-
-    Counts are by name and rank, so only rows of one name are put in order; names end in time for their number.
-    """
-    cut = fresh.withColumn("_name", F.regexp_replace(F.left(name, F.lit(most - 8)), "-+$", ""))
-    used = taken.select(F.col(column).alias("_used")).distinct()
-    base = F.regexp_replace("_used", r"-[0-9]+$", "")
-    number = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("_used", r"-([0-9]{1,9})$", 1), F.lit("")), F.lit("999999999")).cast("long"), F.lit(1))
-    tops = used.select(base.alias("_name"), number.alias("n")).union(used.select(F.col("_used").alias("_name"), F.lit(1).cast("long"))).groupBy("_name").agg(F.max("n").alias("_top"))
-    place = F.row_number().over(Window.partitionBy("_name").orderBy(*order)) + F.coalesce("_top", F.lit(0))
-    out = cut.join(tops, "_name", "left").withColumn("_place", place)
-    return out.withColumn(column, F.when(F.col("_place") == 1, F.col("_name")).otherwise(F.concat_ws("-", "_name", F.col("_place").cast("string")))).drop("_name", "_top", "_place")
+    """Allocates idents in order: a name that is free as it is, else with a number; no two are the same, whatever names end in numbers of their own."""
+    return unique_names(fresh, name, taken, column, order, most=most)
 
 
 def integrity(planned: DataFrame, candidates: DataFrame, written: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import text
-from tessella.operators import identity, matching, verdicts
+from tessella.operators import identity, matching, places, verdicts
 from tessella.sources.storage import table
 
 from .linkage_queries import CORE, FOLDED, GRAMS, NOT_TITLES, _any_sql, _names_sql, _works_sql
@@ -181,3 +181,28 @@ second_ AS (SELECT a AS id, CASE WHEN m = 1 AND c = 0 THEN 'matched' ELSE 'ambig
 @query(f"""{SIDES} SELECT ob.k AS id, coalesce(x.action, 'unmatched') AS action, x.method, x.event, x.n, x.reason FROM ob LEFT JOIN (SELECT * FROM first_ UNION ALL SELECT * FROM second_) x ON x.id = ob.k""")
 def identity_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     return matching.matched(**_sides(spark, sf))
+
+
+def _rounds_sql(most: int) -> str:
+    """Names in rounds: first of each root, then the next numbers of each root, those that are free to the first that asks."""
+    parts = ["r0 AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') || CASE WHEN p_size <= 20 THEN '-' || p_size ELSE '' END AS root FROM part)", "used0 AS (SELECT DISTINCT replace(p_name, ' ', '-') || '-' || p_size AS name FROM part WHERE p_size BETWEEN 2 AND 6)",
+             "won0 AS (SELECT min(id) AS id, root AS name FROM r0 WHERE root NOT IN (SELECT name FROM used0) GROUP BY root)", "open0 AS (SELECT * FROM r0 WHERE id NOT IN (SELECT id FROM won0))",
+             "asked0 AS (SELECT regexp_replace(name, '-[0-9]+$', '') AS root, max(CAST(regexp_extract(name, '-([1-9][0-9]{0,8})$', 1) AS BIGINT)) AS reached FROM used0 GROUP BY 1)", "all0 AS (SELECT name FROM used0 UNION SELECT name FROM won0)"]
+    for i in range(1, most + 1):
+        j = i - 1
+        parts += [
+            f"try{i} AS (SELECT id, root, place + greatest(coalesce(reached, 1), 1) AS number, root || '-' || (place + greatest(coalesce(reached, 1), 1)) AS name FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY id) AS place FROM open{j}) LEFT JOIN asked{j} USING (root))",
+            f"won{i} AS (SELECT min(id) AS id, name FROM try{i} WHERE name NOT IN (SELECT name FROM all{j}) GROUP BY name)", f"open{i} AS (SELECT id, root FROM try{i} WHERE id NOT IN (SELECT id FROM won{i}))",
+            f"asked{i} AS (SELECT root, max(number) AS reached FROM try{i} GROUP BY root)", f"all{i} AS (SELECT name FROM all{j} UNION SELECT name FROM won{i})",
+        ]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT id AS p_partkey, name AS slug FROM won{i}" for i in range(most + 1))
+
+
+@query(_rounds_sql(8))
+def collision_free_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts, some of which end in a number themselves, beside names that are taken."""
+    p = table(spark, sf, "part")
+    base = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
+    taken = p.where("p_size between 2 and 6").select(F.concat_ws("-", base, "p_size").alias("slug")).distinct()
+    fresh = p.select("p_partkey", F.concat_ws("-", base, F.when(F.col("p_size") <= 20, F.col("p_size")).cast("string")).alias("root"))
+    return places.unique_names(fresh, F.col("root"), taken, "slug", ["p_partkey"]).select("p_partkey", "slug")
