@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import fold, has_word, once
 
+from . import scan
+
 #: Taxonomies, in the order that results keep.
 ERAS = ("early", "renaissance", "baroque", "classical", "romantic", "twentieth", "contemporary")
 FORMATS = ("symphonic", "chamber", "recital", "choral", "organ", "early-music", "opera", "zarzuela", "lied", "other")
@@ -191,22 +193,18 @@ def spans(docs: DataFrame, id_col: str, text_col: str, aliases: DataFrame, alias
     return made.join(keys, ["n_words", "gram"]).select(F.col("id").alias(id_col), "name", "start", "n_words")
 
 
-def composers_in(docs: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, alias: str, name: str, least: int = 4) -> DataFrame:
+def composers_in(docs: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, alias: str, name: str, least: int = 4, guards: Sequence[str] = ()) -> DataFrame:
     """(id, name, start): composers that a text names, of overlapping names the longest. An alias of one word counts from ``least`` letters and
-    if no other composer has it; composers are in order of their first mention by ``start``."""
+    if no other composer has it; right behind one of ``guards`` none counts. Composers are in order of their first mention by ``start``."""
     usable = dictionary.select(fold(F.col(alias)).alias("alias"), F.col(name).alias("name")).distinct()
     owners = usable.groupBy("alias").agg(F.count(F.lit(1)).alias("owners"))
     usable = usable.join(owners, "alias").where((F.col("owners") == 1) & ((F.length("alias") >= least) | F.contains("alias", F.lit(" "))))
-    return longest(spans(docs, id_col, text_col, usable, "alias", "name"), id_col).groupBy(id_col, "name").agg(F.min("start").alias("start"))
+    return scan.spans(docs, id_col, text_col, usable, "alias", "name", guards, longest_wins=True).groupBy(id_col, "name").agg(F.min("start").alias("start"))
 
 
 def longest(found: DataFrame, id_col: str) -> DataFrame:
     """Of overlapping spans the longest wins, then the earliest, then the first name; the rest follow in that order."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n_words")).alias("k"), "start", "name", "n_words")))
-    clear = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["start"] + x["n_words"]) & (x["start"] < y["start"] + y["n_words"]))
-    kind = "array<struct<k:int,start:int,name:string,n_words:int>>"
-    kept = F.aggregate(order, F.array().cast(kind), lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return found.groupBy(id_col).agg(kept.alias("kept")).select(id_col, F.explode("kept").alias("s")).select(id_col, "s.name", "s.start", "s.n_words")
+    return scan.longest(found, id_col)
 
 
 def place_of(rows: DataFrame, id_col: str, text_col: str, places: DataFrame, name: str, place: str) -> DataFrame:

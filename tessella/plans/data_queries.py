@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import html, text, urls
-from tessella.operators import accounting, classify, export, linkage, quality
+from tessella.operators import accounting, classify, export, linkage, quality, scan
 from tessella.operators.components import components
 from tessella.sources.storage import table
 
@@ -249,13 +249,29 @@ SELECT doc_id, 'item ' || item_id AS name, CAST(s AS INTEGER) AS start, n AS n_w
 
 @query(DICTIONARY)
 def dictionary_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.spans(table(spark, sf, "documents"), "doc_id", "text", _aliases(spark, sf), "alias", "name")
+    return scan.spans(table(spark, sf, "documents"), "doc_id", "text", _aliases(spark, sf), "alias", "name")
 
 
 @query(f"""WITH m AS ({DICTIONARY}), g AS (SELECT doc_id, list([{{'name': name, 'start': start, 'n': n_words}}] ORDER BY -n_words, start, name) AS s FROM m GROUP BY doc_id),
 r AS (SELECT doc_id, unnest(list_reduce(s, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.start < x[1].start + x[1].n AND x[1].start < y.start + y.n)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM g) SELECT doc_id, k.name AS name, k.start AS start, k.n AS n_words FROM r""")
 def longest_span_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.longest(dictionary_scan(spark, sf), "doc_id")
+    return scan.spans(table(spark, sf, "documents"), "doc_id", "text", _aliases(spark, sf), "alias", "name", longest_wins=True)
+
+
+GUARDED = f"""WITH k AS (SELECT DISTINCT item_id, w[a:b] AS g, b - a + 1 AS n FROM (SELECT item_id, string_split({FOLD}, ' ') AS w FROM benchmark), (VALUES (1, 3), (4, 5), (2, 6), (1, 1000)) t(a, e), LATERAL (SELECT least(e, len(w)) AS b) WHERE a <= b),
+gd AS (SELECT DISTINCT string_split({FOLD}, ' ')[1] AS g FROM benchmark), d AS (SELECT doc_id, string_split({FOLD}, ' ') AS w FROM documents), t AS (SELECT doc_id, w, unnest(range(0, len(w))) AS s FROM d)
+SELECT doc_id, 'item ' || item_id AS name, CAST(s AS INTEGER) AS start, n AS n_words FROM t JOIN k ON w[s + 1] = g[1] AND w[s + 1:s + n] = k.g WHERE s = 0 OR w[s] NOT IN (SELECT g FROM gd)"""
+
+
+@query(GUARDED)
+def guarded_alias_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases of two words up to whole items, not right behind a word that opens an item."""
+    w = F.split(text.fold(F.col("text")), " ")
+    b = table(spark, sf, "benchmark").select("item_id", w.alias("w"))
+    part = lambda a, e: F.array_join(F.slice("w", a, e - a + 1), " ")
+    names = b.select(F.concat(F.lit("item "), "item_id").alias("name"), F.explode(F.array(part(1, 3), part(4, 5), part(2, 6), part(1, 1000))).alias("alias"))
+    guards = sorted(r[0] for r in b.select(F.element_at("w", 1)).distinct().collect())  # a word an item at most
+    return scan.spans(table(spark, sf, "documents"), "doc_id", "text", names, "alias", "name", guards=guards)
 
 
 @query("SELECT l_orderkey, array_to_string(list_filter(['PROMO', 'SMALL', 'STANDARD', 'MEDIUM', 'LARGE', 'ECONOMY'], lambda x: list_contains(h, x)), ',') AS eras FROM (SELECT l_orderkey, list(split_part(p_type, ' ', 1)) AS h FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)")
