@@ -13,42 +13,50 @@ from tessella.sources.storage import table
 from .registry import query
 
 LABELS = {"access=free": "Gratis", "kind=established": "Salas"}
-TELLS = """SELECT event_id AS id, CASE WHEN event_id % 4 <> 0 THEN '2024-01-0' || (1 + event_id % 2) END AS f, CASE WHEN event_id % 2 = 0 THEN 'jazz trio' END AS q, CASE event_id % 3 WHEN 0 THEN 'established' WHEN 1 THEN 'alternative' END AS kind, CASE WHEN event_id % 5 = 0 THEN 'free' END AS access FROM events"""
+#: An address of each event, and what it must come to, from the event's columns: dates that are none for low values, a second value of a key, values that no key has.
+TELLS = """SELECT event_id AS id, user_id, ts, CASE WHEN value >= 5 THEN strftime(ts, '%Y-%m-%d') END AS f, CASE WHEN event_type IN ('view', 'click') THEN 'jazz trio' END AS q, CASE event_type WHEN 'purchase' THEN 'established' WHEN 'view' THEN 'alternative' END AS kind,
+CASE WHEN user_id < 50 THEN 'free' END AS access, CASE WHEN value > 20 THEN 'organ' END AS format, CASE WHEN event_type = 'signup' THEN 'early' END AS era FROM events"""
+ORDER = ("q", "from", "access", "format", "era", "kind")
+_C = {"from": "f"}
+TOLD = "concat_ws('&', " + ", ".join(f"'{k}=' || replace({_C.get(k, k)}, ' ', '+')" for k in ORDER) + ")"
+TOGGLED = TOLD.replace("replace(access,", "replace(CASE WHEN access IS NULL THEN 'free' END,")
 
 
-def _query(k: Column) -> Column:
-    start = F.when(k % 4 == 0, "nonsense").otherwise(F.concat(F.lit("2024-01-0"), (k % 2 + 1).cast("string")))
-    kind = F.when(k % 3 == 0, "established").when(k % 3 == 1, "alternative").otherwise("bad")
-    return F.concat(F.lit("?kind="), kind, F.lit("&from="), start, F.when(k % 2 == 0, "&q=%20jazz%20trio").otherwise("&q=%20"), F.lit("&x=1"), F.when(k % 5 == 0, "&access=free&access=paid").otherwise(""))
+def _query() -> Column:
+    kind, v = F.col("event_type"), F.col("value")
+    said = F.when(kind == "purchase", "established").when(kind == "view", "alternative").otherwise("bad")
+    start = F.when(v >= 5, F.date_format("ts", "yyyy-MM-dd")).otherwise("2024-02-31")
+    access = F.when(F.col("user_id") < 50, "&access=free&access=paid").when(F.col("user_id") < 100, "&access=bogus&access=free").otherwise("&access=%20free")
+    return F.concat(F.lit("?kind="), said, F.lit("&from="), start, F.when(kind.isin("view", "click"), "&q=%20jazz+trio").otherwise("&q=%20"), F.lit("&x=1"), access, F.when(v > 20, "&format=organ").otherwise("&format=polka"), F.when(kind == "signup", "&era=early&era").otherwise("&era"))
 
 
-@query(f"WITH t AS ({TELLS}) SELECT id AS event_id, concat_ws('&', 'from=' || f, 'q=' || replace(q, ' ', '+'), 'kind=' || kind, 'access=' || access) AS told, CAST((f IS NOT NULL) + (q IS NOT NULL) + (kind IS NOT NULL) + (access IS NOT NULL) AS INTEGER) AS active FROM (SELECT id, f, q, kind, access FROM t)".replace("(f IS NOT NULL) +", "CAST(f IS NOT NULL AS INT) +").replace("+ (q IS NOT NULL) + (kind IS NOT NULL) + (access IS NOT NULL)", "+ CAST(q IS NOT NULL AS INT) + CAST(kind IS NOT NULL AS INT) + CAST(access IS NOT NULL AS INT)"))
+@query(f"WITH t AS ({TELLS}) SELECT id AS event_id, {TOLD} AS told, CAST(" + " + ".join(f"CAST({_C.get(k, k)} IS NOT NULL AS INT)" for k in ORDER) + " AS INTEGER) AS active, true AS present FROM t")
 def filter_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", filters.parsed(_query(F.col("event_id"))).alias("f"))
-    return e.select("event_id", filters.told(F.col("f")).alias("told"), filters.active(F.col("f")).alias("active"))
+    e = table(spark, sf, "events").select("event_id", _query().alias("query")).select("event_id", filters.present(F.col("query")).alias("present"), filters.parsed(F.col("query")).alias("f"))
+    return e.select("event_id", filters.told(F.col("f")).alias("told"), filters.active(F.col("f")).alias("active"), "present")
 
 
 def _change_sql(key: str, c: str) -> str:
     return f"CASE WHEN a.{c} IS NULL AND b.{c} IS NOT NULL THEN 'set:{key}' WHEN a.{c} IS NOT NULL AND b.{c} IS NULL THEN 'clear:{key}' WHEN a.{c} <> b.{c} THEN 'change:{key}' END"
 
 
-@query(f"WITH t AS ({TELLS}) SELECT a.id AS event_id, concat_ws(' ', {_change_sql('from', 'f')}, {_change_sql('q', 'q')}, {_change_sql('kind', 'kind')}, {_change_sql('access', 'access')}) AS changes FROM t a JOIN t b ON b.id = a.id + 1")
+@query(f"WITH t AS ({TELLS}), n AS (SELECT *, lead(id) OVER (PARTITION BY user_id ORDER BY ts, id) AS nx FROM t) SELECT a.id AS event_id, concat_ws(' ', " + ", ".join(_change_sql(k, _C.get(k, k)) for k in ORDER) + ") AS changes FROM n a JOIN t b ON b.id = a.nx")
 def filter_changes(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("event_id")
-    e = table(spark, sf, "events").select("event_id")
-    pairs = e.join(e.select((k - 1).alias("event_id")), "event_id")
-    return pairs.select("event_id", F.array_join(filters.changed(filters.parsed(_query(k)), filters.parsed(_query(k + 1))), " ").alias("changes"))
+    """What each user's filters became in their next event."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", filters.parsed(_query()).alias("f"))
+    pairs = e.withColumn("g", F.lead("f").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("g is not null")
+    return pairs.select("event_id", F.array_join(filters.changed(F.col("f"), F.col("g")), " ").alias("changes"))
 
 
-@query(f"WITH t AS ({TELLS}) SELECT id AS event_id, concat_ws(', ', f, q, CASE kind WHEN 'established' THEN 'Salas' ELSE kind END, CASE access WHEN 'free' THEN 'Gratis' END) AS chips, concat_ws('&', 'from=' || f, 'q=' || replace(q, ' ', '+'), 'kind=' || kind, CASE WHEN access IS NULL THEN 'access=free' END) AS toggled FROM t")
+@query(f"WITH t AS ({TELLS}) SELECT id AS event_id, concat_ws(', ', q, f, CASE access WHEN 'free' THEN 'Gratis' END, format, era, CASE kind WHEN 'established' THEN 'Salas' ELSE kind END) AS chips, {TOGGLED} AS toggled FROM t")
 def filter_chips(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", filters.parsed(_query(F.col("event_id"))).alias("f"))
+    e = table(spark, sf, "events").select("event_id", filters.parsed(_query()).alias("f"))
     return e.select("event_id", F.array_join(filters.chips(F.col("f"), LABELS), ", ").alias("chips"), filters.told(filters.toggled(F.col("f"), "access", "free")).alias("toggled"))
 
 
-@query(f"WITH t AS ({TELLS}) SELECT key, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN f IS NOT NULL THEN 'from' END, CASE WHEN q IS NOT NULL THEN 'q' END, CASE WHEN kind IS NOT NULL THEN 'kind' END, CASE WHEN access IS NOT NULL THEN 'access' END], lambda x: x IS NOT NULL)) AS key FROM t) GROUP BY key")
+@query(f"WITH t AS ({TELLS}) SELECT key, count(*) AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN {_C.get(k, k)} IS NOT NULL THEN '{k}' END" for k in ORDER) + "], lambda x: x IS NOT NULL)) AS key FROM t) GROUP BY key")
 def filter_usage(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.usage(table(spark, sf, "events").select(filters.parsed(_query(F.col("event_id"))).alias("f")), "f")
+    return filters.usage(table(spark, sf, "events").select(filters.parsed(_query()).alias("f")), "f")
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d') AS day, strftime(ts + INTERVAL 1 HOUR, '%H:%M') AS time, CASE WHEN CAST(ts + INTERVAL 1 HOUR AS DATE) >= DATE '2024-01-15' THEN CAST(date_diff('day', DATE '2024-01-15', CAST(ts + INTERVAL 1 HOUR AS DATE)) AS INTEGER) END AS days FROM events")
