@@ -50,14 +50,26 @@ def notice(text: Column, year: Column | None = None) -> Column:
     return once(F.regexp_replace(unaccent(F.coalesce(text, F.lit(""))), r"\s+", " "), told)
 
 
+_OBSERVED = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(?:(Z)|([+-])(\d{2}):?(\d{2}))?)?$"
+
+
 def observed(text: Column, zone: str = ZONE) -> Column:
-    """struct(date, time) of what a feed gives: an instant with an offset in the zone's civil time, a time without one as it is, or a bare date."""
-    instant = F.try_to_timestamp(F.regexp_replace(F.replace(text, F.lit("T"), F.lit(" ")), r"(?:\.[0-9]+)?(?=Z|[+-][0-9]{2}:?[0-9]{2}$|$)", ""), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
-    has_offset = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$")
-    bare = F.try_to_date(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-    local = F.from_utc_timestamp(instant, zone)
-    time = F.nullif(F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}[T ](\d{2}:\d{2})", 1), F.lit(""))
-    return F.struct(F.when(has_offset, F.to_date(local)).otherwise(bare).alias("date"), F.when(has_offset, F.date_format(local, "HH:mm")).when(bare.isNotNull(), time).alias("time"))
+    """struct(date, time) of what a feed gives: an instant with an offset (Z, +hh:mm or +hhmm) in the zone's civil time, a time without one
+    as it is, or a bare date; seconds may be missing. Both are null for what is no such value, or an impossible date, time or offset."""
+
+    def told(t: Column) -> Column:
+        at = lambda k: F.nullif(F.regexp_extract(t, _OBSERVED, k), F.lit(""))
+        number = lambda k: at(k).cast("int")
+        day = F.try_to_date(at(1), "yyyy-MM-dd")
+        within = lambda k, most: number(k).isNull() | (number(k) <= most)
+        real = day.isNotNull() & within(2, 23) & within(3, 59) & within(4, 59) & within(7, 23) & within(8, 59)
+        offset = F.when(at(5).isNotNull(), 0).otherwise((number(7) * 60 + number(8)) * F.when(at(6) == "-", -1).otherwise(1))
+        minutes = F.datediff(day, F.lit("1970-01-01").cast("date")) * 1440 + number(2) * 60 + number(3) - offset
+        local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_add("MINUTE", minutes, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
+        told_day, told_time = F.when(offset.isNull(), day).otherwise(F.to_date(local)), F.when(offset.isNull(), F.concat_ws(":", at(2), at(3))).otherwise(F.date_format(local, "HH:mm"))
+        return F.struct(F.when(real, told_day).alias("date"), F.when(real & at(2).isNotNull(), told_time).alias("time"))
+
+    return once(F.trim(text), told)
 
 
 def long_date(date: Column) -> Column:

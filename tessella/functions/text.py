@@ -38,6 +38,11 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(unaccent(text), "[^a-z0-9]+", " "))
 
 
+def collated(text: Column, locale: str = "es") -> Column:
+    """The text under a locale's collation, to sort by: accents and capitals come after plain letters of the same kind, n before ñ."""
+    return F.collate(text, locale)
+
+
 def contains(haystack: Column, needle: str) -> Column:
     """Folded substring; an empty needle is in everything."""
     return F.lit(True) if not needle.strip() else F.contains(fold(haystack), fold(F.lit(needle)))

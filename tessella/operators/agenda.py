@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from tessella.functions import text
 
+from .places import numbered
+
 
 def matches(filters: Mapping[str, str], columns: Mapping[str, Column]) -> Column:
     """The conjunction of an agenda's filters; empty and unknown ones hold for all.
@@ -163,14 +165,14 @@ def event_page(events: DataFrame, sessions: DataFrame, key: str, date: str, toda
     return events.join(told, key, "left").fillna(zero).withColumn("is_past", (F.col("past") > 0) & (F.col("to_come") == 0))
 
 
-def index_order(places: DataFrame, name: str, upcoming: str) -> DataFrame:
-    """Places with something on before those without, each by folded name; ``place`` counts them all."""
-    rows = places.withColumn("_none", F.coalesce(F.col(upcoming), F.lit(0)) == 0).withColumn("_fold", text.fold(F.col(name)))
-    parts = rows.groupBy("_none").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = parts.where("not _none").select(F.lit(True).alias("_none"), F.col("_n").alias("_ahead"))
-    within = F.row_number().over(Window.partitionBy("_none").orderBy("_fold", name))
-    out = rows.withColumn("_within", within).join(ahead, "_none", "left")
-    return out.withColumn("place", (F.coalesce("_ahead", F.lit(0)) + F.col("_within")).cast("long")).drop("_none", "_fold", "_within", "_ahead")
+def index_order(places: DataFrame, name: str, next_date: str, locale: str = "es") -> DataFrame:
+    """Places with something on by their next date, then those without; each by name in the locale's order. ``place`` counts them all."""
+    return numbered(places, [], [F.col(next_date).asc_nulls_last(), text.collated(F.col(name), locale).asc(), F.col(name).asc()])
+
+
+def in_order(rows: DataFrame, date: str, time: str, title: str, ident: str, locale: str = "es") -> DataFrame:
+    """Sessions with their ``place``: by date, time (unknown ones last), title in the locale's order, ident."""
+    return numbered(rows, [], [F.col(date).asc(), F.col(time).asc_nulls_last(), text.collated(F.col(title), locale).asc(), F.col(ident).asc()])
 
 
 def appearance(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:

@@ -86,10 +86,11 @@ def missing(published: DataFrame, key: str, source: str, healthy: DataFrame, see
 
 
 def assigned(observed: DataFrame, owned: DataFrame, key: str, event: str, date: str) -> DataFrame:
-    """Sessions of observations that belong to several events: each goes to the one event that has its date, else to none (null)."""
-    owners = owned.select(key, event, date).distinct().groupBy(key, date).agg(F.min(event).alias(event), F.count(F.lit(1)).alias("_n"))
-    joined = observed.join(owners, [key, date], "left")
-    return joined.withColumn(event, F.when(F.col("_n") == 1, F.col(event))).drop("_n")
+    """Sessions of observations that belong to several events: each goes to the one event that has its date. ``owners`` says how many have it: with
+    none, or with several (which is ambiguous), the event is null."""
+    owners = owned.select(key, event, date).distinct().groupBy(key, date).agg(F.min(event).alias(event), F.count(F.lit(1)).alias("owners"))
+    joined = observed.join(owners, [key, date], "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
+    return joined.withColumn(event, F.when(F.col("owners") == 1, F.col(event)))
 
 
 def distinct_evidence(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

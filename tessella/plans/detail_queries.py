@@ -185,11 +185,11 @@ def venue_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, l_suppkey AS e, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_linenumber AS n FROM lineitem), o AS (SELECT DISTINCT k, day FROM l WHERE n <= 3), w AS (SELECT k, day, count(DISTINCT e) AS c, min(e) AS e FROM l WHERE n >= 2 GROUP BY ALL)
-SELECT o.k, strftime(o.day, '%Y-%m-%d') AS day, CASE WHEN c = 1 THEN e END AS event FROM o LEFT JOIN w USING (k, day)""")
+SELECT o.k, strftime(o.day, '%Y-%m-%d') AS day, CASE WHEN c = 1 THEN e END AS event, coalesce(c, 0) AS owners FROM o LEFT JOIN w USING (k, day)""")
 def session_assignment(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("event"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("day"), F.col("l_linenumber").alias("n"))
     out = linkage.assigned(li.where("n <= 3").select("k", "day").distinct(), li.where("n >= 2"), "k", "event", "day")
-    return out.select("k", F.date_format("day", "yyyy-MM-dd").alias("day"), "event")
+    return out.select("k", F.date_format("day", "yyyy-MM-dd").alias("day"), "event", "owners")
 
 
 @query("""SELECT source, array_to_string(list_sort(list(DISTINCT '{"lang":"' || lang || '","size":' || CAST(n_chars // 5000 AS VARCHAR) || '}')), ';') AS evidence FROM documents GROUP BY source""")
@@ -272,13 +272,23 @@ def event_pages(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last", "next")})
 
 
-@query("""WITH u AS (SELECT n_name, count(o_orderkey) FILTER (CAST(o_orderdate AS DATE) >= DATE '2001-07-20') AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name)
-SELECT n_name, row_number() OVER (ORDER BY n = 0, lower(n_name), n_name) AS place FROM u""")
+@query("""WITH u AS (SELECT n_name, min(CAST(o_orderdate AS DATE)) FILTER (CAST(o_orderdate AS DATE) >= DATE '2001-07-20') AS next FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name)
+SELECT n_name, strftime(next, '%Y-%m-%d') AS next, row_number() OVER (ORDER BY next NULLS LAST, n_name) AS place FROM u""")
 def venue_index_order(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'2001-07-20'").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'2001-07-20'").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("day"))
     c, n = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), table(spark, sf, "nation").select("n_nationkey", "n_name")
-    counts = o.join(c, "c_custkey").groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return agenda.index_order(n.join(counts, "n_nationkey", "left"), "n_name", "n").select("n_name", "place")
+    first = o.join(c, "c_custkey").groupBy("n_nationkey").agg(F.min("day").alias("next"))
+    return agenda.index_order(n.join(first, "n_nationkey", "left"), "n_name", "next").select("n_name", F.date_format("next", "yyyy-MM-dd").alias("next"), "place")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY CAST(l_shipdate AS DATE), CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_quantity > 25 THEN '20:00' ELSE '18:00' END END NULLS LAST, p_name, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS place
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def agenda_order(spark: SparkSession, sf: str) -> DataFrame:
+    """All sessions in order, by date, time (unknown last) and collated title."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("date"), F.when(F.col("l_returnflag") != "N", F.when(F.col("l_quantity") > 25, "20:00").otherwise("18:00")).alias("time"))
+    ident = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), "l_linenumber", "l_partkey", "l_suppkey")
+    rows = li.join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title")), "l_partkey").withColumn("ident", ident)
+    return agenda.in_order(rows, "date", "time", "title", "ident").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "place")
 
 
 @query("SELECT l_orderkey, p_brand, row_number() OVER (PARTITION BY l_orderkey ORDER BY seen, p_brand) AS place FROM (SELECT l_orderkey, p_brand, min(l_linenumber) AS seen FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)")

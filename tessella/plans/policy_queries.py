@@ -195,14 +195,18 @@ def spanish_notices(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("o_orderkey", text("date").alias("date"), "time", "n.status", text("n.date").alias("moved_to"))
 
 
-@query("""WITH t AS (SELECT event_id, ts, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.123+05:00') END AS said FROM events)
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d') WHEN 3 THEN strftime(ts - INTERVAL 4 HOUR, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d') END AS date,
-CASE event_id % 4 WHEN 0 THEN strftime(ts + INTERVAL 1 HOUR, '%H:%M') WHEN 1 THEN strftime(ts, '%H:%M') WHEN 3 THEN strftime(ts - INTERVAL 4 HOUR, '%H:%M') END AS time FROM t""")
+@query("""WITH t AS (SELECT event_id, ts, event_type AS e, value > 35 AS sec FROM events)
+SELECT event_id, CASE e WHEN 'view' THEN strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d') WHEN 'purchase' THEN strftime(ts - INTERVAL 4 HOUR - INTERVAL 30 MINUTE, '%Y-%m-%d') WHEN 'error' THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS date,
+CASE e WHEN 'view' THEN strftime(ts + INTERVAL 1 HOUR, '%H:%M') WHEN 'click' THEN strftime(ts, '%H:%M') WHEN 'purchase' THEN strftime(ts - INTERVAL 4 HOUR - INTERVAL 30 MINUTE, '%H:%M') END AS time FROM t""")
 def observed_times(spark: SparkSession, sf: str) -> DataFrame:
-    k, ts = F.col("event_id") % 4, F.col("ts")
-    said = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'.123+05:00'"))
-    e = table(spark, sf, "events").select("event_id", notices.observed(said).alias("o"))
-    return e.select("event_id", F.date_format("o.date", "yyyy-MM-dd").alias("date"), "o.time")
+    """Times as feeds write them, by the kind of event: instants, naive times, bare dates and impossible ones, with seconds where the value is high."""
+    e, ts = F.col("event_type"), F.col("ts")
+    with_seconds = lambda long, short: F.when(F.col("value") > 35, F.date_format(ts, long)).otherwise(F.date_format(ts, short))
+    said = F.when(e == "view", with_seconds("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm'Z'")).when(e == "click", with_seconds("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm"))
+    said = said.when(e == "signup", F.date_format(ts, "yyyy-MM-dd")).when(e == "purchase", with_seconds("yyyy-MM-dd'T'HH:mm:ss'.123+05:30'", "yyyy-MM-dd'T'HH:mm'+0530'"))
+    said = said.otherwise(with_seconds("yyyy-MM-dd'T99:'mm", "yyyy-MM-dd'garbage'"))
+    rows = table(spark, sf, "events").select("event_id", notices.observed(said).alias("o"))
+    return rows.select("event_id", F.date_format("o.date", "yyyy-MM-dd").alias("date"), "o.time")
 
 
 @query(f"""SELECT day, (['lunes', 'martes', 'miércoles', 'jueves', 'viernes', 'sábado', 'domingo'])[isodow(day)] || ', ' || day(day) || ' de ' || ({list(notices.MONTHS)})[month(day)] || ' de ' || year(day) AS said FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day0, CAST(o_orderdate AS DATE) AS day FROM orders)""".replace("SELECT day, (", "SELECT day0 AS day, ("))
