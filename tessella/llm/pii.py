@@ -40,8 +40,6 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", Integ
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
 #: Pairs of an entity and a term that a task holds at once.
 PAIRS = 1 << 19
-#: Of so many texts one is counted first, to rule out terms that are too common there already.
-SHARE = 16
 #: Bits of a text's hash in each of three sums, which stay below 64 bits for as many documents as 32 bits count.
 SUM_BITS = 31
 
@@ -293,9 +291,6 @@ def disclosing_terms(texts: DataFrame, support: int, generalise_at: float, remov
     among = together.where(F.col("entity") == ANY).select("term", F.col("together").alias("among"))
     able = together.where(F.col("entity") != ANY).join(_small(entities), "entity").join(among, "term")
     able = cut(able.where((content > 0) & (gives("among") >= generalise_at * content)).drop("among"))
-    # so does a count over a share of all texts: no term is in fewer documents than in those; what is left is counted over all
-    some = _document_counts(texts.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0), _known(able.select("term").distinct(), "term"))
-    able = cut(able.join(some, "term", "left").where(F.col("docs").isNull() | (gives("docs") >= generalise_at * content)).drop("docs"))
     counts = _document_counts(texts, _known(able.select("term").distinct(), "term"))
     both = able.join(counts, "term").withColumn("disclosure", gives("docs") / content).where(F.col("disclosure") >= generalise_at)
     return both.select("entity", "term", "disclosure", (F.col("disclosure") >= remove_at).alias("removed"))
