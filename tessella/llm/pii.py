@@ -40,6 +40,8 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", Integ
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
 #: Pairs of an entity and a term that a task holds at once.
 PAIRS = 1 << 19
+#: Tasks that count given terms, for each core of the cluster.
+TASKS_A_CORE = 2
 #: Bits of a text's hash in each of three sums, which stay below 64 bits for as many documents as 32 bits count.
 SUM_BITS = 31
 
@@ -277,7 +279,10 @@ def _document_counts(texts: DataFrame, terms: np.ndarray | None) -> DataFrame:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(total[some])], ["term", "docs"])
 
-    return texts.select("text").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    sent = texts.select("text")
+    if terms is not None:  # each task tells of most of the terms once, so there are as many tasks as cores can run, whatever the number of files
+        sent = sent.coalesce(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
+    return sent.mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 def disclosing_terms(texts: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
