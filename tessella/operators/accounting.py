@@ -106,3 +106,14 @@ def corroboration(rows: DataFrame, group: str, source: str) -> DataFrame:
 def fingerprint(date: str) -> Column:
     """A hash of the set of days that a group covers."""
     return F.md5(F.array_join(F.sort_array(F.collect_set(F.date_format(date, "yyyy-MM-dd"))), ","))
+
+
+def discards(rows: DataFrame, source: str, reason: str = "discard") -> DataFrame:
+    """(source, reason, n): how many rows of a source can't be used, and why."""
+    return rows.where(F.col(reason).isNotNull()).groupBy(source, reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+def request_stats(requests: DataFrame, source: str, failed: Column, took: str) -> DataFrame:
+    """(source, requests, failed, slowest, failure_rate) of a source's requests."""
+    out = requests.groupBy(source).agg(F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("failed"), F.max(took).alias("slowest"))
+    return out.withColumn("failure_rate", F.col("failed") / F.col("requests"))

@@ -187,3 +187,9 @@ def only_future(published: DataFrame, incoming: DataFrame, key: str, date: str,
     joined = published.join(new, [key, date], "left")
     change = (F.col(date) >= F.lit(today).cast("date")) & F.col("_n").isNotNull()
     return joined.withColumns({c: F.when(change, F.col(f"_n.{c}")).otherwise(F.col(c)) for c in values}).drop("_n")
+
+
+def featured(rows: DataFrame, key: str, order: Column, ident: str) -> DataFrame:
+    """rows with ``featured``: whether a row is the first of its key by ``order``. One minimum a key, so a common key is summed in every task first."""
+    first = rows.groupBy(key).agg(F.min_by(ident, order).alias("_first"))
+    return rows.join(first, key).withColumn("featured", F.col(ident) == F.col("_first")).drop("_first")

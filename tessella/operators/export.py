@@ -66,3 +66,8 @@ def sitemap(pages: DataFrame, base: str, path: str, changed: str | None = None)
     loc = F.concat(F.lit(f"<url><loc>{base}"), xml_escape(F.col(path)), F.lit("</loc>"))
     last = F.lit("") if changed is None else F.coalesce(F.concat(F.lit("<lastmod>"), F.col(changed).cast("string"), F.lit("</lastmod>")), F.lit(""))
     return pages.select(F.concat(loc, last, F.lit("</url>")).alias("entry"))
+
+
+def lastmod(entries: DataFrame, feed: str, changed: str, today: str) -> DataFrame:
+    """(feed, lastmod, n): the last day up to today on which one of a feed's entries changed, and how many there are; entries to come don't count."""
+    return entries.where(F.col(changed) <= F.lit(today).cast("date")).groupBy(feed).agg(F.max(changed).alias("lastmod"), F.count(F.lit(1)).alias("n"))

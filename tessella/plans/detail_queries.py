@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import civil, people, telling, text
-from tessella.operators import agenda, classify, events, filters, linkage
+from tessella.operators import accounting, agenda, classify, events, export, filters, linkage, observe
 from tessella.sources.storage import table
 
 from .registry import query
@@ -73,13 +73,14 @@ def iso_datetimes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", civil.iso(F.to_date("o_orderdate"), time).alias("iso"))
 
 
-SAYS = ("Dirección musical", "Orquesta Nacional", "coro", "Mezzo", "al piano", "", "luces", "Trío")
+#: Words of roles, which the driver's texts have in four languages: a table of the user's own.
+ROLES = {"conductor": ("the", "what"), "orchestra": ("les", "dans"), "choir": ("que", "los"), "ensemble": ("und", "der"), "singer": ("with",)}
+WORDS = "string_split(trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' ')"
 
 
-@query(f"SELECT s_suppkey, (['conductor', 'orchestra', 'choir', 'singer', 'instrumentalist', NULL, 'other', 'ensemble'])[1 + s_suppkey % {len(SAYS)}] AS role FROM supplier")
+@query(f"SELECT conv_id, turn, CASE WHEN w = [''] THEN NULL " + " ".join(f"WHEN list_has_any(w, {list(v)}) THEN '{k}'" for k, v in ROLES.items()) + f" ELSE 'other' END AS role FROM (SELECT conv_id, turn, {WORDS} AS w FROM conversations)")
 def performer_roles(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.element_at(F.array(*map(F.lit, SAYS)), (F.col("s_suppkey") % len(SAYS)).cast("int") + 1)
-    return table(spark, sf, "supplier").select("s_suppkey", people.role(said).alias("role"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", people.role(F.col("text"), ROLES).alias("role"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'anon' WHEN 1 THEN 'years' WHEN 2 THEN 'loud' WHEN 3 THEN 'alias' ELSE 'twice' END AS k, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS n FROM part)
@@ -92,18 +93,26 @@ def composer_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return people.canonical(table(spark, sf, "part").select("p_partkey", raw.alias("raw")), "raw", aliases, "alias", "name").select("p_partkey", "composer")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'of:Ana Torres,of:Luis de la Vega' WHEN 1 THEN 'by:Juan Gil' WHEN 2 THEN 'colon:Clara Wieck,lifespan:Fanny Hensel' ELSE '' END AS found FROM part""")
+_TITLED = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+SAID = f"""CASE split_part(p_type, ' ', 1) WHEN 'PROMO' THEN 'Obras de ' || {_TITLED.format('p_name')} || ' y música de ' || {_TITLED.format('p_type')} WHEN 'ECONOMY' THEN 'un estreno compuesto por ' || {_TITLED.format('p_name')} || ', ' || p_name
+WHEN 'STANDARD' THEN {_TITLED.format('p_name')} || ': trío' || chr(10) || {_TITLED.format('p_type')} || ' (18' || (10 + p_size) || '-1847)' ELSE p_name || ' ' || {_TITLED.format('p_brand')} END"""
+
+
+@query("WITH t AS (SELECT p_partkey, " + SAID + " AS said FROM part) SELECT p_partkey, array_to_string(list_concat(" + ", ".join(f"list_transform(regexp_extract_all(said, '{pattern.replace(chr(39), chr(39) * 2)}', 1), lambda n: '{frame}:' || n)" for frame, pattern in people.FRAMES.items()) + "), ',') AS found FROM t")
 def composer_attributions(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    said = F.when(k == 0, F.concat(F.lit("Obras de Ana Torres y música de Luis de la Vega, "), "p_name")).when(k == 1, "un estreno compuesto por Juan Gil").when(k == 2, "Clara Wieck: trío\nFanny Hensel (1805-1847)").otherwise(F.col("p_name"))
+    """Sentences made of a part's name and type, in the frame that goes with its type."""
+    titled = lambda c: F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " ")
+    first = F.split_part("p_type", F.lit(" "), F.lit(1))
+    said = F.when(first == "PROMO", F.concat(F.lit("Obras de "), titled("p_name"), F.lit(" y música de "), titled("p_type"))).when(first == "ECONOMY", F.concat(F.lit("un estreno compuesto por "), titled("p_name"), F.lit(", "), "p_name"))
+    said = said.when(first == "STANDARD", F.concat(titled("p_name"), F.lit(": trío\n"), titled("p_type"), F.lit(" (18"), (F.col("p_size") + 10).cast("string"), F.lit("-1847)"))).otherwise(F.concat("p_name", F.lit(" "), titled("p_brand")))
     found = F.transform(people.attributions(said), lambda x: F.concat_ws(":", x["frame"], x["name"]))
     return table(spark, sf, "part").select("p_partkey", F.array_join(found, ",").alias("found"))
 
 
-@query("""SELECT c_custkey, c_custkey % 6 IN (0, 1, 2, 4) AS nobody FROM customer""")
+@query(r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations) SELECT conv_id, turn, NOT regexp_matches(x, '\p{L}') OR regexp_matches(x, 'https?://|@|€|\b[0-9]{1,2}[:.][0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b') OR len(regexp_split_to_array(trim(x), '\s+')) > 12
+OR regexp_matches(x, '(?i)^\s*(?:entradas?|tickets?|duración|programa|más información)\b') AS nobody FROM t""")
 def performer_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.element_at(F.array(*map(F.lit, ("20:30", "Entradas en taquilla", "mail@x.es", "Ana Torres", "12 €", "Orquesta de Cámara"))), (F.col("c_custkey") % 6).cast("int") + 1)
-    return table(spark, sf, "customer").select("c_custkey", people.is_nobody(said).alias("nobody"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", people.is_nobody(F.coalesce("text", F.lit(""))).alias("nobody"))
 
 
 ONE_LINE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -216,20 +225,21 @@ def host_circuit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1 AS featured FROM part""")
 def featured_and_rest(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")) == 1
-    return table(spark, sf, "part").select("p_brand", "p_partkey", first.alias("featured"))
+    return agenda.featured(table(spark, sf, "part"), "p_brand", F.struct((-F.col("p_retailprice")).alias("price"), "p_partkey"), "p_partkey").select("p_brand", "p_partkey", "featured")
 
 
-@query("""SELECT source, discard, count(*) AS n FROM (SELECT source, CASE doc_id % 4 WHEN 0 THEN 'missing-date' WHEN 1 THEN 'season-pass' WHEN 2 THEN 'pending-information' END AS discard FROM documents) WHERE discard IS NOT NULL GROUP BY ALL""")
+@query(r"""WITH t AS (SELECT source, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x, lang, n_chars FROM documents)
+SELECT source, discard, count(*) AS n FROM (SELECT source, CASE WHEN x = '' THEN 'missing-title' WHEN n_chars < 150 THEN 'missing-date' WHEN n_chars > 6000 AND lang = 'en' THEN 'source-conflict' END AS discard FROM t) WHERE discard IS NOT NULL GROUP BY ALL""")
 def discard_tally(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    d = table(spark, sf, "documents").select("source", F.when(k == 0, "missing-date").when(k == 1, "season-pass").when(k == 2, "pending-information").alias("discard"))
-    return d.where("discard is not null").groupBy("source", "discard").agg(F.count(F.lit(1)).alias("n"))
+    """Short texts tell no session, long English ones contradict themselves."""
+    d = table(spark, sf, "documents").withColumns({"sessions": F.when(F.col("n_chars") < 150, F.array()).otherwise(F.array("n_chars")), "odd": (F.col("n_chars") > 6000) & (F.col("lang") == "en")})
+    return accounting.discards(observe.normalise(d, "text", "sessions", [], conflict="odd"), "source")
 
 
-@query("""SELECT source, count(*) AS requests, count(*) FILTER (doc_id % 7 = 0) AS failed, max(n_chars) AS largest FROM documents GROUP BY source""")
+@query("""SELECT user_id AS source, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failed, max(value) AS slowest, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS failure_rate FROM events GROUP BY user_id""")
 def http_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("doc_id") % 7 == 0).alias("failed"), F.max("n_chars").alias("largest"))
+    """Events as requests of their users, errors as failures, values as times."""
+    return accounting.request_stats(table(spark, sf, "events").withColumnRenamed("user_id", "source"), "source", F.col("event_type") == "error", "value")
 
 
 STATUS = {"O": "Programado", "F": "Cancelado"}
@@ -297,10 +307,10 @@ def composer_order(spark: SparkSession, sf: str) -> DataFrame:
     return agenda.appearance(li.join(p, "l_partkey"), "l_orderkey", "p_brand", "l_linenumber").select("l_orderkey", "p_brand", "place")
 
 
-@query("SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '2000-01-01' AND o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS title FROM orders")
+@query("SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '2000-01-01' AND o_orderstatus = 'P' THEN lower(o_orderpriority) ELSE o_orderpriority END AS title FROM orders")
 def past_is_immutable(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("title"))
-    late = o.where("o_orderkey % 2 = 0").withColumn("title", F.lower("title"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("title"))
+    late = o.where("o_orderstatus = 'P'").withColumn("title", F.lower("title"))
     return agenda.only_future(o, late, "o_orderkey", "day", ["title"], "2000-01-01").select("o_orderkey", "title")
 
 
@@ -311,9 +321,11 @@ def composer_audit(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(known, "p_brand", "left").groupBy("p_type").agg(F.countDistinct("p_brand").alias("composers"), F.count_if(F.col("known").isNull()).alias("unresolved"))
 
 
-@query("""SELECT source, max(doc_id) AS lastmod, count(*) AS n FROM documents GROUP BY source""")
+@query("""SELECT o_orderpriority AS feed, strftime(max(o_orderdate), '%Y-%m-%d') AS lastmod, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '2001-06-01' GROUP BY 1""")
 def feed_lastmod(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("lastmod"), F.count(F.lit(1)).alias("n"))
+    """Priorities as feeds, orders up to a day as their entries."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("feed"), F.to_date("o_orderdate").alias("day"))
+    return export.lastmod(o, "feed", "day", "2001-06-01").withColumn("lastmod", F.date_format("lastmod", "yyyy-MM-dd"))
 
 
 @query(f"""WITH u AS (SELECT root, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders JOIN {PLACES} ON o_custkey = c_custkey WHERE CAST(o_orderdate AS DATE) >= DATE '2001-06-01' AND o_orderstatus <> 'F') SELECT root, o_orderkey, strftime(day, '%Y-%m-%d') AS day, place FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY day, o_orderkey) AS place FROM u) WHERE place <= 3""")
