@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import civil, people, telling, text
-from tessella.operators import accounting, agenda, classify, events, export, filters, linkage, observe
+from tessella.operators import accounting, agenda, classify, events, export, filters, linkage, observe, resolve
 from tessella.sources.storage import table
 
 from .registry import query
@@ -128,10 +128,15 @@ def safe_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", telling.safe_query(F.col("text")).alias("q"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'GET /x?api_key=***&a=1' WHEN 1 THEN 'Authorization: Bearer ***' ELSE 'no more than 3 tokens' END AS line FROM events")
+LOGGED = """CASE event_type WHEN 'view' THEN 'GET /x?api_key=ab' || user_id || '&v=' || CAST(CAST(floor(value) AS INT) AS VARCHAR) WHEN 'purchase' THEN 'Authorization: Bearer ' || md5(props) WHEN 'signup' THEN 'password=' || user_id || 'x; token: ' || md5(props) ELSE event_type || ' with no more than ' || user_id || ' tokens' END"""
+
+
+@query(f"SELECT event_id, regexp_replace({LOGGED}, '{telling.SECRETS.replace(chr(39), chr(39) * 2)}', '\\1***', 'g') AS line FROM events")
 def redacted_logs(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("event_id")
-    line = F.when(k % 3 == 0, F.concat(F.lit("GET /x?api_key=abcd"), k.cast("string"), F.lit("&a=1"))).when(k % 3 == 1, F.concat(F.lit("Authorization: Bearer zz"), (k + 1000).cast("string"))).otherwise("no more than 3 tokens")
+    """Log lines made of an event's user, value and properties."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    line = F.when(kind == "view", F.concat(F.lit("GET /x?api_key=ab"), user, F.lit("&v="), F.floor("value").cast("int").cast("string"))).when(kind == "purchase", F.concat(F.lit("Authorization: Bearer "), F.md5("props")))
+    line = line.when(kind == "signup", F.concat(F.lit("password="), user, F.lit("x; token: "), F.md5("props"))).otherwise(F.concat(kind, F.lit(" with no more than "), user, F.lit(" tokens")))
     return table(spark, sf, "events").select("event_id", telling.redacted(line).alias("line"))
 
 
@@ -153,24 +158,30 @@ def page_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", telling.page_kind(path, [("^/fr(/|$)", "french"), ("/[0-9]+$", "detail")]).alias("kind"))
 
 
-@query("SELECT doc_id, CASE WHEN k > 3 THEN 'a, b, c y ' || (k - 3) || ' más' ELSE array_to_string((['a', 'b', 'c'])[1:k], ', ') END AS facts FROM (SELECT doc_id, 1 + doc_id % 5 AS k FROM documents)")
+@query("""WITH t AS (SELECT o_orderkey, coalesce(names, []) AS n FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT s_name)) AS names FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT o_orderkey, array_to_string(n[1:3], ', ') || CASE WHEN len(n) > 3 THEN ' y ' || (len(n) - 3) || ' más' ELSE '' END AS facts FROM t""")
 def fact_lists(spark: SparkSession, sf: str) -> DataFrame:
-    values = F.slice(F.array(*map(F.lit, "abcde")), F.lit(1), (F.col("doc_id") % 5).cast("int") + 1)
-    return table(spark, sf, "documents").select("doc_id", telling.facts(values).alias("facts"))
+    """Each order's suppliers, told as a few names and how many more."""
+    li, s = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
+    names = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("s_name")).alias("names"))
+    rows = table(spark, sf, "orders").join(names, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", telling.facts(F.coalesce("names", F.array().cast("array<string>"))).alias("facts"))
 
 
-@query("""SELECT o_orderkey, s_name AS series FROM orders LEFT JOIN supplier ON s_suppkey = CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 120 END""")
+@query("""SELECT o_orderkey, s_name AS series FROM orders LEFT JOIN supplier ON s_suppkey = CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_custkey // 12 END""")
 def event_series(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 120).alias("s_suppkey"))
-    return o.join(table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("series")), "s_suppkey", "left").select("o_orderkey", "series")
+    """Urgent orders as events of a series, some of which aren't there: null where the user doesn't want that to raise."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.floor(F.col("o_custkey") / 12)).alias("key"))
+    return resolve.one(o, "o_orderkey", "key", table(spark, sf, "supplier"), "s_suppkey", "told", strict=False).select("o_orderkey", F.col("told.s_name").alias("series"))
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT l_orderkey, min(l_suppkey) AS prim FROM c GROUP BY 1) SELECT c.l_orderkey, s_name AS source, c.l_suppkey = p.prim AS is_primary FROM c JOIN p USING (l_orderkey) JOIN supplier ON s_suppkey = c.l_suppkey""")
+@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT l_orderkey, arg_max(l_suppkey, (l_quantity, l_suppkey)) AS prim FROM lineitem GROUP BY 1) SELECT c.l_orderkey, s_name AS source, c.l_suppkey = p.prim AS is_primary FROM c JOIN p USING (l_orderkey) JOIN supplier ON s_suppkey = c.l_suppkey""")
 def cited_sources(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    primary = c.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("prim"))
-    named = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("source"))
-    return c.join(primary, "l_orderkey").join(named, "l_suppkey").select("l_orderkey", "source", (F.col("l_suppkey") == F.col("prim")).alias("is_primary"))
+    """Suppliers as an order's sources; that of the largest line is its primary one."""
+    li = table(spark, sf, "lineitem")
+    events_ = li.groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("l_quantity", "l_suppkey")).alias("prim"))
+    out = resolve.citations(li.select("l_orderkey", "l_suppkey").distinct(), "l_orderkey", "l_suppkey", events_, "prim", table(spark, sf, "supplier"), "s_suppkey")
+    return out.select("l_orderkey", F.col("source_row.s_name").alias("source"), "is_primary")
 
 
 @query("""WITH k AS (SELECT doc_id AS id, source || '/' || (doc_id % 200) AS ext, n_chars || lang AS al FROM documents WHERE doc_id % 2 = 0), o AS (SELECT doc_id, source || '/' || (doc_id % 200) AS ext, n_chars || lang AS al FROM documents WHERE doc_id % 2 = 1),

@@ -322,13 +322,15 @@ def observed_merge(spark: SparkSession, sf: str) -> DataFrame:
     return observe.with_detail(listing, detail, "doc_id", ["title"], ["works"]).select("doc_id", "title", F.array_join("works", ",").alias("works"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN source WHEN doc_id % 2 = 0 AND lang <> 'es' THEN lang WHEN doc_id % 7 = 0 THEN 'title' ELSE '' END AS composers FROM documents""")
+@query("""WITH t AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT p_brand) FILTER (l_returnflag = 'N')) AS stated, list_sort(list(DISTINCT p_brand) FILTER (l_linestatus = 'F')) AS told, list_sort(list(DISTINCT p_brand) FILTER (l_tax > 0.06)) AS titled, list(DISTINCT p_brand) FILTER (l_discount > 0.08) AS performing FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+u AS (SELECT k, list_filter(coalesce(stated, []), lambda x: NOT list_contains(coalesce(performing, []), x)) AS a, list_filter(coalesce(told, []), lambda x: NOT list_contains(coalesce(performing, []), x)) AS b, list_filter(coalesce(titled, []), lambda x: NOT list_contains(coalesce(performing, []), x)) AS c FROM t)
+SELECT k, array_to_string(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END, ',') AS composers FROM u""")
 def enriched_composers(spark: SparkSession, sf: str) -> DataFrame:
-    k, none = F.col("doc_id"), F.array().cast("array<string>")
-    some = lambda ok, c: F.when(ok, F.array(c)).otherwise(none)
-    performers = F.array_compact(F.array(F.lit("es"), F.when(k % 5 == 0, F.col("source"))))
-    out = observe.enriched(some(k % 3 == 0, "source"), some(k % 2 == 0, "lang"), some(k % 7 == 0, F.lit("title")), performers)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(out, ",").alias("composers"))
+    """Brands as composers: stated, attributed, in the title, performing, by what a line says."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    some = lambda when: F.array_sort(F.collect_set(F.when(when, F.col("p_brand"))))
+    sets = li.groupBy(F.col("l_orderkey").alias("k")).agg(some(F.col("l_returnflag") == "N").alias("a"), some(F.col("l_linestatus") == "F").alias("b"), some(F.col("l_tax") > 0.06).alias("c"), some(F.col("l_discount") > 0.08).alias("p"))
+    return sets.select("k", F.array_join(observe.enriched(*map(F.col, "abcp")), ",").alias("composers"))
 
 
 @query("""WITH c AS (SELECT doc_id % 50 AS event, source, lang AS url, n_chars % 28 AS checked FROM documents) SELECT event, source, url, max(checked) AS checked FROM c GROUP BY ALL""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions import idents, notices, urls
 from tessella.operators import accounting, agenda, classify, export, quality
@@ -234,13 +235,19 @@ def quiet_titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", idents.quiet(loud).alias("title"))
 
 
-@query("""WITH u AS (SELECT page_id, url, 'https://www.example.com/agenda?id=' || (page_id % 9) || '&utm_source=x' AS other FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'id-' || (page_id % 9) ELSE 'x' END AS cms_id, page_id % 2 = 0 AND page_id % 9 = 3 AS same FROM u""")
+_NORMAL = "CASE WHEN regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract({0}, '^[^:]*://([^/?#]*)', 1)) || regexp_replace(regexp_extract({0}, '^[^:]*://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract({0}, '^[^:#?]*://[^?#]*([?][^#]*)', 1) ELSE {0} END"
+
+
+@query(f"""WITH u AS (SELECT page_id, url, lead(url) OVER (PARTITION BY regexp_extract(url, '^[^:]*://([^/?#]*)', 1) ORDER BY regexp_extract(url, '[?&]page=([^&#]*)', 1), page_id) AS near, replace(upper(regexp_extract(url, '^[^:]*://[^/?#]*', 0)), 'HTTPS', 'https') || regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^#]*)', 1), '/$', '') || '#x' AS other FROM pages)
+SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS cms_id, {_NORMAL.format('url')} = {_NORMAL.format('other')} AS same, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') = nullif(regexp_extract(near, '[?&]page=([^&#]*)', 1), ''), false) OR {_NORMAL.format('url')} = {_NORMAL.format('near')} AS near_same FROM u""")
 def url_equivalence(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("page_id")
-    a = F.when(k % 2 == 0, F.concat(F.lit("https://www.example.com/agenda?x=1&id=id-"), (k % 9).cast("string"))).otherwise("https://www.example.com/agenda?id=x")
-    rows = table(spark, sf, "pages").select("page_id", a.alias("a"))
-    b = F.lit("https://www.example.com/other?id=id-3#top")
-    return rows.select("page_id", urls.parameter(F.col("a"), "id").alias("cms_id"), urls.equivalent(F.col("a"), b, "id").alias("same"))
+    """Each page's address beside itself in other spelling and beside the next of its host; a page number is a content id here."""
+    host = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
+    near = F.lead("url").over(Window.partitionBy(host).orderBy(F.regexp_extract("url", "[?&]page=([^&#]*)", 1), "page_id"))
+    other = F.concat(F.replace(F.upper(F.regexp_extract("url", "^[^:]*://[^/?#]*", 0)), F.lit("HTTPS"), F.lit("https")), F.regexp_replace(F.regexp_extract("url", "^[^:]*://[^/?#]*([^#]*)", 1), "/$", ""), F.lit("#x"))
+    rows = table(spark, sf, "pages").select("page_id", "url", near.alias("near"), other.alias("other"))
+    same = urls.equivalent(F.col("url"), F.col("other"))
+    return rows.select("page_id", urls.parameter(F.col("url"), "page").alias("cms_id"), same.alias("same"), urls.equivalent(F.col("url"), F.col("near"), "page").alias("near_same"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, rank() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderpriority, o_orderkey) AS place FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '2001-06-01'""")
