@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import classify, composers, merging, resolve, run_health
+from tessella.operators import classify, composers, discovery, merging, resolve, run_health
 from tessella.sources.storage import table
 
 from .data_queries import FOLD
@@ -146,3 +146,53 @@ def run_health_findings(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(value.between(400, 410)).alias("possibly_missing"), F.count_if((value > 380) & (kind == "view")).alias("unresolved_composers"),
     )
     return run_health.evaluated(runs, run_health.findings(runs, sources, "run", "user_id"), "run")
+
+
+def _brought(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as observations from outside: their addresses, first headings and lengths tell what else an observation has."""
+    p = table(spark, sf, "pages")
+    heading = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
+    day, size = F.regexp_extract("url", r"/([0-9]+)", 1).cast("int"), F.length("html")
+    date = F.concat(F.lit("2024-"), F.lpad((day % 13).cast("string"), 2, "0"), F.lit("-"), F.lpad((day % 31 + 1).cast("string"), 2, "0"))
+    sessions = F.when(size > 1500, F.array(F.struct(date.alias("date"), F.concat((day % 26).cast("string"), F.lit(":00")).alias("time")))).otherwise(F.array().cast("array<struct<date:string,time:string>>"))
+    return p.select(
+        "page_id", "url", F.when(size % 10 > 0, heading).alias("title"), sessions.alias("occurrences"), F.when(size > 2000, heading).alias("description"), F.when(size > 2500, heading).alias("programme"), F.when(size > 3000, heading).alias("venue"), F.when(size > 4000, heading).alias("external"), F.regexp_extract("url", "^[^:]*://[^/]*/([^/]*)/", 1).alias("via"),
+    )
+
+
+BROUGHT = r"""WITH p AS (SELECT page_id, url, length(html) AS size, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h, CAST(regexp_extract(url, '/([0-9]+)', 1) AS INT) AS d, regexp_extract(url, '^[^:]*://[^/]*/([^/]*)/', 1) AS via, regexp_replace(lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') AS site FROM pages),
+o AS (SELECT *, CASE WHEN size % 10 > 0 THEN h END AS title, '2024-' || lpad(CAST(d % 13 AS VARCHAR), 2, '0') || '-' || lpad(CAST(d % 31 + 1 AS VARCHAR), 2, '0') AS date FROM p),
+pr AS (SELECT *, list_filter([CASE WHEN trim(coalesce(title, '')) = '' THEN 'event.title: missing' END, CASE WHEN size <= 1500 THEN 'event.occurrences: missing' END,
+CASE WHEN size > 1500 THEN CASE WHEN try_cast(date AS DATE) IS NULL THEN 'event.occurrences.0.date: no day of the calendar' WHEN NOT regexp_matches((d % 26) || ':00', '^(?:[01][0-9]|2[0-3]):[0-5][0-9]$') THEN 'event.occurrences.0.time: no time of day' END END], lambda x: x IS NOT NULL) AS problems FROM o),
+hosts AS (SELECT site, count(*) AS n FROM p GROUP BY site HAVING count(*) >= 4)"""
+
+
+@query(f"{BROUGHT} SELECT page_id, array_to_string(problems, '; ') AS problems FROM pr")
+def discovery_problems(spark: SparkSession, sf: str) -> DataFrame:
+    found = discovery.problems(F.col("title"), F.col("url"), F.col("occurrences"))
+    return _brought(spark, sf).select("page_id", F.array_join(found, "; ").alias("problems"))
+
+
+def _registered(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites with four pages at least as the sources that an adapter reads."""
+    sites = table(spark, sf, "pages").groupBy(discovery.site(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    return sites.select(F.concat(F.lit("reg_"), F.replace("site", F.lit("."), F.lit("_"))).alias("source"), F.concat(F.lit("https://WWW."), "site", F.lit("/home")).alias("home"))
+
+
+@query(f"{BROUGHT} SELECT 'reg_' || replace(site, '.', '_') AS source, count(*) AS n, min(url) AS first, max(url) AS last FROM pr JOIN hosts USING (site) WHERE len(problems) = 0 GROUP BY site")
+def discovery_adapter_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _brought(spark, sf).where(F.size(discovery.problems(F.col("title"), F.col("url"), F.col("occurrences"))) == 0)
+    known = _registered(spark, sf)
+    return discovery.adapter_gaps(discovery.sourced(rows, "url", known, "source", "home"), known, "source", "url", "title")
+
+
+@query(f"{BROUGHT} SELECT page_id, CASE WHEN hosts.site IS NOT NULL THEN 'reg_' || replace(pr.site, '.', '_') ELSE 'src_' || trim(regexp_replace(pr.site, '[^a-z0-9]+', '_', 'g'), '_') END AS source, hosts.site IS NOT NULL AS known FROM pr LEFT JOIN hosts USING (site)")
+def discovery_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return discovery.sourced(_brought(spark, sf), "url", _registered(spark, sf), "source", "home").select("page_id", "source", "known")
+
+
+@query(f"{BROUGHT} SELECT via, count(*) AS n, count(*) FILTER (len(problems) = 0) AS usable, count(*) FILTER (size <= 2500 OR h = '') AS sparse FROM pr GROUP BY via")
+def discovery_yields(spark: SparkSession, sf: str) -> DataFrame:
+    """What each language of pages brought; all their addresses tell of single pages."""
+    rows = discovery.evidence(_brought(spark, sf), "url").withColumn("problems", discovery.problems(F.col("title"), F.col("url"), F.col("occurrences")))
+    return discovery.yields(rows, "via").select("via", "n", "usable", "sparse")
