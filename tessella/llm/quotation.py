@@ -131,8 +131,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
-#: DuckDB SQL for link() over conversations. It is narrower: it takes the first original of a passage, not the nearest earlier one,
-#: and leaves out passages of fewer than 12 characters; they agree where neither occurs.
+#: DuckDB SQL for link() over conversations.
 SQL = r"""
 WITH RECURSIVE msgs AS (
   SELECT conv_id AS conv, turn, role, text FROM conversations
@@ -166,18 +165,20 @@ WITH RECURSIVE msgs AS (
   UNION ALL SELECT body, level, said FROM runs WHERE level > 0
 ), passages AS (
   SELECT DISTINCT conv, turn, level, key, length(key) AS chars
-  FROM (SELECT conv, turn, level, trim(regexp_replace(lower(said), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM spoken JOIN split USING (body)) WHERE length(key) >= 12
+  FROM (SELECT conv, turn, level, trim(regexp_replace(lower(said), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM spoken JOIN split USING (body)) WHERE length(key) > 0
 ), originals AS (
-  SELECT conv, key, min(turn) AS said_at
+  SELECT DISTINCT conv, key, turn AS said_at
   FROM (SELECT conv, turn, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS key
         FROM (SELECT conv, turn, own AS part FROM split JOIN own USING (body)
               UNION ALL SELECT conv, turn, unnest(regexp_split_to_array(own, '\n[ \t]*\n')) FROM split JOIN own USING (body)
               UNION ALL SELECT conv, turn, unnest(string_split(own, chr(10))) FROM split JOIN own USING (body)))
-  WHERE length(key) >= 12 GROUP BY conv, key
+  WHERE length(key) > 0
+), linked AS (
+  SELECT p.conv, p.turn, p.level, p.key, p.chars, max(o.said_at) AS said_at
+  FROM passages p LEFT JOIN originals o ON o.conv = p.conv AND o.key = p.key AND o.said_at < p.turn GROUP BY ALL
 ), found AS (
-  SELECT p.conv, p.turn, max_by(CASE WHEN o.said_at < p.turn THEN o.said_at END, CASE WHEN o.said_at < p.turn THEN (-p.level, p.chars, o.said_at) END) AS parent,
-         count(*) AS n_passages, count(CASE WHEN o.said_at < p.turn THEN 1 END) AS n_linked
-  FROM passages p LEFT JOIN originals o USING (conv, key) GROUP BY p.conv, p.turn
+  SELECT conv, turn, max_by(said_at, CASE WHEN said_at IS NOT NULL THEN (-level, chars, said_at) END) AS parent, count(*) AS n_passages, count(said_at) AS n_linked
+  FROM linked GROUP BY conv, turn
 ), climbed AS (
   SELECT conv, turn, parent AS thread, 1 AS depth FROM found WHERE parent IS NOT NULL
   UNION ALL

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, html_extraction, pii
+from tessella.llm import decontamination, html_extraction, pii, quotation
 from tessella.llm import words as w
 
 
@@ -104,3 +104,19 @@ def test_short_articles_stay_and_teasers_go():
     long, end = "<article><h1>T</h1>" + "<p>Body text that goes on for a while here.</p>" * 8 + "</article>", "<article><p>A short second one.</p></article>"
     text = html_extraction.main_texts([f"<body>{long}{end}<article class='teaser'><p>Gone.</p></article><article><a href='/'>Gone too</a></article></body>"], ["h"], 8, 3, 0.5)[0]
     assert text.endswith("A short second one.") and "Gone" not in text
+
+
+def test_quotation_sql_takes_the_nearest_original_of_any_length(spark, tmp_path):
+    import duckdb
+
+    r, said = random.Random(8), ["Why not?", "Yes, please", "No", "It rains here all the day long.", "no!"]
+    rows = [(c, t, "user", "\n".join([*(f"{'> ' * r.randrange(1, 4)}{r.choice(said)}" for _ in range(r.randrange(3))), *(r.choice(said) for _ in range(r.randrange(3)))])) for c in range(5) for t in range(150)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.toPandas().to_parquet(tmp_path / "c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet'")
+    cursor = con.execute(quotation.SQL)
+    names = [d[0] for d in cursor.description]
+    want = Counter(cursor.fetchall())
+    assert Counter(tuple(x[c] for c in names) for x in quotation.link(table).collect()) == want
+    assert sum(x[names.index("parent_turn")] is not None for x in want) > 300
