@@ -40,15 +40,24 @@ def issues(entities: DataFrame) -> DataFrame:
     return entities.select(F.explode(found).alias("i")).select("i.*")
 
 
+class InvalidCatalogue(ValueError):
+    """A catalogue that can't be used; ``findings`` has all of them."""
+
+    def __init__(self, findings: DataFrame, shown: int = 100):
+        some, many = findings.limit(shown).collect(), findings.count()
+        told = "; ".join(f"{r['path']}: {r['code']} {r['message'] or ''}".strip() for r in some)
+        super().__init__(f"{many} findings: {told}" + f"; and {many - len(some)} more in findings" * (many > len(some)))
+        self.findings = findings
+
+
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All five tables; raises ValueError if anything is wrong, with the number of findings and the first hundred."""
+    """All five tables; raises InvalidCatalogue, which has the findings, if anything is wrong."""
     tables = {name: read(spark, root, name) for name in SCHEMAS}
     found = None
     for df in tables.values():
         found = issues(df) if found is None else found.union(issues(df))
-    wrong = found.limit(100).collect()
-    if wrong:
-        raise ValueError(f"{found.count()} findings: " + "; ".join(f"{r['path']}: {r['code']} {r['message'] or ''}".strip() for r in wrong))
+    if not found.isEmpty():
+        raise InvalidCatalogue(found)
     return {name: df.drop("_file", "_unknown", "_corrupt") for name, df in tables.items()}
 
 

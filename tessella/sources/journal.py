@@ -33,18 +33,30 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*(ordered(F.col(f.name), f.dataType).alias(f.name) for f in columns))).alias("json"))
 
 
+_VERSIONS = "version string, number long, at long"
+
+
+def _versions(spark: SparkSession, base: str) -> DataFrame:
+    """Versions that were published, with the order in which they were; none if nothing was."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/versions")
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(_VERSIONS).json(f"{base}/versions") if there else spark.createDataFrame([], _VERSIONS)
+
+
 def publish(df: DataFrame, path: str, version: str) -> str:
-    """Writes a version, then lets the pointer follow: readers see the old version until the new one is whole."""
-    target = catalog.write(df, path, version)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/versions")
+    """Writes a version, then lets the pointer follow: readers see the old version until the new one is whole. Versions are numbered as
+    they are published; of two that writers publish at once, that with the later clock (microseconds) counts."""
+    target, spark, base = catalog.write(df, path, version), df.sparkSession, path.rstrip("/")
+    number = (_versions(spark, base).agg(F.max("number")).first()[0] or 0) + 1
+    row = spark.range(1).select(F.lit(version).alias("version"), F.lit(number).cast("long").alias("number"), F.unix_micros(F.current_timestamp()).alias("at"))
+    row.coalesce(1).write.mode("append").json(f"{base}/versions")
     return target
 
 
 def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The version that was published last."""
     base = path.rstrip("/")
-    last = spark.read.schema("version string").json(f"{base}/versions").select("version", F.col("_metadata.file_modification_time").alias("at"))
-    version = last.agg(F.max_by("version", F.struct("at", "version"))).first()[0]
+    version = _versions(spark, base).agg(F.max_by("version", F.struct("number", "at", "version"))).first()[0]
     return spark.read.schema(schema).json(f"{base}/version={version}")
 
 
