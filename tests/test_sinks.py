@@ -19,7 +19,7 @@ def test_a_calendar_file_is_written_as_it_is(spark):
     a, b = told["u=a"], told["u=b"]
     lines = a.rstrip("\n").split("\r\n")
     assert "DTSTART:20270701T180000Z" in lines and lines[0] == "BEGIN:VCALENDAR" and all(len(x.encode()) <= 75 for x in lines)
-    assert "".join(x[1:] if x.startswith(" ") else "\n" + x for x in lines).split("\nSUMMARY:")[1].split("\n")[0] == "Música\\, de\; cámara " * 6
+    assert "".join(x[1:] if x.startswith(" ") else "\n" + x for x in lines).split("\nSUMMARY:")[1].split("\n")[0] == "Música\\, de\\; cámara " * 6
     assert "DTSTART;VALUE=DATE:20270101\r\n" in b and "STATUS:CANCELLED\r\n" in b and "LOCATION" not in b
 
 
