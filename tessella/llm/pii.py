@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -40,8 +41,8 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", Integ
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
 #: Pairs of an entity and a term that a task holds at once.
 PAIRS = 1 << 19
-#: Tasks that count given terms, for each core of the cluster.
-TASKS_A_CORE = 2
+#: Terms whose counts travel together, and tasks whose counts are added up first.
+CHUNK_TERMS, TASKS_A_GROUP = 1024, 128
 #: Bits of a text's hash in each of three sums, which stay below 64 bits for as many documents as 32 bits count.
 SUM_BITS = 31
 
@@ -254,35 +255,66 @@ def _places(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "k1 long, k2 long, term long, start int, end int, shape string").distinct()
 
 
+def _once_a_document(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of the words of some texts."""
+    data, starts = w.text_bytes(part.column("text"))
+    runs = w.Runs(data, starts, w.BREAK)
+    return runs.doc, runs.hash.view(np.int64)
+
+
 def _document_counts(texts: DataFrame, terms: np.ndarray | None) -> DataFrame:
     """(term, docs): in how many documents each term (of ``terms``, sorted, if given) occurs; summed in each task first."""
+    if terms is not None:
+        return _counts_of(texts, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0 if terms is None else len(terms), np.int64)
         for batch in batches:
             for part in w.slices(batch, "text"):
-                data, starts = w.text_bytes(part.column("text"))
-                runs = w.Runs(data, starts, w.BREAK)
-                doc, key = runs.doc, runs.hash.view(np.int64)
-                if terms is not None:
-                    slot = np.minimum(np.searchsorted(terms, key), max(0, len(terms) - 1))
-                    hit = terms[slot] == key if len(terms) else np.zeros(len(key), bool)
-                    pairs = np.unique(doc[hit] * len(terms) + slot[hit])
-                    total += np.bincount(pairs % max(1, len(terms)), minlength=len(terms))
-                    continue
+                doc, key = _once_a_document(part)
                 order = np.lexsort((key, doc))
                 doc, key = doc[order], key[order]
                 once = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
                 seen, counts = np.unique(key[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts.astype(np.int64))], ["term", "docs"])
-        if terms is not None:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(total[some])], ["term", "docs"])
-
-    sent = texts.select("text")
-    if terms is not None:  # each task tells of most of the terms once, so there are as many tasks as cores can run, whatever the number of files
-        sent = sent.coalesce(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
-    return sent.mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+
+    return texts.select("text").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+
+
+def _counts_of(texts: DataFrame, terms: np.ndarray) -> DataFrame:
+    """Counts of given terms. A task tells of most of them, so its counts travel as a vector for each ``CHUNK_TERMS`` of them, not as a row a term; vectors are
+    added up by ``TASKS_A_GROUP`` tasks, then all, so no group is larger than that many vectors."""
+    many = -(-len(terms) // CHUNK_TERMS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(many * CHUNK_TERMS, np.int64)
+        for batch in batches:
+            for part in w.slices(batch, "text"):
+                doc, key = _once_a_document(part)
+                slot = np.minimum(np.searchsorted(terms, key), max(0, len(terms) - 1))
+                hit = terms[slot] == key if len(terms) else np.zeros(len(key), bool)
+                pairs = np.unique(doc[hit] * len(terms) + slot[hit])
+                total += np.bincount(pairs % max(1, len(terms)), minlength=len(total))
+        rows = [(k, v.tobytes()) for k, v in enumerate(total.reshape(many, CHUNK_TERMS)) if v.any()]
+        group = TaskContext.get().partitionId() // TASKS_A_GROUP
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([group] * len(rows), pa.int32()), pa.array([v for _, v in rows], pa.binary())], ["chunk", "part", "sums"])
+
+    def added(table: pa.Table) -> np.ndarray:
+        total = np.zeros(CHUNK_TERMS, np.int64)
+        for v in table.column("sums"):
+            total += np.frombuffer(v.as_buffer(), np.int64)
+        return total
+
+    def some(table: pa.Table) -> pa.Table:
+        return pa.table([table.column("chunk")[:1], table.column("part")[:1], pa.array([added(table).tobytes()], pa.binary())], ["chunk", "part", "sums"])
+
+    def all_(table: pa.Table) -> pa.Table:
+        total, chunk = added(table), table.column("chunk")[0].as_py()
+        there = np.flatnonzero(total)
+        return pa.table([pa.array(terms[chunk * CHUNK_TERMS + there]), pa.array(total[there])], ["term", "docs"])
+
+    vectors = texts.select("text").mapInArrow(run, "chunk int, part int, sums binary")
+    vectors = vectors.groupBy("chunk", "part").applyInArrow(some, "chunk int, part int, sums binary")
+    return vectors.groupBy("chunk").applyInArrow(all_, "term long, docs long")
 
 
 def disclosing_terms(texts: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
