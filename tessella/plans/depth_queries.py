@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import html
-from tessella.operators import changes, coverage, programme, venues
+from tessella.operators import changes, coverage, filters, programme, venues
 from tessella.sources.storage import table
 
 from .data_queries import STRIPPED
@@ -148,3 +148,30 @@ SELECT page_id, place, field, CASE WHEN field = 'performer' AND kind = 'role' TH
 CASE WHEN field = 'work' THEN composer WHEN field = 'performer' AND kind = 'role' THEN trim(regexp_extract(line, '^(.*?)\s*[,:(]\s*([^,:()]*)\)?\s*$', 2)) END AS detail FROM fl WHERE field IS NOT NULL""")
 def programme_patches(spark: SparkSession, sf: str) -> DataFrame:
     return programme.patches(_segments(spark, sf), "page_id", "place", "line")
+
+
+FITS = """WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS pr, o_orderstatus AS st, o_totalprice AS price, c_mktsegment AS seg, c_acctbal AS money, c_name, n_name, n_nationkey, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT o_orderkey, (money <= 5000 OR day >= DATE '1998-01-01') AND CASE seg WHEN 'BUILDING' THEN n_regionkey < 2 WHEN 'AUTOMOBILE' THEN pr = '1-URGENT' WHEN 'MACHINERY' THEN price > 200000 WHEN 'HOUSEHOLD' THEN true ELSE contains(lower(pr), 'low') AND st = 'F' END AS fits,
+CASE WHEN seg = 'HOUSEHOLD' THEN replace(lower(n_name), '_', '-') END AS venue FROM t"""
+
+
+@query(FITS)
+def slim_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each order, as a slim row, passes its customer's filters, which come from an address; rooms in them become their places."""
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    segment, slug = F.col("c_mktsegment"), F.replace(F.lower("n_name"), F.lit("_"), F.lit("-"))
+    room = F.concat(F.lit("room-"), F.col("n_nationkey").cast("string"))
+    own = F.when(segment == "BUILDING", "area=madrid").when(segment == "AUTOMOBILE", "access=free&kind=none").when(segment == "MACHINERY", "format=organ&format=opera").when(segment == "HOUSEHOLD", F.concat(F.lit("venue="), room, F.lit("&q=customer+"))).otherwise("composer=LOW&era=early")
+    asked = F.concat(F.lit("?"), F.when(F.col("c_acctbal") > 5000, "from=1998-01-01&").otherwise("from=never&"), own)
+    none = F.array().cast("array<string>")
+    resolved = rows.select(
+        F.col("o_orderkey").alias("occurrence"), F.to_date("o_orderdate").alias("date"), F.lit(None).cast("string").alias("time"), F.when(F.col("o_orderpriority") == "1-URGENT", "free").otherwise("paid").alias("access"),
+        F.when(F.col("o_totalprice") > 200000, F.array(F.lit("organ"), F.lit("lied"))).otherwise(F.array(F.lit("opera"))).alias("formats"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit("early"))).otherwise(none).alias("eras"), F.lit("established").alias("kind"),
+        F.when(F.col("n_regionkey") < 2, "madrid").otherwise("nearby").alias("area"), F.col("n_name").alias("municipality"), slug.alias("venue_slug"), F.array(slug, room).alias("venue_keys"), F.col("c_name").alias("title"), F.col("n_name").alias("root_name"), F.lit(None).cast("string").alias("space_name"),
+        F.col("n_name").alias("venue_name"), F.lit(None).cast("string").alias("series_name"), none.alias("organizer_names"), none.alias("performer_names"), F.array("o_orderpriority").alias("composer_names"), none.alias("work_titles"), none.alias("work_composers"), asked.alias("asked"),
+    )
+    slim = filters.slim(resolved).join(resolved.select("occurrence", filters.parsed(F.col("asked")).alias("f")), "occurrence").withColumn("venue", F.element_at("f", F.lit("venue")))
+    places = n.select(F.concat(F.lit("room-"), F.col("n_nationkey").cast("string")).alias("slug"), F.col("n_nationkey").cast("string").alias("id"), slug.alias("root_slug"))
+    out = filters.canonical_venue(slim, "venue", places)
+    return out.select(F.col("occurrence").alias("o_orderkey"), filters.fits(F.col("f")).alias("fits"), "venue")
