@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessella.sources.storage import cut
 
 Verdict = Callable[[Column, Column], Column]
+Prepare = Callable[[Column], Column]
 
 
 def _sides(key: str) -> list[Column]:
@@ -33,16 +34,20 @@ def _others(lo: Column, hi: Column, group: Column) -> Column:
     return ~lo.eqNullSafe(group) | ~hi.eqNullSafe(group)
 
 
-def kinds_met(rows: DataFrame, block: Sequence[str], group: str, facts: Sequence[str], verdict: Verdict, decisive: str = "conflict", witnesses: int = 8, tile_rows: int = 512) -> DataFrame:
+def kinds_met(rows: DataFrame, block: Sequence[str], group: str, facts: Sequence[str], verdict: Verdict, decisive: str = "conflict", witnesses: int = 8, tile_rows: int = 512, prepare: Prepare | None = None) -> DataFrame:
     """(block, group, kinds): the verdicts that rows of a group get with rows of other groups in their block, as a sorted array.
 
     ``verdict`` takes two structs of ``facts`` and is symmetric. Where ``decisive`` is among the kinds others may be missing; they are
-    complete where it isn't. Blocks and groups that are null take part in nothing; a block of one group gives no row.
+    complete where it isn't. Blocks and groups that are null take part in nothing; a block of one group gives no row. With ``prepare`` the
+    verdict takes what that makes of the structs, once for each distinct one.
     """
     b = list(block)
     known = rows.select(*b, F.col(group).alias("g"), F.struct(*facts).alias("f")).dropna(subset=[*b, "g"])
-    known = known.select(*b, "g", "f", *_sides("f"))
+    known = cut(known.select(*b, "g", "f", *_sides("f")))  # asked for again at the end
     sig = known.groupBy(*b, "h1", "h2").agg(F.first("f").alias("f"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    known = known.drop("f")
+    if prepare is not None:
+        sig = cut(sig.withColumn("f", prepare(F.col("f"))))
     # witnesses: of each hash bucket of a block the facts with the least hash
     bucket = sig.withColumn("_w", F.pmod("h2", F.lit(witnesses)))
     least = bucket.groupBy(*b, "_w").agg(F.min_by(F.struct("h1", "h2", "f", "lo", "hi"), F.struct("h1", "h2")).alias("w"), F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -77,26 +82,26 @@ def kinds_met(rows: DataFrame, block: Sequence[str], group: str, facts: Sequence
     return holders.groupBy(*b, F.col("g").alias(group)).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def slot_collisions(rows: DataFrame, slot: Sequence[str], ident: str, facts: Sequence[str], verdict: Verdict) -> DataFrame:
+def slot_collisions(rows: DataFrame, slot: Sequence[str], ident: str, facts: Sequence[str], verdict: Verdict, prepare: Prepare | None = None) -> DataFrame:
     """(slot, n, first, code) of slots that several idents hold: schedule-conflict if any two conflict, else schedule-duplicate if any
     two match, else schedule-review."""
-    met = kinds_met(rows, slot, ident, facts, verdict)
+    met = kinds_met(rows, slot, ident, facts, verdict, prepare=prepare)
     has = lambda kind: F.max(F.array_contains("kinds", kind).cast("int")) == 1
     code = F.when(has("conflict"), "schedule-conflict").when(has("match"), "schedule-duplicate").otherwise("schedule-review")
     return met.groupBy(*slot).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("first"), code.alias("code"))
 
 
-def held(rows: DataFrame, slot: Sequence[str], group: str, facts: Sequence[str], verdict: Verdict) -> DataFrame:
+def held(rows: DataFrame, slot: Sequence[str], group: str, facts: Sequence[str], verdict: Verdict, prepare: Prepare | None = None) -> DataFrame:
     """(group, kind): groups that share a slot with a group they contradict (conflict), or one that nothing is known to tell them from (review)."""
-    met = kinds_met(rows, slot, group, facts, verdict)
+    met = kinds_met(rows, slot, group, facts, verdict, prepare=prepare)
     has = lambda kind: F.max(F.array_contains("kinds", kind).cast("int")) == 1
     out = met.groupBy(group).agg(F.when(has("conflict"), "conflict").when(has("insufficient"), "review").alias("kind"))
     return out.where("kind is not null")
 
 
-def contradicted(rows: DataFrame, group: str, source: Sequence[str], ident: str, facts: Sequence[str], verdict: Verdict) -> DataFrame:
+def contradicted(rows: DataFrame, group: str, source: Sequence[str], ident: str, facts: Sequence[str], verdict: Verdict, prepare: Prepare | None = None) -> DataFrame:
     """(group, reason): groups with two members of one source identity that are incompatible, or need review (the first stands)."""
-    met = kinds_met(rows, [group, *source], ident, facts, verdict, decisive="incompatible")
+    met = kinds_met(rows, [group, *source], ident, facts, verdict, decisive="incompatible", prepare=prepare)
     has = lambda kind: F.max(F.array_contains("kinds", kind).cast("int")) == 1
     reason = F.when(has("incompatible"), "source-identity-conflict").when(has("review"), "source-identity-review")
     return met.groupBy(group).agg(reason.alias("reason")).where("reason is not null")

@@ -36,8 +36,11 @@ def told(spark: SparkSession, sf: str) -> DataFrame:
     return facts.join(where, "k").withColumn("title", text.fold("title"))
 
 
-def musical(a: Column, b: Column) -> Column:
-    return identity.musical_verdict({c: a[c] for c in FACTS}, {c: b[c] for c in FACTS})
+def ready(facts: Column) -> Column:
+    return identity.prepared({c: facts[c] for c in FACTS})
+
+
+musical = identity.prepared_verdict
 
 
 TOLD = """WITH lines AS (SELECT l_orderkey AS k, l_returnflag, l_linestatus, l_discount, l_tax, struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey, d := l_shipdate, m := p_name) AS place_of,
@@ -70,13 +73,13 @@ PAIRS = f"""{TOLD}, pairs AS (SELECT a.k AS a, b.k AS b, a.place, a.week, a.cust
 @query(f"""{PAIRS} SELECT place, strftime(week, '%Y-%m-%d') AS week, count(DISTINCT a) AS n, min(a) AS first, CASE WHEN bool_or(verdict = 'conflict') THEN 'schedule-conflict' WHEN bool_or(verdict = 'match') THEN 'schedule-duplicate' ELSE 'schedule-review' END AS code
 FROM music GROUP BY place, week""")
 def slot_collision_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    out = verdicts.slot_collisions(told(spark, sf), ["place", "week"], "k", FACTS, musical)
+    out = verdicts.slot_collisions(told(spark, sf), ["place", "week"], "k", FACTS, musical, ready)
     return out.withColumn("week", F.date_format("week", "yyyy-MM-dd"))
 
 
 @query(f"""{PAIRS} SELECT a AS k, CASE WHEN bool_or(verdict = 'conflict') THEN 'conflict' ELSE 'review' END AS kind FROM music WHERE verdict IN ('conflict', 'insufficient') GROUP BY a""")
 def slot_hold_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return verdicts.held(told(spark, sf), ["place", "week"], "k", FACTS, musical)
+    return verdicts.held(told(spark, sf), ["place", "week"], "k", FACTS, musical, ready)
 
 
 CUSTOMER_PAIRS = f"""{TOLD}, pairs AS (SELECT a.k AS a, b.k AS b, a.customer, a AS fa, b AS fb FROM told a JOIN told b ON a.customer = b.customer AND year(a.week) = year(b.week) AND a.k <> b.k), {music_sql('pairs')}"""
@@ -90,7 +93,7 @@ def group_identity_conflicts(spark: SparkSession, sf: str) -> DataFrame:
         kind = musical(a, b)
         return F.when(kind == "conflict", "incompatible").when(kind == "insufficient", "review").otherwise("compatible")
 
-    return verdicts.contradicted(told(spark, sf).withColumn("year", F.year("week")), "customer", ["year"], "k", FACTS, stated)
+    return verdicts.contradicted(told(spark, sf).withColumn("year", F.year("week")), "customer", ["year"], "k", FACTS, stated, ready)
 
 
 NEXT = f"""{TOLD}, pairs AS (SELECT a.k AS a, b.k AS b, a AS fa, b AS fb FROM (SELECT k, lead(k) OVER (PARTITION BY place, week ORDER BY k) AS next FROM told) n JOIN told a ON a.k = n.k JOIN told b ON b.k = n.next), {music_sql('pairs')}"""
@@ -99,13 +102,13 @@ NEXT = f"""{TOLD}, pairs AS (SELECT a.k AS a, b.k AS b, a AS fa, b AS fb FROM (S
 @query(f"""{NEXT} SELECT a, b, verdict, same_works, same_performers, same_composers, same_title FROM music""")
 def musical_branches(spark: SparkSession, sf: str) -> DataFrame:
     """Each order and the next one of its place and week: the verdict and what it rests on, for all its branches."""
-    t = told(spark, sf).select("place", "week", "k", F.struct(*FACTS).alias("f"))
+    t = told(spark, sf).select("place", "week", "k", F.struct(*FACTS).alias("f")).repartition("place", "week").withColumn("f", ready(F.col("f")))
     nxt = Window.partitionBy("place", "week").orderBy("k")
-    pairs = t.select(F.col("k").alias("a"), F.lead("k").over(nxt).alias("b"), F.col("f").alias("fa"), F.lead("f").over(nxt).alias("fb")).where("b is not null")
-    a, b = F.col("fa"), F.col("fb")
+    pairs = t.select(F.col("k").alias("a"), F.col("f").alias("fa"), F.lead(F.struct("k", "f")).over(nxt).alias("next")).where("next is not null")
+    a, b = F.col("fa"), F.col("next.f")
     return pairs.select(
-        "a", "b", musical(a, b).alias("verdict"), identity.any_agree(a["works"], b["works"], identity.works_agree).alias("same_works"), identity.any_agree(a["performers"], b["performers"]).alias("same_performers"),
-        identity.any_agree(a["composers"], b["composers"]).alias("same_composers"), identity.titles_agree(a["title"], b["title"]).alias("same_title"),
+        "a", F.col("next.k").alias("b"), musical(a, b).alias("verdict"), identity.same_works(a, b).alias("same_works"), identity.same_names(a, b, "performers").alias("same_performers"),
+        identity.same_names(a, b, "composers").alias("same_composers"), identity.same_title(a, b).alias("same_title"),
     )
 
 
