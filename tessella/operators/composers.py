@@ -1,7 +1,7 @@
 """Composers by a dictionary that the user gives: whom a name means, in which stage, and what a catalogue has twice.
 
 ``dictionary``: (alias, name), with any further columns such as eras. A name is tried as it is, without spaces, without years, without words of attribution, and with surname and given names in turn;
-all tries of all rows meet the dictionary in one join, and the first in that order that meets an entry counts.
+all tries of all distinct names meet the dictionary in one join, and the first in that order that meets an entry counts.
 """
 
 from __future__ import annotations
@@ -47,13 +47,13 @@ def entries(dictionary: DataFrame, alias: str, name: str) -> DataFrame:
 
 def identified(rows: DataFrame, id_cols: Sequence[str], name: str, dictionary: DataFrame, alias: str, canonical: str) -> DataFrame:
     """rows with ``composer`` (the dictionary's name, or null), ``stage`` and ``identity`` (the composer, else the folded name without its label)."""
-    ids = list(id_cols)
-    clean = unlabelled(F.col(name))
-    asked = rows.select(*ids, F.explode(_tries(clean)).alias("t")).select(*ids, "t.stage", "t.key")
-    best = asked.join(entries(dictionary, alias, canonical).withColumnRenamed("name", "_name"), "key").groupBy(*ids).agg(F.min(F.struct("stage", "_name")).alias("_b"))
-    out = rows.join(best, ids, "left")
+    # spellings recur in very many rows: each is folded and looked up once
+    names = rows.select(F.col(name).alias("_n")).where("_n is not null").distinct().withColumn("_clean", unlabelled(F.col("_n")))
+    asked = names.select("_n", F.explode(_tries(F.col("_clean"))).alias("t")).select("_n", "t.stage", "t.key")
+    best = asked.join(entries(dictionary, alias, canonical).withColumnRenamed("name", "_name"), "key").groupBy("_n").agg(F.min(F.struct("stage", "_name")).alias("_b"))
     stage = F.element_at(F.array(*map(F.lit, STAGES)), F.col("_b.stage") + 1)
-    return out.withColumns({"composer": F.col("_b._name"), "stage": F.when(F.col("_b").isNotNull(), stage), "identity": F.coalesce(F.col("_b._name"), fold(clean))}).drop("_b")
+    known = names.join(best, "_n", "left").select("_n", F.col("_b._name").alias("composer"), F.when(F.col("_b").isNotNull(), stage).alias("stage"), F.coalesce(F.col("_b._name"), fold(F.col("_clean"))).alias("identity"))
+    return rows.join(known, F.col(name) == F.col("_n"), "left").drop("_n")
 
 
 def repeated(identities: DataFrame, event: str, order: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessella.operators import identity, verdicts
+from tessella.operators import composers, identity, verdicts
 
 NAMES = ["ana ruiz", "a ruiz", "anaruiz", "luis gil", "l gil", "maria ruiz", "orquesta de camara", "camara", "orquesta de camara de madrid", "trio", "filarmonica", "la filarmonica", "", "z ruizo", "ana ruizo"]
 WORKS = ["sonata op 3", "sonata", "sonata k 5", "noche de verano", "noche de verano en el parque", "noche", "misa op 3", "verano bwv 12a", "op 3", ""]
@@ -47,3 +47,15 @@ def test_blocks_judge_prepared_facts(spark):
     plain = verdicts.held(df, ["b"], "k", FACTS, spelled)
     ready = verdicts.held(df, ["b"], "k", FACTS, identity.prepared_verdict, lambda f: identity.prepared({c: f[c] for c in FACTS}))
     assert sorted(map(tuple, ready.collect())) == sorted(map(tuple, plain.collect())) != []
+
+
+def test_composers_are_looked_up_once_a_spelling(spark):
+    """Rows that repeat a few spellings: each row is told by its own, rows of equal ids too."""
+    names = ["Ana Ruiz", "Música de Ana Ruiz", "Luis Gil", None]
+    data = spark.createDataFrame([(i // 2, names[i % 4]) for i in range(400)], "k int, n string")
+    known = spark.createDataFrame([("Ana Ruiz", "RUIZ, Ana")], "alias string, name string")
+    got = composers.identified(data, ["k"], "n", known, "alias", "name")
+    want = {"Ana Ruiz": ("RUIZ, Ana", "alias", "RUIZ, Ana"), "Música de Ana Ruiz": ("RUIZ, Ana", "alias", "RUIZ, Ana"), "Luis Gil": (None, None, "luis gil"), None: (None, None, None)}
+    told = got.collect()
+    assert len(told) == 400
+    assert all((r.composer, r.stage, r.identity) == want[r.n] for r in told)
