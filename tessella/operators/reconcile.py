@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.sources.storage import dealt
+
 from .places import unique_names
 
 #: Why an observation makes no event.
@@ -90,59 +92,81 @@ def fold_proposals(rows: DataFrame, key: str, order: Sequence[str], scalars: Seq
     return rows.groupBy(key).agg(*(last(c, F.coalesce(F.col(c) != "", F.lit(False))) for c in scalars), *(last(c, F.size(c) > 0) for c in lists), F.coalesce(known, F.lit("unknown")).alias(access))
 
 
-def merge_occurrences(published: DataFrame, incoming: DataFrame, key: str, date: str, time: str, ident: str) -> DataFrame:
+def sides(published: DataFrame, incoming: DataFrame, key: str, date: str, time: str, ident: str) -> DataFrame:
+    """Sessions of both sides in one frame; ``_new`` is 1 for incoming ones, which have no ident."""
+    p = published.select(key, ident, date, time, F.lit(0).alias("_new"))
+    return p.unionByName(incoming.select(key, F.lit(None).cast(published.schema[ident].dataType).alias(ident), date, time, F.lit(1).alias("_new")))
+
+
+def matched(rows: DataFrame, key: str, date: str, time: str, ident: str, parts: int = 0) -> DataFrame:
+    """Distinct rows of ``sides`` with ``change`` (null: the row is none of the merged sessions) and ``_told``, the time after merging.
+
+    Rows are dealt by event and day once and sorted once; all questions are windows over that order.
+    """
+    day, at = Window.partitionBy(key, date), Window.partitionBy(key, date, time)
+    order = Window.partitionBy(key, date).orderBy(time, "_new", ident)
+    this = F.struct(time, "_new", ident)
+    rows = dealt(rows, parts, key, date).withColumn("_same", F.lag(this).over(order).eqNullSafe(this)).where("not _same").drop("_same")
+    old, new = F.col("_new") == 0, F.col("_new") == 1
+    rows = rows.withColumns({
+        "_p": F.sum(1 - F.col("_new")).over(day), "_n": F.sum("_new").over(day), "_p_time": F.min(F.when(old, F.col(time))).over(day), "_n_time": F.min(F.when(new, F.col(time))).over(day),
+        "_p_at": F.min("_new").over(at) == 0, "_n_at": F.max("_new").over(at) == 1,
+    })
+    one = (F.col("_p") == 1) & (F.col("_n") == 1)
+    placed, known = F.col(key).isNotNull() & F.col(date).isNotNull(), F.col(time).isNotNull()
+    vague = F.when(one & F.col("_n_time").isNotNull(), "refined").when(one, "exact").otherwise("kept")
+    gone = (known & F.col("_p_at")) | (one & (F.col("_p_time").isNull() | ~known))
+    change = F.when(old & known, F.when(F.col("_n_at") & placed, "exact").otherwise("kept")).when(placed & old, vague).when(placed & ~gone, "new")
+    told = F.when(old & ~known, F.when(one, F.col("_n_time"))).otherwise(F.col(time))
+    return rows.withColumns({"change": change, "_told": told}).drop("_p", "_n", "_p_time", "_n_time", "_p_at", "_n_at")
+
+
+def merge_occurrences(published: DataFrame, incoming: DataFrame, key: str, date: str, time: str, ident: str, parts: int = 0) -> DataFrame:
     """(key, ident, date, time, change) of every session after merging.
 
     Exact date and time first; then a published session of unknown time takes the time of the only incoming one that day;
     an incoming one of unknown time is what the day's only published one is; what is left over is kept, what is new has no ident yet.
     """
-    p = published.select(key, ident, date, time).distinct()
-    n = incoming.select(key, date, time).distinct()
-    day = [key, date]
-    per_p = p.groupBy(*day).agg(F.count(F.lit(1)).alias("p_n"), F.min(ident).alias("p_ident"), F.min(time).alias("p_time"))
-    per_n = n.groupBy(*day).agg(F.count(F.lit(1)).alias("n_n"), F.min(time).alias("n_time"))
-    exact = p.join(n.withColumn("there", F.lit(True)), [*day, time], "left").where(F.col(time).isNotNull())
-    known = exact.select(key, ident, date, time, F.when(F.col("there"), "exact").otherwise("kept").alias("change"))
-    vague = p.where(F.col(time).isNull()).join(per_p.select(*day, "p_n"), day).join(per_n, day, "left")
-    takes = (F.col("p_n") == 1) & (F.col("n_n") == 1)
-    refined = vague.select(key, ident, date, F.when(takes, F.col("n_time")).alias(time), F.when(takes & F.col("n_time").isNotNull(), "refined").when(takes, "exact").otherwise("kept").alias("change"))
-    left = n.join(p.where(F.col(time).isNotNull()), [*day, time], "left_anti").join(per_p, day, "left").join(per_n.select(*day, "n_n"), day)
-    absorbed = (F.col("p_n") == 1) & (F.col("n_n") == 1) & (F.col("p_time").isNull() | F.col(time).isNull())
-    fresh = left.where(~F.coalesce(absorbed, F.lit(False))).select(key, F.lit(None).cast(p.schema[ident].dataType).alias(ident), date, time, F.lit("new").alias("change"))
-    return known.unionByName(refined).unionByName(fresh)
-
-
-def calendar_plan(published: DataFrame, proposed: DataFrame, changes: DataFrame, scopes: DataFrame, key: str, ident: str, date: str, today: str) -> DataFrame:
+    rows = matched(sides(published, incoming, key, date, time, ident), key, date, time, ident, parts).where("change is not null")
+    return rows.select(key, ident, date, F.col("_told").alias(time), "change")
+
+
+def calendar_plan(published: DataFrame, proposed: DataFrame, changes: DataFrame, scopes: DataFrame, key: str, ident: str, date: str, today: str, parts: int = 0) -> DataFrame:
     """(key, ident, date, action) by evidence: a key's sessions as its calendar says, or "review" and no change.
 
     ``changes``: (key, from, to) moves that the source states; ``scopes``: (key, first, last) of ranges it vouches for. A move is applied
     if one published session is at its origin and one proposed at its destination; moves of past sessions and moves already made are
     no moves; two moves of one origin or to one destination make the key ask for review. Then equal dates are matched; the rest of
     the proposed get a new ident; the rest of the published are dropped only if they are to come and inside a scope.
+
+    Scopes (a), published (p) and proposed (q) sessions and moves are dealt by key once; a move is asked about at its origin (f), then at its destination (t).
     """
     now = F.lit(today).cast("date")
-    at = published.groupBy(key, date).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias(ident))
-    to = proposed.groupBy(key, date).agg(F.count(F.lit(1)).alias("n"))
-    moves = changes.select(key, "from", "to").distinct().where(F.col("from") != F.col("to"))
-    moves = moves.join(at.select(key, F.col(date).alias("from"), F.col("n").alias("origins"), ident), [key, "from"], "left")
-    moves = moves.join(to.select(key, F.col(date).alias("to"), F.col("n").alias("targets")), [key, "to"], "left")
-    moves = moves.where((F.col("from") >= now) & F.col("origins").isNotNull())  # past ones stay, made ones are made
-    clash = [F.count(F.lit(1)).over(Window.partitionBy(key, c)) > 1 for c in ("from", "to")]
-    moves = moves.withColumn("odd", clash[0] | clash[1] | (F.col("origins") > 1) | (F.coalesce("targets", F.lit(0)) != 1))
-    several = at.where("n > 1").select(key).union(to.where("n > 1").select(key))
-    review = moves.where("odd").select(key).union(several).distinct().withColumn("review", F.lit(True))
-    made = moves.where(~F.col("odd")).select(key, ident, F.col("from").alias("old"), F.col("to").alias("new"))
-    p = published.select(key, ident, date).join(review, key, "left").join(made.select(key, ident, "new"), [key, ident], "left")
-    q = proposed.select(key, F.col(date)).distinct().withColumn("proposed", F.lit(True))
-    p = p.join(q, [key, date], "left")
-    inside = scopes.select(key, "first", "last")
-    scoped = p.alias("p").join(inside.alias("s"), (F.col(f"p.{key}") == F.col(f"s.{key}")) & F.col(f"p.{date}").between(F.col("s.first"), F.col("s.last")), "left_semi").select(key, ident).withColumn("scoped", F.lit(True)).distinct()
-    p = p.join(scoped, [key, ident], "left")
-    action = F.when(F.col("review"), "review").when(F.col("new").isNotNull(), "moved").when(F.col("proposed"), "kept").when(F.col("scoped") & (F.col(date) >= now), "dropped").otherwise("kept")
-    stay = p.select(key, ident, F.coalesce(F.when(F.col("review").isNull(), F.col("new")), F.col(date)).alias(date), action.alias("action"))
-    taken = at.select(key, date).union(made.select(key, F.col("new").alias(date))).distinct()
-    fresh = q.select(key, date).join(taken, [key, date], "left_anti").join(review, key, "left_anti")
-    return stay.unionByName(fresh.select(key, F.lit(None).cast(published.schema[ident].dataType).alias(ident), date, F.lit("new").alias("action")))
+    none = F.lit(None).cast(published.schema[ident].dataType)
+    row = lambda df, on, other, kind, told: df.select(key, F.col(on).alias("_day"), other.cast("date").alias("_other"), told.alias("_ident"), F.lit(kind).alias("_kind"))
+    moves = changes.where(F.col("from") != F.col("to"))
+    rows = row(scopes, "first", F.col("last"), "a", none).unionByName(row(published, date, F.lit(None), "p", F.col(ident))).unionByName(row(proposed, date, F.lit(None), "q", none)).unionByName(row(moves, "from", F.col("to"), "f", none))
+    is_ = lambda kind: F.col("_kind") == kind
+    count = lambda ok, over: F.sum(F.when(ok, 1).otherwise(0)).over(over)
+    day, origin = Window.partitionBy(key, "_day"), Window.partitionBy(key, "_from")
+    order = Window.partitionBy(key).orderBy("_day", "_kind", "_other")
+    # a scope comes before all else of its first day, and equal moves stand together
+    rows = dealt(rows, parts, key).withColumns({"_until": F.max(F.when(is_("a"), F.col("_other"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_before": F.lag(F.struct("_day", "_kind", "_other")).over(order)})
+    rows = rows.withColumn("_again", F.coalesce(F.col("_before") == F.struct("_day", "_kind", "_other"), F.lit(False))).where(~is_("a") & ~(is_("f") & F.col("_again"))).drop("_before")
+    rows = rows.withColumns({"_p": count(is_("p"), day), "_q": count(is_("q"), day), "_f": count(is_("f"), day)})
+    rows = rows.where(~is_("f") | ((F.col("_day") >= now) & (F.col("_p") > 0)))  # past ones stay, made ones are made
+    rows = rows.withColumns({"_from": F.col("_day"), "_several": ~is_("f") & ((F.col("_p") > 1) | (F.col("_q") > 1)), "_odd": is_("f") & ((F.col("_f") > 1) | (F.col("_p") > 1))})
+    rows = rows.withColumns({"_day": F.when(is_("f"), F.col("_other")).otherwise(F.col("_day")), "_kind": F.when(is_("f"), "t").otherwise(F.col("_kind"))})
+    rows = rows.withColumns({"_targets": count(is_("q"), day), "_t": count(is_("t"), day)})
+    rows = rows.withColumn("_odd", is_("t") & (F.col("_odd") | (F.col("_t") > 1) | (F.col("_targets") != 1)))
+    rows = rows.withColumns({"_made": F.coalesce(F.max(is_("t") & ~F.col("_odd")).over(day), F.lit(False)), "_review": F.max(F.col("_odd") | F.col("_several")).over(Window.partitionBy(key)) & F.col(key).isNotNull()})
+    rows = rows.withColumn("_new", F.max(F.when(is_("t") & ~F.col("_odd"), F.col("_day"))).over(origin))
+    scoped = F.coalesce((F.col("_until") >= F.col("_day")) & (F.col("_day") >= now), F.lit(False))
+    kept = F.when(F.col("_review"), "review").when(F.col("_new").isNotNull(), "moved").when((F.col("_q") > 0) & F.col("_day").isNotNull(), "kept").when(scoped, "dropped").otherwise("kept")
+    taken = F.col("_made") | ((F.col("_p") > 0) & F.col("_day").isNotNull())
+    rows = rows.where(is_("p") | (is_("q") & ~F.col("_again") & ~taken & ~F.col("_review")))
+    moved = F.when(is_("p") & ~F.col("_review"), F.col("_new"))
+    return rows.select(key, F.col("_ident").alias(ident), F.coalesce(moved, F.col("_day")).alias(date), F.when(is_("p"), kept).otherwise("new").alias("action"))
 
 
 def place_to_publish(published: Column, incoming: Column, relation: Column) -> Column:

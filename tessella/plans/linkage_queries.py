@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tessella.functions import text
 from tessella.operators import accounting, identity, linkage, observe, reconcile
 from tessella.operators.components import components
-from tessella.sources.storage import table
+from tessella.sources.storage import parts_for, table
 
 from .registry import query
 
@@ -240,7 +240,7 @@ UNION ALL SELECT p.k, ident, p.day, CASE WHEN p_n = 1 AND n_n = 1 THEN n_clock E
 UNION ALL SELECT n.k, NULL, n.day, n.clock, 'new' FROM n LEFT JOIN pd USING (k, day) JOIN nd USING (k, day) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = n.k AND p.day = n.day AND p.clock = n.clock AND p.clock IS NOT NULL) AND NOT coalesce(p_n = 1 AND n_n = 1 AND (p_clock IS NULL OR n.clock IS NULL), false))
 SELECT k, ident, strftime(day, '%Y-%m-%d') AS day, clock, change FROM out""")
 def occurrence_merge(spark: SparkSession, sf: str) -> DataFrame:
-    out = reconcile.merge_occurrences(*_sessions(spark, sf), "k", "day", "clock", "ident")
+    out = reconcile.merge_occurrences(*_sessions(spark, sf), "k", "day", "clock", "ident", parts_for(table(spark, sf, "lineitem")))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -253,12 +253,12 @@ FROM p LEFT JOIN rv USING (k) LEFT JOIN made ON made.k = p.k AND made.ident = p.
 fr AS (SELECT k, day FROM q WHERE (k, day) NOT IN (SELECT (k, day) FROM p UNION ALL SELECT (k, t) FROM made) AND k NOT IN (SELECT k FROM rv))
 SELECT k, ident, strftime(day, '%Y-%m-%d') AS day, action FROM st UNION ALL SELECT k, NULL, strftime(day, '%Y-%m-%d'), 'new' FROM fr""")
 def calendar_plan(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("day")).distinct()
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("day"))
     p = li.where("n <= 4").groupBy("k", "day").agg(F.min("n").alias("n")).select("k", F.concat_ws("-", "k", "n", F.date_format("day", "yyyy-MM-dd")).alias("ident"), "day")
     q = li.where("n in (2, 3, 5)").select("k", F.when(F.col("n") == 2, F.date_add("day", 7)).otherwise(F.col("day")).alias("day")).distinct()
     changes = li.where("n = 2").select("k", F.col("day").alias("from"), F.date_add("day", 7).alias("to"))
     scopes = li.where("k % 2 = 0").select("k", F.lit("2000-06-01").cast("date").alias("first"), F.lit("2001-03-31").cast("date").alias("last")).distinct()
-    out = reconcile.calendar_plan(p, q, changes, scopes, "k", "ident", "day", "1999-01-01")
+    out = reconcile.calendar_plan(p, q, changes, scopes, "k", "ident", "day", "1999-01-01", parts_for(table(spark, sf, "lineitem")))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
