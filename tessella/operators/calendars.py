@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.sources.storage import cut
+from tessella.sources.storage import cut, dealt
 
 from . import reconcile
 from .places import numbered
@@ -32,7 +32,7 @@ def _rows(published: DataFrame, proposed: DataFrame, changes: DataFrame, key: st
     return p.unionByName(n).unionByName(end("from", "to", "f")).unionByName(end("to", "from", "t"))
 
 
-def planned(published: DataFrame, proposed: DataFrame, changes: DataFrame, scopes: DataFrame, key: str, ident: str, today: str) -> DataFrame:
+def planned(published: DataFrame, proposed: DataFrame, changes: DataFrame, scopes: DataFrame, key: str, ident: str, today: str, parts: int = 0) -> DataFrame:
     """(key, ident, date, time, action, place): every session after a plan, or as it was with "review" where the plan isn't certain.
 
     ``changes``: (key, order, from_date, from_time, to_date, to_time), moves that the source states, distinct and in order; a null from_time is any of the day.
@@ -45,7 +45,7 @@ def planned(published: DataFrame, proposed: DataFrame, changes: DataFrame, scope
     4. What is left of the proposed is "new", with its ``place`` after all published ones; what is left of the published is "dropped" if it is to come and in scope, else "kept".
     """
     now = F.lit(today).cast("date")
-    rows = _rows(published, proposed, changes, key, ident).withColumn("_t", F.coalesce("time", F.lit("")))
+    rows = dealt(_rows(published, proposed, changes, key, ident).withColumn("_t", F.coalesce("time", F.lit(""))), parts, key, "date").sortWithinPartitions(key, "date", "_t")  # one order for all windows
     day, at = Window.partitionBy(key, "date"), Window.partitionBy(key, "date", "_t")
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
     vague = is_("f") & F.col("time").isNull()
@@ -66,9 +66,10 @@ def planned(published: DataFrame, proposed: DataFrame, changes: DataFrame, scope
     stated = cut(stated.withColumns({"odd": F.col("clash") | F.when(F.col("from_date") < now, past_odd).otherwise(odd), "made": (F.col("from_date") >= now) & (o == 1)}))
     made = stated.where("made and not odd").select(key, F.col("order").alias("_c"), F.col("to_date").alias("_to"), F.col("to_time").alias("_to_time"), F.lit(True).alias("_moved"))
     here = rows.where(is_("p", "n")).select(key, "date", "time", "_t", "kind", ident, F.when(is_("p"), F.col("_origin")).otherwise(F.col("_t_order")).alias("_c"))
-    here = here.join(made, [key, "_c"], "left").withColumn("_moved", F.col("_moved").isNotNull())
+    here = dealt(here, parts, key, "_c").join(dealt(made, parts, key, "_c"), [key, "_c"], "left").withColumn("_moved", F.col("_moved").isNotNull())
     here = here.join(scopes.select(key, F.col("first").alias("_first"), F.col("last").alias("_last")), key, "left")
     here = here.withColumn("_scope", F.coalesce(F.col("date").between(F.col("_first"), F.col("_last")), F.lit(False)))
+    here = dealt(here, parts, key, "date").sortWithinPartitions(key, "date", "_t", "kind", "_moved", ident)
     open_ = ~F.col("_moved")
     here = here.withColumns({"_ps": _count(is_("p") & open_, at), "_ns": _count(is_("n") & open_, at), "_rank": F.row_number().over(Window.partitionBy(key, "date", "_t", "kind", "_moved").orderBy(ident))})
     here = here.withColumn("_exact", open_ & F.when(is_("p"), (F.col("_ns") > 0) & (F.col("_rank") == 1)).otherwise(F.col("_ps") > 0))
@@ -91,19 +92,21 @@ def planned(published: DataFrame, proposed: DataFrame, changes: DataFrame, scope
     return stay.unionByName(new)
 
 
-def merged(published: DataFrame, incoming: DataFrame, status: DataFrame, key: str, ident: str) -> DataFrame:
+def merged(published: DataFrame, incoming: DataFrame, status: DataFrame, key: str, ident: str, parts: int = 0) -> DataFrame:
     """(key, ident, date, time, change, status): sessions after an observation without a calendar of its own.
 
     ``status``: (key, was, now), the event's and the observation's. Where either is postponed and both tell of one session, it is the same
     one with a new date and time ("moved"); all others merge by date and time (reconcile.merge_occurrences). Sessions of what is now cancelled are cancelled; what wasn't there before is scheduled.
     """
-    new = incoming.select(key, "date", "time").distinct()
-    one = published.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias(ident)).where("n = 1").drop("n")
-    other = new.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("date"), F.min("time").alias("time")).where("n = 1").drop("n")
-    put_off = status.where("was = 'postponed' or now = 'postponed'").select(key)
-    moved = put_off.join(one, key).join(other, key).select(key, ident, "date", "time", F.lit("moved").alias("change"))
-    apart = lambda df: df.join(moved.select(key), key, "left_anti")
-    rest = reconcile.merge_occurrences(apart(published), apart(new), key, "date", "time", ident)
-    all_ = moved.unionByName(rest.select(key, ident, "date", "time", "change")).join(status.where("now = 'cancelled'").select(key, F.lit(True).alias("_off")), key, "left")
-    gone = F.col("_off") & (F.col("change") != "new")
-    return all_.withColumn("status", F.when(F.coalesce(gone, F.lit(False)), "cancelled").otherwise("scheduled")).drop("_off")
+    rows = reconcile.sides(published, incoming, key, "date", "time", ident)
+    old, new = F.when(F.col("_new") == 0, F.struct(ident, "date", "time")), F.when(F.col("_new") == 1, F.struct("date", "time"))
+    ends = rows.groupBy(key).agg(F.min(old).alias("_p"), F.max(old).alias("_p2"), F.min(new).alias("_to"), F.max(new).alias("_n2"))
+    put_off, off = (F.col("was") == "postponed") | (F.col("now") == "postponed"), F.coalesce(F.col("now") == "cancelled", F.lit(False))
+    one = (F.col("_p") == F.col("_p2")) & (F.col("_to") == F.col("_n2"))  # both sides are there, and of one session
+    events = ends.join(status, key).select(key, F.when(put_off & one, F.col("_to")).alias("_to"), off.alias("_off"))
+    rows = reconcile.matched(rows.join(events, key, "left"), key, "date", "time", ident, parts)
+    moved = F.col("_to").isNotNull()
+    rows = rows.withColumn("change", F.when(moved, F.when(F.col("_new") == 0, "moved")).otherwise(F.col("change"))).where("change is not null")
+    told = lambda c, stays: F.when(moved, F.col(f"_to.{c}")).otherwise(F.col(stays)).alias(c)
+    gone = F.coalesce("_off", F.lit(False)) & (F.col("change") != "new")
+    return rows.select(key, ident, told("date", "date"), told("time", "_told"), "change", F.when(gone, "cancelled").otherwise("scheduled").alias("status"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators import calendars
-from tessella.sources.storage import table
+from tessella.sources.storage import parts_for, table
 
 from .registry import query
 
@@ -51,12 +51,12 @@ SELECT k, ident, strftime(date, '%Y-%m-%d') AS date, time, action, place FROM (S
 def calendar_with_times(spark: SparkSession, sf: str) -> DataFrame:
     li = _lines(spark, sf)
     old = li.where("l_tax < 0.03")
-    published, proposed = old.select("k", "ident", "date", "time").distinct(), li.where("l_tax >= 0.06").select("k", "date", "time").distinct()
+    published, proposed = old.select("k", "ident", "date", "time").distinct(), li.where("l_tax >= 0.06").select("k", "date", "time")
     moves = old.where("l_discount >= 0.09").select("k", F.col("date").alias("from_date"), F.col("time").alias("from_time"), F.date_add("date", 7).alias("to_date"), F.when(F.col("l_discount") == 0.1, F.col("time")).otherwise("20:00").alias("to_time")).distinct()
     order = Window.partitionBy("k").orderBy("from_date", F.col("from_time").asc_nulls_first(), "to_date", F.col("to_time").asc_nulls_first())
     month = F.to_date(F.date_trunc("month", "day"))
     scopes = li.join(table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey").select("k", month.alias("first"), F.date_add(month, 12).alias("last")).distinct()
-    out = calendars.planned(published, proposed, moves.withColumn("order", F.row_number().over(order)), scopes, "k", "ident", TODAY)
+    out = calendars.planned(published, proposed, moves.withColumn("order", F.row_number().over(order)), scopes, "k", "ident", TODAY, parts_for(table(spark, sf, "lineitem")))
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
@@ -75,5 +75,5 @@ def postponement_merge(spark: SparkSession, sf: str) -> DataFrame:
     was = F.when(F.max("l_discount") < 0.07, "postponed").otherwise("scheduled")
     now = F.when(F.min("l_tax") > 0.01, "cancelled").when(F.min("l_discount") > 0.01, "postponed").otherwise("scheduled")
     status = li.groupBy("k").agg(was.alias("was"), now.alias("now"))
-    out = calendars.merged(li.where("l_tax < 0.03").select("k", "ident", "date", "time").distinct(), li.where("l_tax >= 0.06").select("k", "date", "time"), status, "k", "ident")
+    out = calendars.merged(li.where("l_tax < 0.03").select("k", "ident", "date", "time"), li.where("l_tax >= 0.06").select("k", "date", "time"), status, "k", "ident", parts_for(table(spark, sf, "lineitem")))
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
