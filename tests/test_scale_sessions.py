@@ -2,7 +2,10 @@
 
 from datetime import date
 
-from tessella.operators import calendars, reconcile
+from pyspark.sql import functions as F
+
+from tessella.operators import calendars, quality, reconcile
+from tessella.sources.storage import dealt, parts_for
 
 DAY, NEXT = date(2027, 3, 1), date(2027, 3, 8)
 P, N = "k int, ident string, day date, clock string", "k int, day date, clock string"
@@ -51,3 +54,16 @@ def test_calendar_with_times_deals_by_rows(spark):
     scopes = spark.createDataFrame([], "k int, first date, last date")
     out = calendars.planned(p, n, moves, scopes, "k", "ident", "2027-01-01", parts=9)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", DAY, "20:00", "kept", None), (1, None, NEXT, None, "new", 2)], key=str)
+
+
+def test_report_counts_issues_where_they_are(spark):
+    bad = spark.createDataFrame([("x", "error", "2"), ("x", "error", "10"), ("y", "warning", "3")], "code string, severity string, path string")
+    assert sorted(map(tuple, quality.report(bad).collect())) == [("x", "error", 2, "10", False), ("y", "warning", 1, "3", False)]
+    assert [r.passes for r in quality.report(bad.where("severity = 'warning'")).collect()] == [True]
+    quality.report(bad.withColumn("path", F.raise_error(F.lit("issues were written out"))))  # nothing runs before the report is asked for
+
+
+def test_rows_ask_for_partitions(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 3)
+    assert (parts_for(df), parts_for(df, 10)) == (4, 101)
+    assert dealt(df, 9, "k").groupBy("k", "id").count().rdd.getNumPartitions() == 9
