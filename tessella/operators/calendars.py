@@ -1,8 +1,8 @@
 """An event's sessions after a source has told its calendar: which published session is which proposed one, with dates and times.
 
 All questions are about one day of one event (or one session of it), so rows of both sides and both ends of every stated move are put together once
-and asked by windows over (event, day); an event with very many sessions is spread over its days. Only what a
-change is found to be, and which events need review, is joined by event.
+and asked by windows over (event, day). What a change is found to be, the scopes and which events need review then meet an event's
+sessions in windows over the event, whose rows are sorted outside of memory where they are many.
 
 Frames have a key, ``date``, ``time`` (text, null: unknown) and, if published, an ident.
 """
@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.sources.storage import cut, dealt
+from tessella.sources.storage import dealt
 
 from . import reconcile
-from .places import numbered
 
 
 def _count(when: Column, over: Column) -> Column:
@@ -63,13 +62,19 @@ def planned(published: DataFrame, proposed: DataFrame, changes: DataFrame, scope
     o, pd, nd = (F.col(c) for c in ("o", "pd", "nd"))
     past_odd = (o == 0) & (((pd != 1) & (nd != 1)) | (pd > 1))
     odd = (o > 1) | (pd > 1) | ((o == 0) & (pd != 1) & ~((F.col("to_date") >= now) & (nd == 1))) | ((o == 1) & ((nd != 1) | (pd == 1)))
-    stated = cut(stated.withColumns({"odd": F.col("clash") | F.when(F.col("from_date") < now, past_odd).otherwise(odd), "made": (F.col("from_date") >= now) & (o == 1)}))
-    made = stated.where("made and not odd").select(key, F.col("order").alias("_c"), F.col("to_date").alias("_to"), F.col("to_time").alias("_to_time"), F.lit(True).alias("_moved"))
+    stated = stated.withColumns({"_asks": F.col("clash") | F.when(F.col("from_date") < now, past_odd).otherwise(odd), "_made": (F.col("from_date") >= now) & (o == 1)})
+    told = stated.select(key, F.lit("m").alias("kind"), F.col("order").alias("_c"), F.col("to_date").alias("_to"), F.col("to_time").alias("_to_time"), (F.col("_made") & ~F.col("_asks")).alias("_made"), "_asks")
     here = rows.where(is_("p", "n")).select(key, "date", "time", "_t", "kind", ident, F.when(is_("p"), F.col("_origin")).otherwise(F.col("_t_order")).alias("_c"))
-    here = dealt(here, parts, key, "_c").join(dealt(made, parts, key, "_c"), [key, "_c"], "left").withColumn("_moved", F.col("_moved").isNotNull())
-    here = here.join(scopes.select(key, F.col("first").alias("_first"), F.col("last").alias("_last")), key, "left")
+    here = here.unionByName(told, allowMissingColumns=True).unionByName(scopes.select(key, F.lit("s").alias("kind"), F.col("first").alias("_first"), F.col("last").alias("_last")), allowMissingColumns=True)
+    # what moves, scopes and reviews say goes to an event's sessions, dealt by event from here on
+    move, event = Window.partitionBy(key, "_c"), Window.partitionBy(key)
+    known = F.col(key).isNotNull()
+    top = lambda c, over: F.max(c).over(over)
+    here = dealt(here, parts, key).withColumns({
+        "_moved": F.coalesce(top("_made", move), F.lit(False)) & known & F.col("_c").isNotNull(), "_to": top("_to", move), "_to_time": top("_to_time", move), "_first": F.when(known, top("_first", event)), "_last": F.when(known, top("_last", event)),
+        "_asked": F.coalesce(top("_asks", event), F.lit(False)), "_many": F.when(known, _count(is_("p"), event)),
+    }).where(is_("p", "n")).sortWithinPartitions(key, "date", "_t", "kind", "_moved", ident)
     here = here.withColumn("_scope", F.coalesce(F.col("date").between(F.col("_first"), F.col("_last")), F.lit(False)))
-    here = dealt(here, parts, key, "date").sortWithinPartitions(key, "date", "_t", "kind", "_moved", ident)
     open_ = ~F.col("_moved")
     here = here.withColumns({"_ps": _count(is_("p") & open_, at), "_ns": _count(is_("n") & open_, at), "_rank": F.row_number().over(Window.partitionBy(key, "date", "_t", "kind", "_moved").orderBy(ident))})
     here = here.withColumn("_exact", open_ & F.when(is_("p"), (F.col("_ns") > 0) & (F.col("_rank") == 1)).otherwise(F.col("_ps") > 0))
@@ -78,18 +83,14 @@ def planned(published: DataFrame, proposed: DataFrame, changes: DataFrame, scope
     new_time = F.max(F.when(is_("n") & left, F.col("time"))).over(day)
     here = here.withColumns({"_able": able, "_cand": _count(able, day), "_un": _count(is_("n") & left, day), "_new_time": new_time, "_left": left})
     pair = (F.col("_cand") == 1) & (F.col("_un") == 1) & (F.col("_scope") | F.col("_new_time").isNotNull())
-    here = cut(here.withColumns({"_timed": F.col("_left") & pair & (F.col("_able") | is_("n")), "_odd": is_("n") & F.col("_left") & (F.col("_cand") > 0) & ((F.col("_cand") != 1) | (F.col("_un") != 1))}))
-    review = stated.where("odd").select(key).union(here.where("_odd").select(key)).distinct().withColumn("_review", F.lit(True))
-    p = here.where(is_("p")).join(review, key, "left")
-    action = F.when(F.col("_review"), "review").when(F.col("_moved"), "moved").when(F.col("_exact"), "kept").when(F.col("_timed"), "timed").when((F.col("date") >= now) & F.col("_scope"), "dropped").otherwise("kept")
-    p = p.withColumn("action", action)
+    here = here.withColumns({"_timed": F.col("_left") & pair & (F.col("_able") | is_("n")), "_odd": is_("n") & F.col("_left") & (F.col("_cand") > 0) & ((F.col("_cand") != 1) | (F.col("_un") != 1))})
+    here = here.withColumn("_review", (F.col("_asked") | F.coalesce(top("_odd", event), F.lit(False))) & known)
+    action = F.when(is_("n"), "new").when(F.col("_review"), "review").when(F.col("_moved"), "moved").when(F.col("_exact"), "kept").when(F.col("_timed"), "timed").when((F.col("date") >= now) & F.col("_scope"), "dropped").otherwise("kept")
+    out = here.where(is_("p") | (F.col("_left") & ~F.col("_timed") & ~F.col("_review"))).withColumn("action", action)
+    nth = F.row_number().over(Window.partitionBy(key, "kind").orderBy(F.col("date").asc(), F.col("time").asc_nulls_first()))
     told = lambda c, moved, timed: F.when(F.col("action") == "moved", moved).when(F.col("action") == "timed", timed).otherwise(F.col(c)).alias(c)
-    stay = p.select(key, ident, told("date", F.col("_to"), F.col("date")), told("time", F.col("_to_time"), F.col("_new_time")), "action", F.lit(None).cast("long").alias("place"))
-    fresh = here.where(is_("n") & F.col("_left") & ~F.col("_timed")).join(review, key, "left_anti").select(key, "date", "time")
-    many = published.groupBy(key).agg(F.count(F.lit(1)).alias("_many"))
-    fresh = numbered(fresh, [key], [F.col("date").asc(), F.col("time").asc_nulls_first()], "_n").join(many, key, "left")
-    new = fresh.select(key, F.lit(None).cast(published.schema[ident].dataType).alias(ident), "date", "time", F.lit("new").alias("action"), (F.coalesce("_many", F.lit(0)) + F.col("_n")).alias("place"))
-    return stay.unionByName(new)
+    place = F.when(is_("n"), F.coalesce("_many", F.lit(0)) + nth).cast("long").alias("place")
+    return out.select(key, ident, told("date", F.col("_to"), F.col("date")), told("time", F.col("_to_time"), F.col("_new_time")), "action", place)
 
 
 def merged(published: DataFrame, incoming: DataFrame, status: DataFrame, key: str, ident: str, parts: int = 0) -> DataFrame:

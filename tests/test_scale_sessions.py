@@ -53,6 +53,7 @@ def test_calendar_with_times_deals_by_rows(spark):
     moves = spark.createDataFrame([], "k int, order int, from_date date, from_time string, to_date date, to_time string")
     scopes = spark.createDataFrame([], "k int, first date, last date")
     out = calendars.planned(p, n, moves, scopes, "k", "ident", "2027-01-01", parts=9)
+    assert out.rdd.getNumPartitions() == 9
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", DAY, "20:00", "kept", None), (1, None, NEXT, None, "new", 2)], key=str)
 
 
