@@ -120,3 +120,23 @@ def test_quotation_sql_takes_the_nearest_original_of_any_length(spark, tmp_path)
     want = Counter(cursor.fetchall())
     assert Counter(tuple(x[c] for c in names) for x in quotation.link(table).collect()) == want
     assert sum(x[names.index("parent_turn")] is not None for x in want) > 300
+
+
+def test_op2_counts_strings_in_whole_hosts_whatever_the_parts(spark):
+    """Notices on few pages of a host, copies of articles with menus of their own, and hosts without a name: one result for all sizes of parts."""
+    r = random.Random(7)
+    say = lambda k: " ".join(f"v{r.randrange(100_000)}" for _ in range(k))
+    rare, twice = [say(12) for _ in range(20)], [say(12) for _ in range(10)]
+    articles = [f"{say(20)}</p><p>{say(25)}" for _ in range(90)]
+    rows = []
+    for i in range(180):
+        url = ("http://big/", "http://small/", None)[i % 10 and (1 if i % 10 == 1 else 2 if i % 10 < 4 else 0)]
+        menu, note = say(10), rare[i % 60] if i % 60 < 20 else twice[i % 90 - 60] if 60 <= i % 90 < 70 else say(12)
+        body = f"<p>{articles[i % 90 if i % 3 else 0]}</p>"
+        body = f"<article>{body}<p>{note}</p></article>" if i % 4 == 0 else f"<article>{body}</article><div>{note}</div>" if i % 4 == 1 else f"<div>{body}</div><div>{note}</div>"
+        rows.append((i, url, f"<body><div>{menu}</div>{body}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{x.page_id: x.text for x in html_extraction.extract(pages, part_bytes=n).select("row.page_id", "text").collect()} for n in (1 << 30, 20_000, 4_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    whole = dict(zip((i for i, *_ in rows), html_extraction.main_texts([h for *_, h in rows], [(u or "").split("/")[-2] if u else "" for _, u, _ in rows], 8, 3, 0.5), strict=True))
+    assert got[0] == whole and any(n in html and n not in whole[i] for i, _, html in rows for n in rare)
