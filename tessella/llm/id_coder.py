@@ -26,7 +26,7 @@ BLOCK, SLOTS, RENEW = 2048, 1024, 128
 CLASSES = 17
 #: What stands for ids that don't fit 16 bits.
 WIDE = 65_535
-_I, _N, _U, _E = np.int64, np.int32, np.uint64, np.uint32
+_I, _N, _U, _E, _F = np.int64, np.int32, np.uint64, np.uint32, np.float64
 _TOP, _LOW32, _MASK48 = _U(32), _U((1 << 32) - 1), _U((1 << 48) - 1)
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((i + 0.5) / (4095.5 - i))))) for i in range(4096)], _N)
 SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-i / 256))))) for i in range(-2047, 2048)], _N)
@@ -38,9 +38,11 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.row = np.arange(lanes, dtype=_I) * SLOTS
-        self.one, self.two = np.zeros(lanes * SLOTS, _E), np.zeros(lanes * SLOTS, _E)  # id << 16 | trust
-        self.w1, self.w2 = np.full(lanes, 32768, _N), np.full(lanes, 49152, _N)
+        # of both orders, one after the other
+        self.row = np.arange(2 * lanes, dtype=_I).reshape(2, lanes) * SLOTS
+        self.table = np.zeros(2 * lanes * SLOTS, _E)  # id << 16 | trust
+        self.weight = np.repeat(np.array([[32768], [49152]], _N), lanes, axis=1)
+        self.slot = np.empty((2, lanes), _E)
         self.counts = np.zeros(lanes * CLASSES, _N)
         self.count_row = np.arange(lanes, dtype=_I) * CLASSES
         self.cum_row = np.arange(lanes, dtype=_I) * (CLASSES + 1)
@@ -57,29 +59,27 @@ class _Model:
             self.cum, self.share = cum.ravel(), share
             self.counts //= 2
         self.step += 1
-        self.i1 = self.row + (self.spread >> 4 & SLOTS - 1)
-        self.i2 = self.row + (self.spread + self.spread_before * _E(3) >> 5 & SLOTS - 1)
-        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.c1, self.c2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.p1, self.p2 = self.e1 >> 16, self.e2 >> 16
-        self.guess = np.where(self.c2 >= self.c1, self.p2, self.p1)
-        self.s1 = STRETCH.take(self.c1 >> 4) * (self.p1 == self.guess)
-        self.s2 = STRETCH.take(self.c2 >> 4) * (self.p2 == self.guess)
-        mixed = (self.w1 * self.s1 + self.w2 * self.s2) >> 16
+        np.right_shift(self.spread, 4, out=self.slot[0])
+        np.right_shift(self.spread + self.spread_before * _E(3), 5, out=self.slot[1])
+        self.slot &= SLOTS - 1
+        self.at = self.row + self.slot
+        self.entry = self.table.take(self.at)
+        self.trust, self.was = self.entry & 0xFFFF, self.entry >> 16
+        self.guess = np.where(self.trust[1] >= self.trust[0], self.was[1], self.was[0])
+        self.told = STRETCH.take(self.trust >> 4) * (self.was == self.guess)
+        mixed = self.weight * self.told
+        mixed = (mixed[0] + mixed[1]) >> 16
         mixed += 2047
         self.p = SQUASH.take(mixed, mode="clip")
         self.hit_size = self.p * _N(15) + _N(32)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, length: np.ndarray) -> None:
         error = (hit << 12) - self.p
-        for weight, told in ((self.w1, self.s1), (self.w2, self.s2)):
-            weight += (told * error) >> 11
-            if self.step % 16 == 0:  # they can't leave 32 bits in between
-                np.clip(weight, -65536, 262144, out=weight)
-        fresh = ids << 16 | 6144
-        for table, at, entry, trust, was in ((self.one, self.i1, self.e1, self.c1, self.p1), (self.two, self.i2, self.e2, self.c2, self.p2)):
-            wrong = np.where(trust < 16384, fresh, entry - (trust >> 2))
-            table[at] = np.where(was == ids, entry + (65535 - trust >> 3), wrong)
+        self.weight += (self.told * error) >> 11
+        if self.step % 16 == 0:  # they can't leave 32 bits in between
+            np.clip(self.weight, -65536, 262144, out=self.weight)
+        wrong = np.where(self.trust < 16384, ids << 16 | 6144, self.entry - (self.trust >> 2))
+        self.table[self.at] = np.where(self.was == ids, self.entry + (65535 - self.trust >> 3), wrong)
         missed = np.flatnonzero(hit == 0)
         self.counts[self.count_row[missed] + length[missed]] += 24
         self.spread_before, self.spread = self.spread, ids * _E(40503)
@@ -175,12 +175,12 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
         if renewed:
             class_of = np.repeat(np.tile(np.arange(CLASSES), lanes), model.share.ravel())
         unit = size >> _U(16)
-        v = np.minimum((code - low) // unit, _U(65535)).astype(_I)
+        v = np.minimum((code - low).astype(_F) / unit.astype(_F), 65535).astype(_I)  # both below 2**53, so rounded down as integers would be
         right = v < model.hit_size
         hit = right.astype(_N)
         rest = 65536 - model.hit_size
         # the class whose interval holds v: the 8-bit share below it, or the next, as intervals are rounded down
-        part = np.clip(((v - model.hit_size) << 8) // rest, 0, 255)
+        part = np.clip(((v - model.hit_size) << 8) / rest, 0, 255).astype(_I)
         length = class_of.take(class_row + part)
         at = model.cum_row + length
         at += (model.hit_size + (model.cum.take(at + 1) * rest >> 8) <= v) & ~right

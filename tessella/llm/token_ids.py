@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from . import words as w
 
 #: Distinct words, and ids of words, that a worker remembers from task to task (about 40 bytes a word in all).
-REMEMBERED = 800_000
+REMEMBERED = 2_000_000
 #: Bytes of text that are encoded at once.
 SLICE = 4 << 20
 #: What may follow a word's letters and is a token run of its own (an apostrophe may join them, a "<" begin a special token).
@@ -83,41 +83,52 @@ class Encoder:
         stops = np.flatnonzero(self.ends[flat])
         return (flat, np.diff(stops, prepend=-1)) if len(stops) == len(words) else self._ids(words)
 
-    def _encoded(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct words and how many each has."""
-        if self.ends is None:
-            return self._ids(fresh.to_pylist())
-        # letters, then what follows them, if anything
-        cores = pc.utf8_rtrim(fresh, TAIL)
-        plain = np.asarray(pc.and_(pc.utf8_is_alpha(cores), pc.utf8_is_lower(cores)))
-        heads = cores.filter(pa.array(plain)).dictionary_encode()
-        tails = _rest(fresh.filter(pa.array(plain)), cores.filter(pa.array(plain))).dictionary_encode()
-        parts = [self._plain_ids(heads.dictionary.to_pylist()), self._ids(tails.dictionary.to_pylist()), self._ids(fresh.filter(pa.array(~plain)).to_pylist())]
-        ids, sizes = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
-        begin = np.cumsum(sizes) - sizes
-        first, second = np.empty(len(fresh), np.int64), np.full(len(fresh), -1)
-        first[~plain] = len(heads.dictionary) + len(tails.dictionary) + np.arange(int((~plain).sum()))
-        first[plain], second[plain] = np.asarray(heads.indices), len(heads.dictionary) + np.asarray(tails.indices)
-        both = np.stack([first, second], axis=1).ravel()
-        many = np.where(both < 0, 0, sizes[both])
-        at = np.repeat(begin[both] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return ids[at], many.reshape(-1, 2).sum(axis=1)
-
-    def _learn(self, fresh: pa.Array, hashes: np.ndarray) -> None:
-        flat, sizes = self._encoded(fresh)
+    def _store(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Remembers the ids of distinct words that are not there."""
         if len(flat) and flat.max() > np.iinfo(self.ids.dtype).max:
             self.ids = self.ids.astype(np.uint32)
         n, total = self.places.size, self.used + len(flat)
         while len(self.ids) < total:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while len(self.begin) < n + len(fresh):
+        while len(self.begin) < n + len(hashes):
             self.begin, self.many = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.many))
         self.ids[self.used : total] = flat
-        self.begin[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
-        self.many[n : n + len(fresh)] = sizes
+        self.begin[n : n + len(hashes)] = self.used + np.cumsum(sizes) - sizes
+        self.many[n : n + len(hashes)] = sizes
         self.used = total
         self.places.add(hashes)
 
+    def _learn(self, fresh: pa.Array, hashes: np.ndarray) -> None:
+        """Remembers distinct words that are not there, and their letters where something follows those."""
+        if self.ends is None:
+            self._store(hashes, *self._ids(fresh.to_pylist()))
+            return
+        # letters, then what follows them, if anything
+        cores = pc.utf8_rtrim(fresh, TAIL)
+        plain = np.asarray(pc.and_(pc.utf8_is_alpha(cores), pc.utf8_is_lower(cores)))
+        other = fresh.filter(pa.array(~plain))
+        if len(other):
+            self._store(hashes[~plain], *self._ids(other.to_pylist()))
+        fresh, cores, hashes = fresh.filter(pa.array(plain)), cores.filter(pa.array(plain)), hashes[plain]
+        heads = cores.dictionary_encode()
+        head_hashes = _hashes(heads.dictionary)
+        unknown = np.flatnonzero(self.places.find(head_hashes) < 0)
+        if len(unknown):
+            self._store(head_hashes[unknown], *self._plain_ids(heads.dictionary.take(pa.array(unknown)).to_pylist()))
+        more = np.flatnonzero(self.places.find(hashes) < 0)
+        if len(more):
+            first = self.places.find(head_hashes)[np.asarray(heads.indices)[more]]
+            tails = _rest(fresh.take(pa.array(more)), cores.take(pa.array(more))).dictionary_encode()
+            ids, sizes = self._ids(tails.dictionary.to_pylist())
+            second = np.asarray(tails.indices)
+            begin = np.stack([self.begin[first], (np.cumsum(sizes) - sizes)[second]], axis=1).ravel()
+            many = np.stack([self.many[first], sizes[second]], axis=1).ravel()
+            at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            head = np.repeat(np.tile([True, False], len(more)), many)
+            flat = np.empty(len(at), np.int64)
+            flat[head], flat[~head] = self.ids[at[head]], ids[at[~head]]
+            self._store(hashes[more], flat, many.reshape(-1, 2).sum(axis=1))
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and where each text begins (one more entry: the end)."""
         if not self.by_word:
@@ -150,8 +161,8 @@ class Encoder:
         number = self.places.find(hashes)
         unknown = np.flatnonzero(number < 0)
         if len(unknown):
-            number[unknown] = self.places.size + np.arange(len(unknown), dtype=np.int32)
             self._learn(words.dictionary.take(pa.array(unknown)), hashes[unknown])
+            number[unknown] = self.places.find(hashes[unknown])
         index = number[np.asarray(words.indices)]
         # the end is one more word after each text
         at = np.arange(len(words)) + np.repeat(np.arange(len(per_text)), per_text)

@@ -28,7 +28,7 @@ from .common import cut, small_batches, tasks
 from .token_ids import SLICE, encoder
 
 #: Ids of a shard row, at most (one document may have more); so many blocks are coded in step.
-SHARD_IDS = 4 << 20
+SHARD_IDS = 8 << 20
 #: Shard rows up to which the table of their places is broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
 

@@ -140,3 +140,17 @@ def test_op2_counts_strings_in_whole_hosts_whatever_the_parts(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
     whole = dict(zip((i for i, *_ in rows), html_extraction.main_texts([h for *_, h in rows], [(u or "").split("/")[-2] if u else "" for _, u, _ in rows], 8, 3, 0.5), strict=True))
     assert got[0] == whole and any(n in html and n not in whole[i] for i, _, html in rows for n in rare)
+
+
+def test_encoder_takes_known_letters_of_words_from_memory(monkeypatch):
+    import pyarrow as pa
+
+    from tessella.llm.token_ids import Encoder
+
+    coder, asked = Encoder("word_bpe_49k.json"), []
+    plain = coder._plain_ids
+    monkeypatch.setattr(coder, "_plain_ids", lambda words: (asked.extend(words), plain(words))[1])
+    for text in ("enötztz ofaning, 12 don't", "ofaning enötztz, (enötztz) ofaning; Enötztz!", None, "enötztz,ofaning ,, neu. neu"):
+        got = coder.encode(pa.array([text], pa.string()), 2)[0].tolist()
+        assert got == [*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    assert sorted(asked) == ["enötztz", "neu", "ofaning"]
