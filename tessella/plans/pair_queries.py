@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import text
 from tessella.operators import identity, matching, places, verdicts
-from tessella.sources.storage import cut, table
+from tessella.sources.storage import cut, parts_for, table
 
 from .linkage_queries import CORE, FOLDED, GRAMS, NOT_TITLES, _any_sql, _names_sql, _works_sql
 from .registry import query
@@ -25,13 +25,23 @@ def told(spark: SparkSession, sf: str) -> DataFrame:
     o, li, s, p, c = (table(spark, sf, t) for t in ("orders", "lineitem", "supplier", "part", "customer"))
     name = F.when(F.col("s_acctbal") < 0, F.concat(F.lit("j "), text.fold("s_name"))).otherwise(F.concat(F.lit("juan "), F.regexp_replace("s_name", "[^0-9]", "")))
     work = F.when(F.col("p_size") > 25, F.concat("p_name", F.lit(" op "), (F.col("p_size") % 5).cast("string"))).otherwise(F.col("p_name"))
-    rows = li.join(s.select(F.col("s_suppkey").alias("l_suppkey"), name.alias("performer")), "l_suppkey")
-    rows = rows.join(p.select(F.col("p_partkey").alias("l_partkey"), work.alias("title"), F.when(F.col("p_retailprice") > 950, text.fold("p_brand")).alias("composer"), "p_name"), "l_partkey")
-    some = lambda value, when: F.array_sort(F.collect_set(F.when(when, value)))
-    facts = rows.groupBy(F.col("l_orderkey").alias("k")).agg(
-        some(F.col("performer"), F.col("l_returnflag") == "N").alias("performers"), some(F.struct("title", "composer"), F.col("l_linestatus") == "F").alias("works"), some(F.col("composer"), F.col("l_discount") > 0.05).alias("composers"),
-        F.min_by(F.concat(F.when(F.col("l_tax") > 0.04, "Concierto de ").otherwise(""), "p_name"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "p_name")).alias("title"),
+    # a line tells only what counts of it, and all lines of an order meet once; sets and orders are made of them there
+    lines = li.select(
+        F.col("l_orderkey").alias("k"), "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", (F.col("l_returnflag") == "N").alias("plays"), (F.col("l_linestatus") == "F").alias("works"),
+        (F.col("l_discount") > 0.05).alias("writes"), (F.col("l_tax") > 0.04).alias("concert"),
     )
+    lines = lines.join(s.select(F.col("s_suppkey").alias("l_suppkey"), name.alias("performer")), "l_suppkey")
+    lines = lines.join(p.select(F.col("p_partkey").alias("l_partkey"), work.alias("work"), F.when(F.col("p_retailprice") > 950, text.fold("p_brand")).alias("composer"), "p_name"), "l_partkey")
+    lines = lines.withColumns({"performer": F.when(F.col("plays"), F.col("performer")), "work": F.when(F.col("works"), F.col("work"))}).drop("plays")
+    first = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "p_name", "concert").alias("first")
+    lines = lines.select("k", first, "performer", "works", "work", "writes", "composer").repartition(parts_for(li), "k")
+    each = lines.groupBy("k").agg(F.collect_list(F.struct("first", "performer", "works", "work", "writes", "composer")).alias("lines"))
+    some = lambda of: F.array_sort(F.array_distinct(F.array_compact(F.transform("lines", of))))
+    facts = each.select(
+        "k", some(lambda x: x["performer"]).alias("performers"), some(lambda x: F.when(x["works"], F.struct(x["work"].alias("title"), x["composer"].alias("composer")))).alias("works"),
+        some(lambda x: F.when(x["writes"], x["composer"])).alias("composers"), F.array_min(F.transform("lines", lambda x: x["first"])).alias("first"),
+    )
+    facts = facts.withColumn("title", F.concat(F.when(F.col("first.concert"), "Concierto de ").otherwise(""), "first.p_name")).drop("first")
     where = o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c_custkey"), F.col("o_custkey").alias("customer"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("week")).join(c.select("c_custkey", F.col("c_nationkey").alias("place")), "c_custkey")
     return facts.join(where, "k").withColumn("title", text.fold("title"))
 
@@ -43,6 +53,11 @@ def ready(facts: Column) -> Column:
 musical = identity.prepared_verdict
 
 
+def _heaviest(conflict: str, lighter: str) -> verdicts.Prepare:
+    """What prepared facts can get at most: without performers and works nothing conflicts."""
+    return lambda f: F.when(f["some_performers"] | f["some_works"], conflict).otherwise(lighter)
+
+
 TOLD = """WITH lines AS (SELECT l_orderkey AS k, l_returnflag, l_linestatus, l_discount, l_tax, struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey, d := l_shipdate, m := p_name) AS place_of,
 CASE WHEN s_acctbal < 0 THEN 'j ' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) ELSE 'juan ' || regexp_replace(s_name, '[^0-9]', '', 'g') END AS performer,
 CASE WHEN p_size > 25 THEN p_name || ' op ' || (p_size % 5) ELSE p_name END AS work, CASE WHEN p_retailprice > 950 THEN trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) END AS composer, p_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
@@ -79,7 +94,7 @@ def slot_collision_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{PAIRS} SELECT a AS k, CASE WHEN bool_or(verdict = 'conflict') THEN 'conflict' ELSE 'review' END AS kind FROM music WHERE verdict IN ('conflict', 'insufficient') GROUP BY a""")
 def slot_hold_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return verdicts.held(told(spark, sf), ["place", "week"], "k", FACTS, musical, ready)
+    return verdicts.held(told(spark, sf), ["place", "week"], "k", FACTS, musical, ready, _heaviest("conflict", "insufficient"))
 
 
 CUSTOMER_PAIRS = f"""{TOLD}, pairs AS (SELECT a.k AS a, b.k AS b, a.customer, a AS fa, b AS fb FROM told a JOIN told b ON a.customer = b.customer AND year(a.week) = year(b.week) AND a.k <> b.k), {music_sql('pairs')}"""
