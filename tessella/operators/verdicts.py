@@ -39,8 +39,9 @@ def _others(lo: Column, hi: Column, group: Column) -> Column:
     return ~lo.eqNullSafe(group) | ~hi.eqNullSafe(group)
 
 
-def _met(rows: DataFrame, block: Sequence[str], group: str, facts: Sequence[str], verdict: Verdict, decisive: str, witnesses: int, tile_rows: int, prepare: Prepare | None, heaviest: Prepare | None, part_rows: int) -> DataFrame:
-    """(block, g, kinds) of groups, in some rows each: the verdicts they met, as in kinds_met."""
+def _met(rows: DataFrame, block: Sequence[str], group: str, facts: Sequence[str], verdict: Verdict, decisive: str, witnesses: int, tile_rows: int, prepare: Prepare | None, heaviest: Prepare | None, part_rows: int, whole_blocks: bool = False) -> DataFrame:
+    """(block, g, kinds) of groups, in some rows each: the verdicts they met, as in kinds_met. With ``whole_blocks`` open rows of blocks in which anything decisive
+    was met are left at that, with no kinds."""
     b = list(block)
     known = rows.select(*b, F.col(group).alias("g"), F.struct(*facts).alias("f")).dropna(subset=[*b, "g"])
     known = kept(known.select(*b, "g", "f", *_sides("f")))
@@ -68,6 +69,10 @@ def _met(rows: DataFrame, block: Sequence[str], group: str, facts: Sequence[str]
     is_open = F.col("kinds").isNull()
     seen = kept(seen.select(*b, "g", "kinds", F.when(is_open, F.col("h1")).alias("h1"), F.when(is_open, F.col("h2")).alias("h2")))
     done, open_ = seen.where(F.size("kinds") > 0).select(*b, "g", "kinds"), seen.where("kinds is null").drop("kinds")
+    if whole_blocks:
+        over = done.where(F.array_contains("kinds", decisive)).select(*b).distinct()
+        done = done.union(open_.join(over, b, "left_semi").select(*b, "g", F.array().cast("array<string>").alias("kinds")))
+        open_ = open_.join(over, b, "left_anti")
     if open_.isEmpty():
         return done
     # open rows of blocks with several groups meet every fact of their block
@@ -110,7 +115,8 @@ def _has(kind: str) -> Column:
 def slot_collisions(rows: DataFrame, slot: Sequence[str], ident: str, facts: Sequence[str], verdict: Verdict, prepare: Prepare | None = None) -> DataFrame:
     """(slot, n, first, code) of slots that several idents hold: schedule-conflict if any two conflict, else schedule-duplicate if any
     two match, else schedule-review."""
-    met = kinds_met(rows, slot, ident, facts, verdict, prepare=prepare)
+    met = _met(rows, slot, ident, facts, verdict, "conflict", WITNESSES, TILE_ROWS, prepare, None, PART_ROWS, whole_blocks=True)
+    met = met.groupBy(*slot, F.col("g").alias(ident)).agg(F.array(*(F.when(_has(k), k) for k in ("conflict", "match"))).alias("kinds"))
     code = F.when(_has("conflict"), "schedule-conflict").when(_has("match"), "schedule-duplicate").otherwise("schedule-review")
     return met.groupBy(*slot).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("first"), code.alias("code"))
 
