@@ -108,7 +108,7 @@ def group_identity_conflicts(spark: SparkSession, sf: str) -> DataFrame:
         kind = musical(a, b)
         return F.when(kind == "conflict", "incompatible").when(kind == "insufficient", "review").otherwise("compatible")
 
-    return verdicts.contradicted(told(spark, sf).withColumn("year", F.year("week")), "customer", ["year"], "k", FACTS, stated, ready)
+    return verdicts.contradicted(told(spark, sf).withColumn("year", F.year("week")), "customer", ["year"], "k", FACTS, stated, ready, _heaviest("incompatible", "review"))
 
 
 NEXT = f"""{TOLD}, pairs AS (SELECT a.k AS a, b.k AS b, a AS fa, b AS fb FROM (SELECT k, lead(k) OVER (PARTITION BY place, week ORDER BY k) AS next FROM told) n JOIN told a ON a.k = n.k JOIN told b ON b.k = n.next), {music_sql('pairs')}"""
