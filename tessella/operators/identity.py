@@ -103,8 +103,8 @@ def _name_keys(names: Column) -> Column:
     """What names_agree asks of folded names, as sets: ``equal`` is shared by names that are equal, equal without spaces, or people with one surname and equal given
     names; an ``initial`` of one side meets a ``given`` of the other; ``short`` ones may stand inside the names of ``long``."""
     named = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x != "")
-    surname = lambda x: F.element_at(F.split(x, " "), -1)
-    given = lambda x: F.element_at(F.split(x, " "), 1)
+    surname = lambda x: F.substring_index(x, " ", -1)
+    given = lambda x: F.substring_index(x, " ", 1)
     of = lambda people, tag, first: F.transform(people, lambda x: F.concat(F.lit(tag), first(x), F.lit(" "), surname(x)))
     people = F.filter(named, lambda x: F.contains(x, F.lit(" ")) & (F.length(surname(x)) >= 4))
     padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
@@ -134,17 +134,18 @@ def _prepared_works_agree(x: Column, y: Column) -> Column:
     return (same & ~unlike) | (unnumbered & F.when(equal, F.when(p.isin(*GENERIC), composers).otherwise(~unlike)).otherwise(inside & ~unlike))
 
 
-def prepared(side: Mapping[str, Column]) -> Column:
-    """What musical verdicts ask of performers, works, composers (arrays, folded) and title (folded) of one side, worked out once for all its pairs."""
+def prepared(side: Mapping[str, Column], titles: bool = True) -> Column:
+    """What musical verdicts ask of performers, works, composers (arrays, folded) and title (folded) of one side, worked out once for all its pairs;
+    without ``titles``, what verdicts without titles ask of performers and works."""
     composer = lambda w: F.coalesce(w["composer"], F.lit(""))
     works = F.transform(side["works"], lambda w: F.struct(
         catalogue_numbers(w["title"]).alias("numbers"), work_core(w["title"]).alias("core"), (composer(w) != "").alias("known"), _name_keys(F.array(composer(w))).alias("names"),
     ))
+    music = [(F.size(side["performers"]) > 0).alias("some_performers"), (F.size(side["works"]) > 0).alias("some_works"), _name_keys(side["performers"]).alias("performers"), works.alias("works")]
+    if not titles:
+        return F.struct(*music)
     core = once(title_core(side["title"]), lambda t: F.when((F.length(t) >= 4) & ~t.isin(*GENERIC, *ACTIVITIES), t))
-    return F.struct(
-        (F.size(side["performers"]) > 0).alias("some_performers"), (F.size(side["works"]) > 0).alias("some_works"), _name_keys(side["performers"]).alias("performers"),
-        works.alias("works"), _name_keys(side["composers"]).alias("composers"), core.alias("core"), _grams(side["title"]).alias("grams"),
-    )
+    return F.struct(*music, _name_keys(side["composers"]).alias("composers"), core.alias("core"), _grams(side["title"]).alias("grams"))
 
 
 def same_works(a: Column, b: Column) -> Column:

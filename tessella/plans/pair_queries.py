@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import text
 from tessella.operators import identity, matching, places, verdicts
-from tessella.sources.storage import cut, parts_for, table
+from tessella.sources.storage import kept, parts_for, table
 
 from .linkage_queries import CORE, FOLDED, GRAMS, NOT_TITLES, _any_sql, _names_sql, _works_sql
 from .registry import query
@@ -140,7 +140,7 @@ def _sides(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("HTTPS"), site, F.lit("/#top"))).otherwise(F.concat(F.lit("https"), site)).alias("url"), place.cast("int").alias("at"), status.alias("status"),
     )
     facts = told(spark, sf).select("k", *FACTS)
-    rows = cut(about.join(facts, "k").withColumnRenamed("at", "place"))  # both sides are asked for again and again
+    rows = kept(about.join(facts, "k").withColumnRenamed("at", "place"))  # both sides are asked for again and again
     time = F.when(F.col("l_returnflag") != "N", F.when(F.col("l_quantity") > 25, "20:00").otherwise("18:00"))
     sessions = li.select(F.col("l_orderkey").alias("k"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), time.alias("time"), "l_tax", "l_linenumber").join(o.select(F.col("o_orderkey").alias("k"), "o_orderstatus"), "k")
     seen, known = F.col("o_orderstatus") == "P", F.col("o_orderstatus") != "P"
