@@ -46,11 +46,14 @@ def _met(rows: DataFrame, block: Sequence[str], group: str, facts: Sequence[str]
     known = rows.select(*b, F.col(group).alias("g"), F.struct(*facts).alias("f")).dropna(subset=[*b, "g"])
     known = kept(known.select(*b, "g", "f", *_sides("f")))
     sizes = known.groupBy(*b).agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("_lo"), F.max("g").alias("_hi"))
-    hot = sizes.where(F.col("n") > part_rows).select(*b, F.ceil(F.col("n") / part_rows).alias("_parts"))  # at most one in part_rows rows
-    deal = F.coalesce(F.pmod("h2", F.col("_parts")) + 1, F.lit(0)).cast("int")  # 0: the whole block
+    hot = kept(sizes.where(F.col("n") > part_rows).select(*b, F.ceil(F.col("n") / part_rows).alias("_parts")))  # at most one in part_rows rows
+    if hot.isEmpty():  # without a join that would be planned away on one side first, so that both sides below read one deal
+        deal = known.withColumn("_part", F.pmod("h2", F.lit(1)).cast("int"))
+    else:
+        deal = known.join(F.broadcast(hot), b, "left").withColumn("_part", F.coalesce(F.pmod("h2", F.col("_parts")) + 1, F.lit(0)).cast("int"))  # 0: the whole block
     part = [*b, "_part"]
     parts = max(tasks(known), 1 + known.count() // 200_000)
-    dealt = known.join(F.broadcast(hot), b, "left").select(*b, deal.alias("_part"), "g", "f", "h1", "h2").repartition(parts, *part)
+    dealt = deal.select(*part, "g", "f", "h1", "h2").repartition(parts, *part)
     made = prepare or (lambda f: f)
     top = heaviest or (lambda f: F.lit(decisive))
     # witnesses: of each part the facts with the least hashes, and whether there are more
